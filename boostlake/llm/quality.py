@@ -72,7 +72,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = 1 << 16, s
     return both.select("bucket", F.when(F.col("targets") > 0, ratio).otherwise(0.0).alias("llr"))
 
 
-def judge(docs: DataFrame, ratios: DataFrame, *, buckets: int = 1 << 16, threshold: float = -0.25) -> DataFrame:
+def judge(docs: DataFrame, ratios: DataFrame, *, buckets: int = 1 << 16, threshold: float = -0.2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the base counts, base_failed, llr (mean over n-grams) and kept.
 
     Null and empty texts have no words, fail the base rules and have llr 0. Repeated rows are judged one by one.

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boostlake.llm import bpe, chat, dac, decontam, htmltext, langid, quality, toxicity
+from boostlake.llm import bpe, chat, dac, decontam, htmltext, langid, quality, suffixes, toxicity
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = os.environ.get("BOOSTLAKE_TOKENIZERS", os.path.dirname(public_tokenizers.__file__))
@@ -64,6 +64,10 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"), length=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_langid": op7_langid,
     "op8_chat": op8_chat,
     "op9_main_text": op9_main_text,
+    "op10_repeated_strings": op10_repeated_strings,
 }
 ORACLES: dict[str, str] = {
     "op5_decontamination": r"""
