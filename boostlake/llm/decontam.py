@@ -35,7 +35,7 @@ def fingerprints(k: int, guard: int, short: list[int] = ()) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A benchmark table, marked for broadcast if its size allows it."""
+    """A table, marked for broadcast if its size allows it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -44,13 +44,13 @@ def windows(n: int) -> Column:
     return F.expr(f"if(size(words) < {n}, cast(array() as array<struct<at:int,n:int,win:string>>), transform(sequence(0, size(words) - {n}), i -> named_struct('at', i, 'n', {n}, 'win', array_join(slice(words, i + 1, {n}), ' '))))")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 6) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 6, text_keys: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items (sorted item ids as strings).
 
     ``benchmark`` has item_id and text. A window is ``window`` consecutive words of an item; an item with fewer
     words, but not none, is one window. A document's word inside any occurrence of a window is a hit.
     Null and empty texts on either side have no words. Results follow from the text, so equal texts get
-    equal results; repeated rows and ids stay.
+    equal results; repeated rows and ids stay. ``text_keys`` adds k1 and k2, hashes of the text.
     """
     guard = window - k + 1
     bench = durable(benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of().alias("words")).where("size(words) > 0"), "benchmark")
@@ -70,7 +70,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 6)
     covered = "aggregate(array_sort(spans), named_struct('n', 0L, 'upto', 0), (a, s) -> named_struct('n', a.n + greatest(0, s.at + s.n - greatest(s.at, a.upto)), 'upto', greatest(a.upto, s.at + s.n)), a -> a.n)"
     hits = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items")).select("k1", "k2", F.expr(covered).alias("n_hit"), "items")
     none = F.array().cast("array<string>")
-    return base.join(hits, ["k1", "k2"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return base.join(hits, ["k1", "k2"], "left").select("doc_id", *(["k1", "k2"] if text_keys else []), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that ``scan`` finds hits in; the rest is unchanged."""
+    found = scan(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), benchmark, text_keys=True, **options).where("n_hit > 0")
+    gone = durable(found.select("k1", "k2").distinct(), "contaminated")
+    keyed = docs.withColumns({"__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")})
+    return keyed.join(_small(gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))), ["__k1", "__k2"], "left_anti").select(*docs.columns)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
