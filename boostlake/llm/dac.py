@@ -11,6 +11,8 @@ Parts are ranges of doc_id in ascending order; blocks ascend within a part.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -68,31 +70,57 @@ def unpack(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
     return np.zeros(0, np.uint32) if rest is None else rest
 
 
+#: A word that the normalizer only lower-cases and that splits into letters and ASCII punctuation.
+_PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte that byte-level models use: printable ones stay, the others follow from 256."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordTokenizer:
-    """The library's ids of texts. Its pre-tokenizer never joins across a space or a line feed, so words are encoded
-    once and their ids reused; the cache is emptied when it has 200,000 words."""
+    """The library's ids of texts, as little-endian uint32.
+
+    Its pre-tokenizer never joins across a space or a line feed, so words are encoded once and their ids reused.
+    Letters and punctuation of plain words go straight to the library's model, other words through all its steps.
+    Caches are emptied when they have 400,000 entries.
+    """
 
     def __init__(self, content: bytes):
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            found = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > 200_000:
-            self.cache.clear()
-        new = [w for w in set().union(*split) if w not in self.cache] if split else []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.cache.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        get = self.cache.__getitem__
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for x in map(get, words):
-                ids += x
-            out.append(ids)
-        return out
+        if len(self.words) > 400_000:
+            self.words.clear()
+        if len(self.pieces) > 400_000:
+            self.pieces = {"": b""}
+        words, other = self.words, []
+        for w in set().union(*split):
+            if w not in words:
+                if m := _PLAIN(w):
+                    words[w] = self._piece(m[1].lower()) + self._piece(m[2])
+                else:
+                    other.append(w)
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            words.update(zip(part, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+        get = words.__getitem__
+        return [b"".join(map(get, x)) for x in split]
 
 
 _TOKENIZERS: dict[int, WordTokenizer] = {}
@@ -126,9 +154,10 @@ def write(docs: DataFrame, tokenizer_file: bytes, *, end_id: int = 2, block_toke
         own = _tokenizer(shared.value)
         state = {"part": None, "block": 0, "start": 0}
         docs_, ids, ends = [], [], []
+        last = struct.pack("<I", end_id)
 
         def flush() -> pa.RecordBatch:
-            flat = np.array(ids, np.uint32)
+            flat = np.frombuffer(b"".join(ids), "<u4")
             levels, bitmaps, ranks = pack(flat)
             row = {"part": [state["part"]], "block": [state["block"]], "start_in_part": [state["start"]], "n_tokens": [len(flat)]}
             known = np.array([d is not None for d in docs_])
@@ -147,11 +176,10 @@ def write(docs: DataFrame, tokenizer_file: bytes, *, end_id: int = 2, block_toke
                     if docs_:
                         yield flush()
                     state |= {"part": p, "block": 0, "start": 0}
-                ids += x
-                ids.append(end_id)
+                ids += (x, last)
                 docs_.append(d)
-                ends.append(len(ids))
-                if len(ids) >= block_tokens:
+                ends.append((ends[-1] if ends else 0) + len(x) // 4 + 1)
+                if ends[-1] >= block_tokens:
                     yield flush()
         if docs_:
             yield flush()
