@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boostlake.llm.blocks import durable
+
 SPACE = r"[\\x20\\x09-\\x0D]+"
 
 
@@ -65,7 +67,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = 1 << 16, s
     ``trusted`` (doc_id) is a bounded list. Without trusted texts every ratio is 0.
     """
     grams = docs.select("doc_id", words_of().alias("words")).join(F.broadcast(trusted.withColumn("own", F.lit(1))), "doc_id", "left")
-    counts = grams.select("own", F.explode(ngram_buckets(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("own").alias("target"))
+    counted = grams.select("own", F.explode(ngram_buckets(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("own").alias("target"))
+    counts = durable(counted, "ngrams")  # read twice, by the totals and by the ratios
     totals = counts.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
     both = counts.join(F.broadcast(totals))  # one row of totals
     ratio = F.log((F.col("target") + smoothing) / (F.col("targets") + smoothing * buckets)) - F.log((F.col("raw") + smoothing) / (F.col("raws") + smoothing * buckets))
