@@ -418,6 +418,14 @@ class Cox(_LogLink):
         return [1.0]
 
 
+def _nullable(t: pa.Table) -> pa.Table:
+    """The table with lists whose elements may be null, as the schema in text says."""
+    for i, x in enumerate(t.schema):
+        if pa.types.is_list(x.type):
+            t = t.set_column(i, x.name, t.column(i).cast(pa.list_(pa.field("element", x.type.value_type, True))))
+    return t
+
+
 class Rank(Objective):
     """Pairwise ranking; a query's rows are compared in one task."""
 
@@ -425,11 +433,11 @@ class Rank(Objective):
         kind, params = self.name.split(":")[1], dict(self.params)
         groups = df.select(F.col(f.qid).alias("q"), f.w().alias("w")).groupBy("q").agg(F.first("w").alias("w")).agg(F.sum("w"), F.count("*")).first() if f.weight else None
         scale = float(groups[1] / groups[0]) if groups and groups[0] else 1.0
-        schema = df.withColumn("g", F.array(S.lit(0))).withColumn("h", F.array(S.lit(0))).schema
+        fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
         names = Frame(**{k: getattr(f, k) for k in ("label", "margin", "weight", "qid", "row_id")})
 
         def run(t: pa.Table) -> pa.Table:
-            t = t.sort_by(names.row_id)
+            t = _nullable(t).sort_by(names.row_id)
             s = np.array([m[0] for m in t.column(names.margin).to_pylist()], np.float32)
             y = np.asarray(t.column(names.label), np.float64)
             w = float(t.column(names.weight)[0].as_py()) * scale if names.weight else 1.0
@@ -437,7 +445,7 @@ class Rank(Objective):
             pack = lambda x: pa.array([[v] for v in x.tolist()], pa.list_(pa.float64()))
             return t.append_column("g", pack(g)).append_column("h", pack(h))
 
-        return df.groupBy(f.qid).applyInArrow(run, schema)
+        return df.groupBy(f.qid).applyInArrow(run, f"{fields}, g array<double>, h array<double>")
 
     def intercept(self, df, f=Frame(), targets=1):
         return [0.0]
