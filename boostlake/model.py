@@ -110,7 +110,12 @@ class Tree:
         return out
 
     def equal(self, other: Tree) -> bool:
-        return self.n == other.n and all(np.array_equal(getattr(self, k), getattr(other, k)) for k in ("left", "right", "feature", "cond", "default_left", "leaf"))
+        """Whether both decide and value alike; statistics may differ."""
+        if self.n != other.n or not np.array_equal(self.left, other.left) or not np.array_equal(self.right, other.right) or self.categories.keys() != other.categories.keys():
+            return False
+        inner, leaf = self.left >= 0, self.left < 0
+        same = all(np.array_equal(getattr(self, k)[inner], getattr(other, k)[inner]) for k in ("feature", "cond", "default_left"))
+        return same and np.array_equal(self.leaf[leaf], other.leaf[leaf]) and all(np.array_equal(v, other.categories[k]) for k, v in self.categories.items())
 
     def to_json(self, number: int, features: int) -> dict:
         leaf = self.left < 0

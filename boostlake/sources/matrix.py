@@ -62,8 +62,13 @@ def scatter(rows: DataFrame) -> DataFrame:
 
 def widen(rows: DataFrame, columns: int, keep: list[str] = ()) -> DataFrame:
     """Rows with x, an array of ``columns`` floats, null where there is no entry."""
+    def cell(j: int) -> Column:
+        return F.get(F.transform(F.filter("entries", lambda e: e["index"] == j), lambda e: e["fvalue"]), F.lit(0))
+
+    if columns <= 64:
+        return rows.select(*keep, F.array(*[cell(j) for j in range(columns)]).alias("x"))
     at = F.map_from_entries("entries")
-    return rows.select(*keep, F.array(*[F.get(F.transform(F.filter("entries", lambda e, j=j: e["index"] == j), lambda e: e["fvalue"]), F.lit(0)) for j in range(columns)]).alias("x")) if columns <= 64 else rows.select(*keep, F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: at[j]).alias("x"))
+    return rows.select(*keep, F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.try_element_at(at, j)).alias("x"))
 
 
 def entries(df: DataFrame, features: list[str], keep: list[str] = ("row_id",)) -> DataFrame:

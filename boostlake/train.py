@@ -228,7 +228,7 @@ def exact_values(df: DataFrame, features: list[str], limit: int = 32_000) -> Cut
         out[r["feature"]] = np.array(r["values"], np.float32)
         if len(out[r["feature"]]) >= limit:
             raise ValueError(f"feature {features[r['feature']]} has too many distinct values for the exact method; use hist")
-    return Cuts([v if len(v) else np.zeros(1, np.float32) for v in out], [False] * len(features))
+    return Cuts([v if len(v) else np.zeros(1, np.float32) for v in out], [False] * len(features), exact=True)
 
 
 def train(params: dict, data: Data, rounds: int = 10, evals: dict[str, Data] | None = None, early_stopping_rounds: int = 0, maximise: bool | None = None, on_iteration: Callable[[int, dict], bool | None] | None = None, custom: Callable[[DataFrame], DataFrame] | None = None, start: Model | None = None, custom_metric: tuple[str, Callable[[DataFrame], float]] | None = None) -> Booster:

@@ -18,9 +18,9 @@ def lines(spark, *text):
 def test_libsvm(spark):
     out = parse_libsvm(lines(spark, "1:0.5 qid:3 0:1.5 4 # note", "", "0 1:2")).orderBy("row_id").collect()
     assert [(r.label, r.weight, r.qid) for r in out] == [(1.0, 0.5, 3), (0.0, None, None)]
-    assert [(e.index, e.fvalue) for e in out[0].entries] == [(0, 1.5), (4, 1.0)]
-    assert parse_libsvm(lines(spark, "0 1:2"), -1).first().entries[0].index == 0
-    assert parse_libsvm(lines(spark, "0 0:2"), -1).first().entries[0].index == 0
+    assert [tuple(e) for e in out[0].entries] == [(0, 1.5), (4, 1.0)]
+    assert parse_libsvm(lines(spark, "0 1:2"), -1).first().entries[0]["index"] == 0
+    assert parse_libsvm(lines(spark, "0 0:2"), -1).first().entries[0]["index"] == 0
 
 
 def test_csv(spark):
