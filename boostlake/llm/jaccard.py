@@ -1,38 +1,45 @@
 """Exact n-gram Jaccard join by PartEnum signatures.
 
 Sets are banded by size so that linked sets lie in the same or neighbouring bands; within a band the sizes bound
-their symmetric difference by some K. The feature domain is hashed into first-level parts, each of them into
-second-level parts; a pair with at most K differences has a first-level part with at most k2 of them, hence agrees on
-some n2 - k2 of its second-level parts. A signature is the hash of a set's features in such a subset of parts.
-
-A subset without features tells nothing: sets that have one give signatures under another hash function as well, so
-similar sets that only agree on empty subsets meet there. Sets that meet are compared in full.
-
-Texts with equal sets are one node. In each group of a signature the member with most meetings is compared with
-the others first; members left in different components are compared further, the number of members that are
-compared with all others doubling each round, until no group holds two components with a pair not compared.
-No pair of one component is ever needed and none is emitted for its own sake.
+their symmetric difference by some K. The feature domain is hashed into first-level parts, each of them into two
+second-level parts; a pair with at most K differences has first-level parts with at most one of them, hence agrees on one
+second-level part there. A signature is the hash of a set's features in one second-level part.
+
+An empty part tells nothing. There are SPARE more parts than K asks for in large bands, so that a set with no more
+empty parts than those to spare shares a filled one with every linked set; other sets give signatures under another
+hash function as well, and sets that only agree on empty parts meet there. Sets that meet are compared in full.
+
+Texts with equal sets are one node. Signatures with the same nodes make one group; the member with most meetings
+leads it, and the groups of one leader make a cell. Members are compared with their leaders first, in chunks. Cells
+that then still hold several components are cut into chunks of members, those of the leader's component apart from
+the rest, and every chunk of the rest is compared with every chunk of the cell. Pairs within a component are never
+needed. Pairs are first held against counts of their features in SLOTS hashed slots: sets differ in at least as many
+features as these counts do, so that most pairs that can't link are known without their texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boostlake.llm.blocks import blocks, bounded, drop, durable, mix64, word_hashes
 from boostlake.llm.components import components
 
-#: Hash functions tried for sets with an empty subset; the last one's empty subsets count as signatures.
+#: Hash functions tried for sets with empty parts; the last one's empty parts count as signatures.
 SEEDS = 6
-#: Members of one leader compared in a task.
+#: Parts beyond what K asks for, in bands with K of at least SPARE_FROM.
+SPARE, SPARE_FROM = 2, 16
+#: Members of one leader compared in a task, and members of a chunk of a cell.
 CHUNK = 400
+BLOCK = 256
+#: Slots of the feature counts.
+SLOTS = 256
 #: Rows of node ids up to which the table of nodes to compare is broadcast; beyond, texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -78,41 +85,36 @@ def bands(size: int, percent: int) -> tuple[tuple[int, int], ...]:
         low, i = high + 1, i + 1
 
 
-def signatures(sets: list[np.ndarray], percent: int, n2: int = 2, k2: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the set and signature, for all signatures of all sets."""
-    subsets = list(itertools.combinations(range(n2), n2 - k2))
     owner, sums = [], []
     todo = [(i, band, k) for i, s in enumerate(sets) if len(s) for band, k in bands(len(s), percent)]
     for seed in range(SEEDS):
         if not todo:
             break
         index = np.array([x[0] for x in todo])
-        first = np.array([-(-(x[2] + 1) // (k2 + 1)) for x in todo])
+        k = np.array([x[2] for x in todo])
+        first = -(-(k + 1 + np.where(k >= SPARE_FROM, SPARE, 0)) // 2)
+        parts = 2 * first
         tag = np.array([x[1] for x in todo], np.uint64) * np.uint64(64) + np.uint64(seed)
-        size = np.array([len(sets[i]) for i in index])
-        of = np.repeat(np.arange(len(todo)), size)
+        of = np.repeat(np.arange(len(todo)), [len(sets[i]) for i in index])
         h = mix64(np.concatenate([sets[i] for i in index]) ^ mix64(tag)[of])
-        parts = first * n2
         base = np.concatenate(([0], np.cumsum(parts)[:-1]))
         place = base[of] + (h % parts.astype(np.uint64)[of]).astype(np.int64)
         h = mix64(h)
         total = int(parts.sum())
         low = np.bincount(place, (h & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
         high = np.bincount(place, (h >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
-        part_sum = (low + (high << np.uint64(32))).reshape(-1, n2)
-        filled = np.bincount(place, minlength=total).reshape(-1, n2)
-        group = np.repeat(np.arange(len(todo)), first)
-        number = np.arange(total // n2) - np.repeat(base // n2, first)
-        empty_sets = np.zeros(len(todo), bool)
-        for j, subset in enumerate(subsets):
-            value = part_sum[:, subset].sum(axis=1, dtype=np.uint64)
-            named = mix64(value ^ mix64(tag[group] + mix64((number * len(subsets) + j).astype(np.uint64))))
-            empty = filled[:, subset].sum(axis=1) == 0
-            empty_sets[group[empty]] = True
-            use = ~empty if seed < SEEDS - 1 else np.ones(len(empty), bool)
-            owner.append(index[group[use]])
-            sums.append(named[use])
-        todo = [x for x, e in zip(todo, empty_sets, strict=True) if e]
+        value = low + (high << np.uint64(32))
+        empty = np.bincount(place, minlength=total) == 0
+        group = np.repeat(np.arange(len(todo)), parts)
+        number = (np.arange(total) - np.repeat(base, parts)).astype(np.uint64)
+        named = mix64(value ^ mix64(tag[group] + mix64(number)))
+        use = ~empty if seed < SEEDS - 1 else np.ones(total, bool)
+        owner.append(index[group[use]])
+        sums.append(named[use])
+        again = np.bincount(group[empty], minlength=len(todo)) > parts - k - 1
+        todo = [x for x, e in zip(todo, again, strict=True) if e]
     return (np.concatenate(owner), np.concatenate(sums)) if owner else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
@@ -122,39 +124,51 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row per document (doc_id, n_shingles, node) and, with node null, rows of signature pieces (bucket, piece)."""
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(bucket, piece): signatures of a block's sets by bucket, and from bucket ``buckets`` up its documents."""
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             nodes = np.array([set_id(s) for s in sets], np.int64)
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(nodes, pa.int64(), mask=np.array([not len(s) for s in sets])), none.cast(pa.int64()), none.cast(pa.binary())], names=NAMES)
+            ids = np.array([NULL if d is None else d for d in batch.column("doc_id").to_pylist()], "<i8")
+            names = [buckets + int(ids.sum() % buckets)]
+            pieces = [np.stack((ids, np.array([len(s) for s in sets], "<i8"), nodes)).astype("<i8").tobytes()]
             distinct = np.unique(nodes, return_index=True)[1]
             owner, sums = signatures([sets[i] for i in distinct], percent)
             if len(owner):
                 bucket = sums % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((owner, bucket))
                 owner, sums = owner[order], sums[order]
-                names, begin = np.unique(bucket[order], return_index=True)
-                pieces = []
+                found, begin = np.unique(bucket[order], return_index=True)
+                names += found.astype(np.int64).tolist()
                 for a, b in zip(begin, [*begin[1:], len(owner)], strict=True):
                     own, place = np.unique(owner[a:b], return_inverse=True)
                     head = np.array([b - a, len(own)], "<u4").tobytes()
                     pieces.append(head + nodes[distinct[own]].astype("<i8").tobytes() + place.astype("<u4" if len(own) > 65535 else "<u2").tobytes() + sums[a:b].astype("<u8").tobytes())
-                none = pa.nulls(len(names), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(names.astype(np.int64)), pa.array(pieces, pa.binary())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(pieces, pa.binary())], names=["bucket", "piece"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        pieces = group.column("piece").to_pylist()
+        if group.column("bucket")[0].as_py() >= buckets:
+            ids, sizes, nodes = np.concatenate([np.frombuffer(b, "<i8").reshape(3, -1) for b in pieces], axis=1)
+            none = pa.nulls(len(ids), pa.int64())
+            return pa.table([pa.array(ids, mask=ids == NULL), pa.array(sizes), pa.array(nodes, mask=sizes == 0), none, none], names=NAMES)
+        key, node = _groups(pieces)
+        none = pa.nulls(len(key), pa.int64())
+        return pa.table([none, none, pa.array(node), pa.array(key), pa.array(np.ones(len(key), np.int64))], names=NAMES)
+
+    NAMES = ["doc_id", "n_shingles", "node", "key", "n"]
+    return docs.mapInArrow(run, "bucket long, piece binary").groupBy("bucket").applyInArrow(meet, "doc_id long, n_shingles long, node long, key long, n long")
+
 
-    NAMES = ["doc_id", "n_shingles", "node", "bucket", "piece"]
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bucket long, piece binary")
+NULL = np.iinfo(np.int64).min
 
 
-def _meet(group: pa.Table) -> pa.Table:
-    """Signatures of one bucket that several nodes share: (sig, node)."""
+def _groups(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that share a signature: (key of the group, node); the key follows from the group's nodes alone."""
     sums, nodes = [], []
-    for b in group.column("piece").to_pylist():
+    for b in pieces:
         n, k = np.frombuffer(b, "<u4", 2).tolist()
         own = np.frombuffer(b, "<i8", k, 8)
         place = np.frombuffer(b, "<u4" if k > 65535 else "<u2", n, 8 + 8 * k)
@@ -164,16 +178,20 @@ def _meet(group: pa.Table) -> pa.Table:
     order = np.argsort(s, kind="stable")
     s, n = s[order], n[order]
     new = np.concatenate(([True], s[1:] != s[:-1]))
-    many = np.repeat(np.diff(np.concatenate((np.flatnonzero(new), [len(s)]))) > 1, np.diff(np.concatenate((np.flatnonzero(new), [len(s)]))))
+    size = np.diff(np.concatenate((np.flatnonzero(new), [len(s)])))
+    many = np.repeat(size > 1, size)
     s, n = s[many], n[many]
     order = np.lexsort((n, s))
     s, n = s[order], n[order]
-    fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (n[1:] != n[:-1]))) if len(s) else np.zeros(0, bool)
+    if not len(s):
+        return np.zeros(0, np.int64), n
+    fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])))
     s, n = s[fresh], n[fresh]
-    bound = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    bound = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     size = np.diff(np.concatenate((bound, [len(s)])))
+    key = mix64(np.add.reduceat(mix64(n.view(np.uint64)), bound) + size.astype(np.uint64)).view(np.int64)
     keep = np.repeat(size > 1, size)
-    return pa.table({"sig": pa.array(s[keep].view(np.int64)), "node": pa.array(n[keep])})
+    return np.repeat(key, size)[keep], n[keep]
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -195,7 +213,38 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                     found.append(b)
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-    return rows.join(texts, "node").groupBy("a", "chunk").applyInArrow(lambda t: compare(t), "a long, b long")
+    return rows.join(texts.select("node", "text"), "node").groupBy("a", "chunk").applyInArrow(lambda t: compare(t), "a long, b long")
+
+
+def _within(cells: DataFrame, roots: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a cell that are in different components so far."""
+    nodes = cells.select("a", F.col("b").alias("node")).unionByName(cells.select("a", F.col("a").alias("node")).distinct())
+    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = cells.select("a").distinct().join(roots.select(F.col("node").alias("a"), F.col("root").alias("head")), "a", "left").withColumn("head", F.coalesce("head", "a"))
+    sided = durable(labelled.join(heads, "a").select("a", "node", "root", (F.col("root") != F.col("head")).alias("rest")), "sided")
+    sizes = sided.groupBy("a").agg(F.count(F.when(~F.col("rest"), 1)).alias("n0"), F.count(F.when(F.col("rest"), 1)).alias("n1")).where("n1 > 0 and n0 + n1 > 2")
+    parts = sizes.select("a", F.ceil(F.col("n0") / BLOCK).cast("int").alias("k0"), F.ceil(F.col("n1") / BLOCK).cast("int").alias("k1"))
+    spread = F.xxhash64("node")
+    chunk = F.when(F.col("rest"), F.col("k0") + F.pmod(spread, F.col("k1"))).otherwise(F.pmod(spread, F.col("k0"))).cast("int")
+    placed = sided.join(parts, "a").withColumn("c", chunk)
+    # chunk pairs (i, j): i of the rest, j of the leader's component or at most i
+    of_rest = F.concat(F.transform(F.sequence(F.lit(0), F.col("c")), lambda j: F.struct(F.col("c").alias("i"), j.alias("j"))), F.when(F.col("c") + 1 < F.col("k0") + F.col("k1"), F.transform(F.sequence(F.col("c") + 1, F.col("k0") + F.col("k1") - 1), lambda i: F.struct(i.alias("i"), F.col("c").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")))
+    of_head = F.transform(F.sequence(F.col("k0"), F.col("k0") + F.col("k1") - 1), lambda i: F.struct(i.alias("i"), F.col("c").alias("j")))
+    rows = placed.select("a", "node", "root", F.explode(F.when(F.col("rest"), of_rest).otherwise(of_head)).alias("p")).select("a", "p.i", "p.j", "node", "root")
+
+    def compare(group: pa.Table) -> pa.Table:
+        nodes, root, size = (np.asarray(group.column(c)) for c in ("node", "root", "size"))
+        slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        x, y = [], []
+        for k in range(len(nodes) - 1):
+            ok = (root[k + 1 :] != root[k]) & _may_link(slots[k + 1 :], slots[k], size[k + 1 :], size[k], percent)
+            found = np.flatnonzero(ok) + k + 1
+            x.append(np.full(len(found), nodes[k])), y.append(nodes[found])
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
+        return pa.table({"a": pa.array(np.maximum(x, y), pa.int64()), "b": pa.array(np.minimum(x, y), pa.int64())})
+
+    found = rows.join(texts.select("node", "size", "slots"), "node").groupBy("a", "i", "j").applyInArrow(lambda t: compare(t), "a long, b long")
+    return _verify(durable(found.distinct(), "pairs"), texts, width, percent)
 
 
 def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -208,10 +257,10 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     scanned = durable(_scan(rows, width, percent), "signatures")
-    sets = scanned.where("bucket is null").select("doc_id", "n_shingles", "node")
-    meetings = durable(scanned.where("bucket is not null").select("bucket", "piece").groupBy("bucket").applyInArrow(_meet, "sig long, node long"), "meetings")
-    nodes = meetings.groupBy("node").agg(F.count("*").alias("n"))
-    members = durable(meetings.join(nodes, "node"), "members")
+    sets = scanned.where("key is null").select("doc_id", "n_shingles", "node")
+    meetings = durable(scanned.where("key is not null").groupBy(F.col("key").alias("sig"), "node").agg(F.sum("n").alias("n")), "meetings")
+    weights = meetings.groupBy("node").agg(F.sum("n").alias("n"))
+    members = durable(meetings.select("sig", "node").join(weights, "node"), "members")
     drop(meetings)
 
     wanted = members.select("node").distinct()
@@ -222,40 +271,57 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     texts = durable(_of_node(held, width), "texts")
 
     leaders = members.groupBy("sig").agg(F.max(F.struct("n", "node")).alias("leader")).select("sig", F.col("leader.node").alias("a"))
-    pairs = members.join(leaders, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = durable(_verify(durable(pairs, "pairs"), texts, width, percent), "verified")
-    roots = components(links)
-    start = 1
-    while True:
-        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = labelled.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where((F.col("x") != F.col("y")) & (F.col("size") > start + 1)).select("sig")
-        rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), F.desc("node")))
-        left = durable(labelled.join(open_, "sig", "left_semi").withColumn("rank", rank).select("sig", "node", "root", "rank"), "open")
-        chosen = left.where((F.col("rank") > start) & (F.col("rank") <= 2 * start + 1)).select("sig", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("rank").alias("a_rank"))
-        pairs = durable(left.join(chosen, "sig").where("rank > a_rank and root <> a_root").select("a", F.col("node").alias("b")).distinct(), "pairs")
-        drop(left)
-        going = open_.limit(1).count()
-        if not going:
-            break
-        more = durable(_verify(pairs, texts, width, percent), "verified")
-        if more.limit(1).count():
-            links = durable(links.unionByName(more), "verified")
-            roots = components(links)
-        start = 2 * start + 1
+    cells = durable(members.join(leaders, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "cells")
+    drop(members)
+    close = durable(_near(cells, texts, percent), "pairs")
+    near = durable(_verify(close, texts, width, percent), "links")
+    roots = components(near)
+    far = durable(_within(cells, roots, texts, width, percent), "links")
+    if far.limit(1).count():
+        roots = components(near.unionByName(far))
     own = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _of_node(held: DataFrame, width: int) -> DataFrame:
-    """(node, text) rows whose text has the node's set, one each."""
+    """(node, size, slots, text) of rows whose text has the node's set, one each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            ids = [set_id(s) for s in shingle_sets(batch.column("text").to_pylist(), width)]
-            yield batch.filter(pa.array([x == n for x, n in zip(ids, batch.column("node").to_pylist(), strict=True)], pa.bool_()))
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
+            own = pa.array([set_id(s) == n for s, n in zip(sets, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+            counts = pa.array([_slots(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), counts, batch.column("text")], names=["node", "size", "slots", "text"]).filter(own)
+
+    return held.mapInArrow(run, "node long, size long, slots binary, text string")
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    """Features per slot, at most 255."""
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS), 255).astype(np.uint8)
+
 
-    return held.mapInArrow(run, "node long, text string")
+def _may_link(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b with slot counts x and y (last axis) can link."""
+    apart = np.abs(x.astype(np.int16) - y).sum(axis=-1)
+    return (apart <= (100 - percent) * (a + b) // (100 + percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can link by their slot counts."""
+    counts = texts.select("node", "size", "slots")
+    side = lambda c: counts.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("slots").alias(f"slots_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("slots_a", "slots_b"))
+                keep = _may_link(x, y, np.asarray(batch.column("size_a")), np.asarray(batch.column("size_b")), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "slots_a", "slots_b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def representatives(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
