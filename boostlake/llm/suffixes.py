@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boostlake.llm.blocks import blocks, bounded, durable, mix64
+from boostlake.llm.blocks import blocks, bounded, drop, durable, mix64
 
 #: Bytes of the gram hashed at each place.
 GRAM = 32
@@ -212,7 +212,8 @@ def _marks(rows: DataFrame, length: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate(([True], (keep["k1"][1:] != keep["k1"][:-1]) | (keep["k2"][1:] != keep["k2"][:-1])))) if len(keep) else np.zeros(0, np.int64)
         marks = np.zeros(len(keep), "<i4,<u1,<u1,<i2")
         marks["f0"], marks["f1"], marks["f2"], marks["f3"] = keep["at"], keep["lo"], keep["n"], parts
-        return pa.table({"k1": pa.array(keep["k1"][begin]), "k2": pa.array(keep["k2"][begin]), "marks": pa.array([marks[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(keep)], strict=True)], pa.binary())})
+        end = np.append(begin[1:], len(keep)) if len(keep) else begin
+        return pa.table({"k1": pa.array(keep["k1"][begin]), "k2": pa.array(keep["k2"][begin]), "marks": pa.array([marks[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())})
 
     pieces = rows.where("not copy").select("k1", "k2", "text").mapInArrow(emit, "bucket long, piece binary")
     return pieces.groupBy("bucket").applyInArrow(match, "k1 long, k2 long, marks binary")
@@ -311,6 +312,8 @@ def _compare(suffixes: DataFrame, length: int) -> DataFrame:
         place, k1, k2, at, left, count = (np.asarray(t.column(c)) for c in ("place", "k1", "k2", "at", "left", "count"))
         part, split = np.asarray(t.column("part")), np.asarray(t.column("split"))
         order = np.lexsort((at, k2, k1, place))
+        keys = np.stack((place, k1, k2, at), axis=1)[order]
+        order = order[np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))]  # rows that repeat a document give its suffixes again
         context = t.column("context").to_pylist()
         context = [context[i] for i in order]
         place, k1, k2, at, left, count, part, split = (x[order] for x in (place, k1, k2, at, left, count, part, split))
@@ -342,10 +345,12 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     bounded(docs.sparkSession)
     rows = _with_copies(docs)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = durable(_marks(rows, length), "marks").groupBy("k1", "k2").agg(F.collect_list("marks").alias("marks"))
+    found = durable(_marks(rows, length), "marks")
+    marks = found.groupBy("k1", "k2").agg(F.collect_list("marks").alias("marks"))
     firsts = rows.where("not copy").repartition(tasks, "k1", "k2")
     once = firsts.select("text", "place", "k1", "k2").join(marks, ["k1", "k2"])
     runs = durable(_compare(_suffixes(once, length), length), "runs")
+    drop(found)
     across = Window.partitionBy("h1", "h2").orderBy("place", "k1", "k2", "start")
     late = runs.where("end = 0").withColumn("n", F.row_number().over(across)).where("n > 1").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
     spans = runs.where("end > 0").select("k1", "k2", "start", "end").unionByName(late)
