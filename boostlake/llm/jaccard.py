@@ -279,6 +279,8 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     far = durable(_within(cells, roots, texts, width, percent), "links")
     if far.limit(1).count():
         roots = components(near.unionByName(far))
+    for done in (texts, first, cells, close, near, far):
+        drop(done)
     own = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
