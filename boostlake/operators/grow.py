@@ -127,7 +127,7 @@ def histograms(df: DataFrame, trees: list[BinnedTree], wanted: list[list[int]],
 
     schema = "k int, node int, at int, pid int, sums binary"
     blocks = df.select("row_id", "bins", "g", "h").mapInArrow(local, schema)
-    if df.rdd.getNumPartitions() > 64:
+    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 64:  # many tasks: sum up in two steps
         blocks = blocks.groupBy("k", "node", "at", F.expr("pid div 64")).applyInArrow(add, schema)
     out: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for r in blocks.groupBy("k", "node", "at").applyInArrow(add, schema).collect():

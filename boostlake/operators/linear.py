@@ -45,7 +45,7 @@ def moments(gh: DataFrame, m: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
         return pa.table({"key": t.column("key")[:1], "sums": pa.array([np.sum([np.frombuffer(s) for s in sorted(t.column("sums").to_pylist())], axis=0).tobytes()], pa.binary())})
 
     parts = gh.select("x", "g", "h").mapInArrow(local, "key long, sums binary")
-    if gh.rdd.getNumPartitions() > 64:
+    if int(gh.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 64:  # many tasks: sum up in two steps
         parts = parts.withColumn("key", F.pmod(F.xxhash64("sums"), F.lit(64))).groupBy("key").applyInArrow(add, "key long, sums binary").withColumn("key", F.lit(0).cast("long"))
     s = np.frombuffer(parts.groupBy("key").applyInArrow(add, "key long, sums binary").first()["sums"])
     size = k * (m + 1) ** 2

@@ -214,3 +214,16 @@ def test_interactions_and_sampling():
 def test_empty_frame_metrics(spark):
     df = spark.createDataFrame([], "label double, pred array<double>, row_id long")
     assert np.isnan(metric("rmse").value(df, Frame()))
+
+
+def test_sums_in_two_steps_agree(spark, regression):
+    one = train({"max_depth": 3}, regression, 2)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "65")
+    try:
+        two = train({"max_depth": 3}, regression, 2)
+        linear = train({"booster": "gblinear"}, regression, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert all(a.equal(b) for a, b in zip(one.model.trees, two.model.trees, strict=True))
+    assert np.allclose(linear.model.weights, train({"booster": "gblinear"}, regression, 2).model.weights, atol=1e-6)
