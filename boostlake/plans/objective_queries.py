@@ -178,7 +178,12 @@ def rank(name: str, sql: str | None) -> None:
 
 rank("rank_ndcg", f"WITH {ORDERS}" + _PAIRS.format(delta=_NDCG))
 rank("rank_pairwise", f"WITH {ORDERS}" + _PAIRS.format(delta="1"))
-rank("rank_map", None)
+_MAPD = """CASE WHEN ph < pl THEN abs(nl / (pl + 1) - nh / (ph + 1) - (al - ah)) ELSE abs(nh / (ph + 1) - (nl + 1) / (pl + 1) - (ah1 - al0)) END / hits / CASE WHEN differ THEN abs(d) + 0.01 ELSE 1 END"""
+_MAP_PAIRS = _PAIRS.replace("rel", "yb").replace(
+    "p AS (SELECT", """s AS (SELECT *, sum(yb) OVER (PARTITION BY qid ORDER BY pos) AS cum, sum(yb / (pos + 1)) OVER (PARTITION BY qid ORDER BY pos) AS acc, sum(yb) OVER (PARTITION BY qid) AS hits FROM r),
+    p AS (SELECT a.cum AS nh, c.cum AS nl, a.acc AS ah, c.acc - c.yb / (c.pos + 1) AS al, a.acc - a.yb / (a.pos + 1) AS ah1, c.acc AS al0, a.hits AS hits,"""
+).replace("FROM r a JOIN r c", "FROM s a JOIN s c")
+rank("rank_map", f"WITH {ORDERS}" + _MAP_PAIRS.format(delta=_MAPD))
 
 
 @query("grad_custom", f"WITH {ORDERS} SELECT row_id, round((s - yr) / sqrt(1 + (s - yr) * (s - yr)), 6) + 0.0 AS g, round(1 / pow(1 + (s - yr) * (s - yr), 1.5), 6) + 0.0 AS h FROM b")
