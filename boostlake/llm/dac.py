@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,8 @@ def unpack(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
     return np.zeros(0, np.uint32) if rest is None else rest
 
 
+#: Entries of a generation of a word cache.
+CACHED = 250_000
 #: A word that the normalizer only lower-cases and that splits into letters and ASCII punctuation.
 _PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -82,11 +85,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """The library's ids of texts, as little-endian uint32.
+    """The library's ids of texts, as unsigned 32-bit integers (of a little-endian machine).
 
     Its pre-tokenizer never joins across a space or a line feed, so words are encoded once and their ids reused.
     Letters and punctuation of plain words go straight to the library's model, other words through all its steps.
-    Caches are emptied when they have 400,000 entries.
+    Of each cache two generations of CACHED entries are held.
     """
 
     def __init__(self, content: bytes):
@@ -95,30 +98,33 @@ class WordTokenizer:
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            found = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return found
+        self.old_words, self.old_pieces = self.words, self.pieces
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > 400_000:
-            self.words.clear()
-        if len(self.pieces) > 400_000:
-            self.pieces = {"": b""}
-        words, other = self.words, []
-        for w in set().union(*split):
-            if w not in words:
-                if m := _PLAIN(w):
-                    words[w] = self._piece(m[1].lower()) + self._piece(m[2])
-                else:
-                    other.append(w)
+        if len(self.words) > CACHED:
+            self.old_words, self.words = self.words, {}
+        if len(self.pieces) > CACHED:
+            self.old_pieces, self.pieces = self.pieces, {"": b""}
+        words, pieces, older, old_pieces, other = self.words, self.pieces, self.old_words.get, self.old_pieces.get, []
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for w in set().union(*split).difference(words):
+            if (known := older(w)) is not None:
+                words[w] = known
+            elif m := _PLAIN(w):
+                word, tail = m.groups()
+                word = word.lower()
+                for p in (word, tail):
+                    if p not in pieces:
+                        if (known := old_pieces(p)) is None:
+                            known = array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(letters))]).tobytes()
+                        pieces[p] = known
+                words[w] = pieces[word] + pieces[tail]
+            else:
+                other.append(w)
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            words.update(zip(part, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+            words.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
         get = words.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
