@@ -62,8 +62,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 6,
     id_columns = ["row", "doc_id", "k1", "k2", "n_words"]
     marked = rows.select(*id_columns, F.explode_outer(fingerprints(k, guard, short)).alias("mark")).join(_small(marks), "mark", "left")
     base = durable(marked.groupBy(*id_columns).agg(F.max("hit").alias("hit")).drop("row"), "marked")
-    suspects = base.where("hit = 1").select("k1", "k2").distinct()
-    texts = docs.where("text is not null").select(*key, "text").join(suspects, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    # one document stands for all copies of its text, so that copies don't meet in a task
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    suspects = base.where("hit = 1").groupBy("k1", "k2").agg(F.min(place).alias("place"))
+    texts = docs.where("text is not null").select(place.alias("place"), *key, "text").join(suspects, ["place", "k1", "k2"], "left_semi")
     all_windows = F.concat(*[windows(n) for n in (*short, window)]) if short else windows(window)
     placed = texts.select("k1", "k2", words_of().alias("words")).select("k1", "k2", F.explode(all_windows).alias("w")).select("k1", "k2", "w.*")
     found = placed.join(_small(wins), ["n", "win"])
@@ -75,7 +77,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 6,
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that ``scan`` finds hits in; the rest is unchanged."""
-    found = scan(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), benchmark, text_keys=True, **options).where("n_hit > 0")
+    found = scan(docs.select("doc_id", "text"), benchmark, text_keys=True, **options).where("n_hit > 0")
     gone = durable(found.select("k1", "k2").distinct(), "contaminated")
     keyed = docs.withColumns({"__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")})
     return keyed.join(_small(gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))), ["__k1", "__k2"], "left_anti").select(*docs.columns)
