@@ -5,7 +5,7 @@ their symmetric difference by some K. The feature domain is hashed into first-le
 second-level parts; a pair with at most K differences has first-level parts with at most one of them, hence agrees on one
 second-level part there. A signature is the hash of a set's features in one second-level part.
 
-An empty part tells nothing. There are SPARE more parts than K asks for in large bands, so that a set with no more
+An empty part tells nothing. There are some more parts than K asks for in large bands, so that a set with no more
 empty parts than those to spare shares a filled one with every linked set; other sets give signatures under another
 hash function as well, and sets that only agree on empty parts meet there. Sets that meet are compared in full.
 
@@ -13,13 +13,15 @@ Texts with equal sets are one node. Signatures with the same nodes make one grou
 leads it, and the groups of one leader make a cell. Members are compared with their leaders first, in chunks. Cells
 that then still hold several components are cut into chunks of members, those of the leader's component apart from
 the rest, and every chunk of the rest is compared with every chunk of the cell. Pairs within a component are never
-needed. Pairs are first held against counts of their features in SLOTS hashed slots: sets differ in at least as many
-features as these counts do, so that most pairs that can't link are known without their texts.
+needed. Pairs are first held against counts of their features in hashed slots, SLOTS or half as many as features:
+sets differ in at least as many features as these counts do, so that most pairs that can't link are known without
+their texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,12 +35,12 @@ from boostlake.llm.components import components
 
 #: Hash functions tried for sets with empty parts; the last one's empty parts count as signatures.
 SEEDS = 6
-#: Parts beyond what K asks for, in bands with K of at least SPARE_FROM.
-SPARE, SPARE_FROM = 2, 16
+#: Bands with K of at least this have spare parts, about as many as the emptiest sets of middle size need.
+SPARE_FROM = 16
 #: Members of one leader compared in a task, and members of a chunk of a cell.
 CHUNK = 400
 BLOCK = 256
-#: Slots of the feature counts.
+#: Least number of slots of the feature counts; a power of two.
 SLOTS = 256
 #: Rows of node ids up to which the table of nodes to compare is broadcast; beyond, texts are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -70,32 +72,34 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
 
 
 @lru_cache(maxsize=100_000)
-def bands(size: int, percent: int) -> tuple[tuple[int, int], ...]:
-    """(band, K) of the band instances a set of this size takes part in; none where only equal sets link."""
+def bands(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
+    """(band, K, first-level parts) of the band instances a set of this size takes part in; none where only equal sets link."""
     low, i = 1, 0
-    before: tuple[int, int] | None = None
+    before: tuple[int, int, int, int] | None = None
     while True:
         high = low * 100 // percent
         most = high * 100 // percent
         k = (100 - percent) * (high + most) // (100 + percent)
+        empty = (k + 1) * math.exp(-(low + most) / 2 / (k + 1))
+        spare = math.ceil(empty + 2 * math.sqrt(empty)) if k >= SPARE_FROM else 0
+        parts = -(-(k + 1 + spare) // 2)
         if low <= size <= high:
-            own = [(i, k)] if k else []
-            return tuple([*([(before[0], before[1])] if before and before[1] and size <= before[2] else []), *own])
-        before = (i, k, most)
+            own = [(i, k, parts)] if k else []
+            return tuple([*([before[:3]] if before and before[1] and size <= before[3] else []), *own])
+        before = (i, k, parts, most)
         low, i = high + 1, i + 1
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the set and signature, for all signatures of all sets."""
     owner, sums = [], []
-    todo = [(i, band, k) for i, s in enumerate(sets) if len(s) for band, k in bands(len(s), percent)]
+    todo = [(i, *band) for i, s in enumerate(sets) if len(s) for band in bands(len(s), percent)]
     for seed in range(SEEDS):
         if not todo:
             break
         index = np.array([x[0] for x in todo])
         k = np.array([x[2] for x in todo])
-        first = -(-(k + 1 + np.where(k >= SPARE_FROM, SPARE, 0)) // 2)
-        parts = 2 * first
+        parts = 2 * np.array([x[3] for x in todo])
         tag = np.array([x[1] for x in todo], np.uint64) * np.uint64(64) + np.uint64(seed)
         of = np.repeat(np.arange(len(todo)), [len(sets[i]) for i in index])
         h = mix64(np.concatenate([sets[i] for i in index]) ^ mix64(tag)[of])
@@ -125,7 +129,7 @@ def set_id(s: np.ndarray) -> int:
 
 def _scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(bucket, piece): signatures of a block's sets by bucket, and from bucket ``buckets`` up its documents."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -145,7 +149,7 @@ def _scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for a, b in zip(begin, [*begin[1:], len(owner)], strict=True):
                     own, place = np.unique(owner[a:b], return_inverse=True)
                     head = np.array([b - a, len(own)], "<u4").tobytes()
-                    pieces.append(head + nodes[distinct[own]].astype("<i8").tobytes() + place.astype("<u4" if len(own) > 65535 else "<u2").tobytes() + sums[a:b].astype("<u8").tobytes())
+                    pieces.append(head + nodes[distinct[own]].astype("<i8").tobytes() + place.astype("<u4" if len(own) > 65535 else "<u2").tobytes() + _short(sums[a:b] // np.uint64(buckets)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(pieces, pa.binary())], names=["bucket", "piece"])
 
     def meet(group: pa.Table) -> pa.Table:
@@ -163,6 +167,12 @@ def _scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 NULL = np.iinfo(np.int64).min
+#: Bytes of a signature that are kept within its bucket; sets that meet by chance are told apart in full.
+WIDE = 6
+
+
+def _short(sums: np.ndarray) -> bytes:
+    return np.ascontiguousarray(sums.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE]).tobytes()
 
 
 def _groups(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +182,9 @@ def _groups(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n, k = np.frombuffer(b, "<u4", 2).tolist()
         own = np.frombuffer(b, "<i8", k, 8)
         place = np.frombuffer(b, "<u4" if k > 65535 else "<u2", n, 8 + 8 * k)
-        sums.append(np.frombuffer(b, "<u8", n, 8 + 8 * k + place.nbytes))
+        short = np.zeros((n, 8), np.uint8)
+        short[:, :WIDE] = np.frombuffer(b, np.uint8, WIDE * n, 8 + 8 * k + place.nbytes).reshape(n, WIDE)
+        sums.append(short.view("<u8").ravel())
         nodes.append(own[place])
     s, n = np.concatenate(sums), np.concatenate(nodes)
     order = np.argsort(s, kind="stable")
@@ -234,7 +246,8 @@ def _within(cells: DataFrame, roots: DataFrame, texts: DataFrame, width: int, pe
 
     def compare(group: pa.Table) -> pa.Table:
         nodes, root, size = (np.asarray(group.column(c)) for c in ("node", "root", "size"))
-        slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        held = group.column("slots").to_pylist()
+        slots = _matrix(held, min(map(len, held)))
         x, y = [], []
         for k in range(len(nodes) - 1):
             ok = (root[k + 1 :] != root[k]) & _may_link(slots[k + 1 :], slots[k], size[k + 1 :], size[k], percent)
@@ -300,13 +313,22 @@ def _of_node(held: DataFrame, width: int) -> DataFrame:
 
 
 def _slots(s: np.ndarray) -> np.ndarray:
-    """Features per slot, at most 255."""
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS), 255).astype(np.uint8)
+    """Features per slot, at most 255; the number of slots follows from the size."""
+    n = max(SLOTS, (1 << max(len(s) - 1, 0).bit_length()) // 2)
+    return np.minimum(np.bincount(((s >> np.uint64(32)) & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8)
+
+
+def _matrix(counts: list[bytes], n: int) -> np.ndarray:
+    """Slot counts of several sets over n slots; those with more slots are folded."""
+    out = np.zeros((len(counts), n), np.int16)
+    for i, c in enumerate(counts):
+        out[i] = np.frombuffer(c, np.uint8).reshape(-1, n).sum(axis=0, dtype=np.int16)
+    return out
 
 
 def _may_link(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of sizes a and b with slot counts x and y (last axis) can link."""
-    apart = np.abs(x.astype(np.int16) - y).sum(axis=-1)
+    apart = np.abs(x - y).sum(axis=-1, dtype=np.int64)
     return (apart <= (100 - percent) * (a + b) // (100 + percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
 
 
@@ -317,10 +339,14 @@ def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("slots_a", "slots_b"))
-                keep = _may_link(x, y, np.asarray(batch.column("size_a")), np.asarray(batch.column("size_b")), percent)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+            x, y = (batch.column(c).to_pylist() for c in ("slots_a", "slots_b"))
+            a, b = (np.asarray(batch.column(c)) for c in ("size_a", "size_b"))
+            width = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+            keep = np.zeros(len(width), bool)
+            for n in np.unique(width):
+                at = np.flatnonzero(width == n)
+                keep[at] = _may_link(_matrix([x[i] for i in at], n), _matrix([y[i] for i in at], n), a[at], b[at], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "slots_a", "slots_b")
     return both.mapInArrow(run, "a long, b long")
