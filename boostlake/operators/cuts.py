@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Cuts:
-    """values[f]: ascending float32 cuts of feature f; categorical features have their codes 0..max. With ``exact`` they are
-    the feature's own values and a bin is the place of one."""
+    """values[f]: ascending float32 cuts of feature f; categorical features have their codes 0..max. With ``exact`` bins
+    are only stretches in which the exact method looks for cuts, and binned frames hold the values themselves."""
 
     values: list[np.ndarray]
     categorical: list[bool]
     exact: bool = False
 
+    @property
+    def kind(self) -> str:
+        """Type of the numbers in the bins of a frame."""
+        return "<f4" if self.exact else "<i2"
+
     def rows(self) -> list[tuple[int, int, float, bool]]:
         """(feature, bin, cut, is_cat)."""
         return [(f, b, float(c), self.categorical[f]) for f, v in enumerate(self.values) for b, c in enumerate(v)]
@@ -151,5 +156,5 @@ def bins_matrix(x: np.ndarray, cuts: Cuts) -> np.ndarray:
         if cuts.categorical[f]:
             out[ok, f] = np.minimum(np.searchsorted(values, np.trunc(x[ok, f]), side="left"), len(values) - 1)
         else:
-            out[ok, f] = np.minimum(np.searchsorted(values, x[ok, f], side="left" if cuts.exact else "right"), len(values) - 1)
+            out[ok, f] = np.minimum(np.searchsorted(values, x[ok, f], side="right"), len(values) - 1)
     return out

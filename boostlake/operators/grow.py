@@ -3,6 +3,9 @@
 Each task walks its rows through the part of the tree grown so far, sums gradients by (node, feature, bin) in numpy and
 emits blocks of bins; blocks are added up in two steps, and only the sums reach the driver, whose size is fixed by
 the parameters (open nodes x bins).
+
+The exact method adds a second job per level: bins are stretches of values whose sums give each stretch what lies before it,
+so that every stretch is sorted and searched in a task of its own, and its best cut alone reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boostlake.model import Tree
-from boostlake.operators.cuts import Cuts
-from boostlake.operators.splits import Split, TreeParams, best_split, weight
+from boostlake.operators.cuts import Cuts, bins_matrix
+from boostlake.operators.splits import NodeColumn, Split, Stretch, TreeParams, best_exact, best_split, node_gain, stretch, weight
 
 #: Bins in a block of a histogram.
 BLOCK = 16384
@@ -52,6 +55,13 @@ class BinnedTree:
         return at
 
 
+class ValueTree(BinnedTree):
+    """A tree of the exact method: rows come with their values (NaN is missing)."""
+
+    def nodes_of(self, bins: np.ndarray) -> np.ndarray:
+        return self.tree.leaves(bins)
+
+
 def uniform(row_id: np.ndarray, seed: int) -> np.ndarray:
     """A number in [0, 1) per row, the same wherever the row is."""
     with np.errstate(over="ignore"):
@@ -62,30 +72,31 @@ def uniform(row_id: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / 2**53
 
 
-def batch_arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins, gradients and hessians (rows x outputs, through float32) of a batch with bins, g and h."""
+def batch_arrays(batch: pa.RecordBatch, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins (values of the exact method), gradients and hessians (rows x outputs, through float32) of a batch with bins, g and h."""
     n = batch.num_rows
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), "<i2").reshape(n, features)
+    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), cuts.kind).reshape(n, len(cuts.values))
     wide = lambda c: np.asarray(batch.column(c).flatten(), np.float64).reshape(n, -1).astype(np.float32).astype(np.float64)
     return bins, wide("g"), wide("h")
 
 
-def histograms(df: DataFrame, trees: list[BinnedTree], wanted: list[list[int]], sizes: list[int], outputs: list[list[int]], sample: Callable | None = None) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+def histograms(df: DataFrame, trees: list[BinnedTree], wanted: list[list[int]], cuts: Cuts, outputs: list[list[int]], sample: Callable | None = None) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     """Sums of the wanted nodes of each tree: (tree, node) to (bins x targets x 2, targets x 2).
 
     ``df`` has row_id, bins, g and h; tree k sums the outputs[k] of g and h. ``sample`` maps (row_id, g, h) to the scale of
     each row.
     """
-    features, starts = len(sizes), np.concatenate(([0], np.cumsum(sizes)))
+    starts = np.concatenate(([0], np.cumsum([len(v) for v in cuts.values])))
     total = int(starts[-1])
-    shared = df.sparkSession.sparkContext.broadcast((trees, wanted, outputs, starts, sample))
+    shared = df.sparkSession.sparkContext.broadcast((trees, wanted, outputs, starts, sample, cuts))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, wanted, outputs, starts, sample = shared.value
+        trees, wanted, outputs, starts, sample, cuts = shared.value
         sums = {(k, n): np.zeros((total, len(outputs[k]), 2)) for k, ns in enumerate(wanted) for n in ns}
         whole = {key: np.zeros((len(outputs[key[0]]), 2)) for key in sums}
         for batch in batches:
-            bins, g, h = batch_arrays(batch, features)
+            held, g, h = batch_arrays(batch, cuts)
+            bins = bins_matrix(held, cuts) if cuts.exact else held
             if sample is not None:
                 s = sample(np.asarray(batch.column("row_id")), g, h)[:, None]
                 g, h = g * s, h * s
@@ -93,7 +104,7 @@ def histograms(df: DataFrame, trees: list[BinnedTree], wanted: list[list[int]],
             for k, ns in enumerate(wanted):
                 if not ns:
                     continue
-                node = trees[k].nodes_of(bins)
+                node = trees[k].nodes_of(held)
                 slot = np.full(trees[k].tree.n, -1)
                 slot[ns] = np.arange(len(ns))
                 rows = np.flatnonzero(slot[node] >= 0)
@@ -149,6 +160,73 @@ def _block(k: int, n: int, at: int, pid: int, x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"k": [k], "node": [n], "at": [at], "pid": [pid], "sums": [np.ascontiguousarray(x).tobytes()]}, schema=_BLOCKS)
 
 
+def exact_splits(df: DataFrame, trees: list[BinnedTree], columns: dict[tuple[int, int], dict[int, NodeColumn]], before: dict[tuple[int, int], np.ndarray], cuts: Cuts, p: TreeParams, outputs: list[list[int]], sample: Callable | None = None) -> dict[tuple[int, int], Split | None]:
+    """The best exact split of each (tree, node) of ``columns``, which has the features that a node may use.
+
+    ``before``: sums of the node's rows in the stretches before each one, stretches of all features one after another. Tasks
+    sum up equal values of a batch; a group of the shuffle is one stretch of one feature in one node.
+    """
+    starts = np.concatenate(([0], np.cumsum([len(v) for v in cuts.values])))
+    wanted = [sorted(n for t, n in columns if t == k) for k in range(len(trees))]
+    shared = df.sparkSession.sparkContext.broadcast((trees, wanted, columns, before, starts, cuts, p, outputs, sample))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, wanted, columns, _, _, cuts, _, outputs, sample = shared.value
+        part = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            x, g, h = batch_arrays(batch, cuts)
+            bins = bins_matrix(x, cuts)
+            if sample is not None:
+                s = sample(np.asarray(batch.column("row_id")), g, h)[:, None]
+                g, h = g * s, h * s
+            for k, ns in enumerate(wanted):
+                if not ns:
+                    continue
+                node, both = trees[k].nodes_of(x), np.stack((g[:, outputs[k]], h[:, outputs[k]]), axis=-1).reshape(len(x), -1)
+                for f in range(x.shape[1]):
+                    here = np.zeros(trees[k].tree.n, bool)
+                    here[[n for n in ns if f in columns[k, n]]] = True
+                    rows = np.flatnonzero(here[node] & (bins[:, f] >= 0))
+                    if not len(rows):
+                        continue
+                    rows = rows[np.lexsort((x[rows, f], node[rows]))]
+                    v, n = x[rows, f], node[rows]
+                    at = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (n[1:] != n[:-1]))))
+                    sums = np.add.reduceat(both[rows], at, axis=0)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+                    full = lambda c, n=len(at), t=np.int32: pa.array(np.full(n, c, t))
+                    yield pa.RecordBatch.from_arrays([full(k), pa.array(n[at].astype(np.int32)), full(f), pa.array(bins[rows[at], f].astype(np.int32)), pa.array(v[at]), full(part, t=np.int64), lists], names=["k", "node", "feature", "bin", "value", "part", "sums"])
+            part += 1
+
+    def search(t: pa.Table) -> pa.Table:
+        _, _, columns, before, starts, _, p, _, _ = shared.value
+        k, n, f, b = (t.column(c)[0].as_py() for c in ("k", "node", "feature", "bin"))
+        v, c = np.asarray(t.column("value"), np.float32), columns[k, n][f]
+        order = np.lexsort((np.asarray(t.column("part")), v))
+        v = v[order]
+        at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        sums = np.add.reduceat(t.column("sums").combine_chunks().flatten().to_numpy().reshape(len(v), -1)[order], at, axis=0).reshape(len(at), *c.total.shape)
+        seen = sums[..., 1].sum(axis=-1) > 0
+        if not seen.any():
+            return _STRETCHES.empty_table()
+        s = stretch(v[at][seen], sums[seen], before[k, n][starts[f] + b], c, p)
+        return pa.Table.from_pydict({"k": [k], "node": [n], "feature": [f], "bin": [b], "first": [s.first], "last": [s.last], "gains": [[s.down[0], s.up[0]]], "conds": [[s.down[1], s.up[1]]], "sums": [np.stack((s.upto, s.down[2], s.up[2])).tobytes()]}, schema=_STRETCHES)
+
+    pieces = df.select("row_id", "bins", "g", "h").mapInArrow(local, "k int, node int, feature int, bin int, value float, part long, sums array<double>")
+    parts: dict[tuple[int, int], dict[int, list[tuple[int, Stretch]]]] = {}
+    for r in pieces.groupBy("k", "node", "feature", "bin").applyInArrow(search, "k int, node int, feature int, bin int, first float, last float, gains array<double>, conds array<double>, sums binary").collect():
+        key = (r["k"], r["node"])
+        upto, down, up = np.frombuffer(r["sums"]).reshape(3, *columns[key][r["feature"]].total.shape)
+        s = Stretch(np.float32(r["first"]), np.float32(r["last"]), upto, (r["gains"][0], r["conds"][0], down), (r["gains"][1], r["conds"][1], up))
+        parts.setdefault(key, {}).setdefault(r["feature"], []).append((r["bin"], s))
+    shared.unpersist()
+    ordered = lambda key: {f: (columns[key][f], [s for _, s in sorted(v, key=lambda x: x[0])]) for f, v in parts.get(key, {}).items()}
+    return {key: best_exact(ordered(key), p) for key in columns}
+
+
+_STRETCHES = pa.schema([("k", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("first", pa.float32()), ("last", pa.float32()), ("gains", pa.list_(pa.float64())), ("conds", pa.list_(pa.float64())), ("sums", pa.binary())])
+
+
 @dataclass
 class _Open:
     node: int
@@ -199,22 +277,40 @@ def interaction_mask(path: frozenset[int], sets: list[list[int]], n: int) -> np.
     return out
 
 
-def grow(df: DataFrame, cuts: Cuts, p: TreeParams, outputs: list[list[int]], rng: np.random.Generator, sample: Callable | None = None, exact: bool = False, scale: float = 1.0) -> list[BinnedTree]:
+def grow(df: DataFrame, cuts: Cuts, p: TreeParams, outputs: list[list[int]], rng: np.random.Generator, sample: Callable | None = None, scale: float = 1.0) -> list[BinnedTree]:
     """Grow one tree per entry of ``outputs`` (the outputs of g and h that it fits; several make vector leaves)."""
     sizes = [len(v) for v in cuts.values]
     starts = np.concatenate(([0], np.cumsum(sizes)))
     m, eta = len(sizes), p.learning_rate * scale
-    trees = [BinnedTree(Tree.root(len(o)), {}) for o in outputs]
+    exact = cuts.exact
+    trees = [(ValueTree if exact else BinnedTree)(Tree.root(len(o)), {}) for o in outputs]
     samplers = [ColumnSampler(m, p, rng) for _ in outputs]
-    found = histograms(df, trees, [[0]] * len(trees), sizes, outputs, sample)
+    found = histograms(df, trees, [[0]] * len(trees), cuts, outputs, sample)
     queues: list[list[_Open]] = []
     free = (-np.inf, np.inf)
 
-    def evaluate(k: int, x: _Open) -> None:
-        allowed = samplers[k].allowed(x.depth) & interaction_mask(x.path, p.interaction_constraints, m)
-        parts = [x.hist[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        low, high = x.bounds[0] if len(x.bounds) == 1 else free
-        x.split = best_split(parts, x.sums, cuts.values, cuts.categorical, p, allowed, (low, high), exact)
+    def evaluate(opened: list[tuple[int, _Open]]) -> None:
+        masks = [samplers[k].allowed(x.depth) & interaction_mask(x.path, p.interaction_constraints, m) for k, x in opened]
+        if exact:
+            columns, before = {}, {}
+            for (k, x), allowed in zip(opened, masks, strict=True):
+                low, high = x.bounds[0] if len(x.bounds) == 1 else free
+                parent, upto = float(node_gain(x.sums, p, low, high)), np.zeros_like(x.hist)
+                columns[k, x.node] = {}
+                for f in np.flatnonzero(allowed).tolist():
+                    own = np.cumsum(x.hist[starts[f] : starts[f + 1]], axis=0)
+                    upto[starts[f] + 1 : starts[f + 1]] = own[:-1]
+                    missing = not np.allclose(own[-1][:, 1], x.sums[:, 1], rtol=1e-7, atol=1e-9)
+                    columns[k, x.node][f] = NodeColumn(x.sums, own[-1], missing, parent, p.monotone_constraints[f] if f < len(p.monotone_constraints) else 0, low, high)
+                before[k, x.node] = upto
+            splits = exact_splits(df, trees, columns, before, cuts, p, outputs, sample)
+            for k, x in opened:
+                x.split, x.hist = splits[k, x.node], None
+            return
+        for (k, x), allowed in zip(opened, masks, strict=True):
+            parts = [x.hist[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            low, high = x.bounds[0] if len(x.bounds) == 1 else free
+            x.split = best_split(parts, x.sums, cuts.values, cuts.categorical, p, allowed, (low, high))
 
     def leaf(x: _Open) -> np.ndarray:
         return np.array([weight(x.sums[j, 0], x.sums[j, 1], p, *x.bounds[j]) for j in range(len(x.sums))])
@@ -225,8 +321,8 @@ def grow(df: DataFrame, cuts: Cuts, p: TreeParams, outputs: list[list[int]], rng
         w = leaf(root)
         t = trees[k].tree
         t.leaf[0], t.base_weight[0], t.sum_hess[0] = w * eta, w[0], sums[:, 1].mean()
-        evaluate(k, root)
         queues.append([root])
+    evaluate([(k, queue[0]) for k, queue in enumerate(queues)])
     leaves = [1] * len(trees)
     while True:
         wanted: list[list[int]] = [[] for _ in trees]
@@ -246,21 +342,26 @@ def grow(df: DataFrame, cuts: Cuts, p: TreeParams, outputs: list[list[int]], rng
                 made.append(_split(trees[k], x, cuts, p, eta, exact, leaf))
                 made[-1] = (k, *made[-1])
                 _, _, a, b, deeper = made[-1]
-                if deeper:
+                if deeper and exact:
+                    wanted[k] += [a.node, b.node]
+                elif deeper:
                     wanted[k].append((a if a.sums[:, 1].sum() <= b.sums[:, 1].sum() else b).node)
         if not made:
             break
-        found = histograms(df, trees, wanted, sizes, outputs, sample) if any(wanted) else {}
+        found = histograms(df, trees, wanted, cuts, outputs, sample) if any(wanted) else {}
+        opened: list[tuple[int, _Open]] = []
         for k, x, a, b, deeper in made:
             if not deeper:
                 continue
             small, big = (a, b) if (k, a.node) in found else (b, a)
             small.hist, small.sums = found[k, small.node]
-            big.hist, big.sums = x.hist - small.hist, x.sums - small.sums
+            big.hist, big.sums = found[k, big.node] if exact else (x.hist - small.hist, x.sums - small.sums)
             x.hist = None
             for c in (a, b):
-                evaluate(k, c)
+                opened.append((k, c))
                 queues[k].append(c)
+        if opened:
+            evaluate(opened)
     return trees
 
 
@@ -279,8 +380,8 @@ def _split(bt: BinnedTree, x: _Open, cuts: Cuts, p: TreeParams, eta: float, exac
     t.base_weight[x.node] = held
     if exact:
         t.base_weight[[a, b]] = [w[0][0], w[1][0]]
-    if s.categories is None:
+    if s.categories is None and not exact:
         values = cuts.values[s.feature]
-        bt.last_left[x.node] = int(np.searchsorted(values, np.float32(s.cond), side="left" if exact else "right")) - 1
+        bt.last_left[x.node] = int(np.searchsorted(values, np.float32(s.cond), side="right")) - 1
     kids[0].node, kids[1].node = a, b
     return x, kids[0], kids[1], not p.max_depth or x.depth + 1 < p.max_depth

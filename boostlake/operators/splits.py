@@ -88,11 +88,11 @@ def _scores(left: np.ndarray, right: np.ndarray, parent: float, p: TreeParams, s
     return np.where(ok & np.isfinite(gain), gain.astype(np.float32), -np.inf)
 
 
-def best_split(hist: list[np.ndarray], total: np.ndarray, cuts: list[np.ndarray], categorical: list[bool], p: TreeParams, allowed: np.ndarray | None = None, bounds: tuple[float, float] = (-np.inf, np.inf), exact: bool = False, dense: list[bool] | None = None) -> Split | None:
+def best_split(hist: list[np.ndarray], total: np.ndarray, cuts: list[np.ndarray], categorical: list[bool], p: TreeParams, allowed: np.ndarray | None = None, bounds: tuple[float, float] = (-np.inf, np.inf), dense: list[bool] | None = None) -> Split | None:
     """The best split of a node.
 
     hist[f]: (bins, targets, 2) sums of gradient and hessian; total: (targets, 2). Among equal gains the lower feature
-    and the first candidate win. ``exact`` puts cuts midway between neighbouring values that the node holds.
+    and the first candidate win.
     """
     best: Split | None = None
     low, high = bounds
@@ -117,9 +117,6 @@ def best_split(hist: list[np.ndarray], total: np.ndarray, cuts: list[np.ndarray]
             else:
                 _partition(h, total, own, f, parent, p, low, high, offer)
             continue
-        if exact:
-            _exact(h, total, cuts[f], missing, f, parent, p, sign, low, high, offer)
-            continue
         left = upto
         offer(_scores(left, total - left, parent, p, sign, low, high), f, lambda k, g, left=left, f=f: Split(g, f, float(cuts[f][k]), False, left[k], total - left[k]))
         if missing:
@@ -159,24 +156,87 @@ def _partition(h, total, own, f, parent, p, low, high, offer) -> None:
             offer(_scores(total - right, right, parent, p, 0, low, high), f, lambda k, g, right=right, seq=seq: Split(g, f, float("nan"), True, total - right[k], right[k], np.sort(seq[: k + 1])))
 
 
-def _exact(h, total, values, missing, f, parent, p, sign, low, high, offer) -> None:
-    """Cuts between values that occur in the node, from the largest value down; upwards too where values are missing."""
-    seen = np.flatnonzero(h[..., 1].sum(axis=-1) > 0)
-    if not len(seen):
-        return
-    v = values[seen].astype(np.float32)
-    upto = np.cumsum(h[seen], axis=0)
-    own = upto[-1]
-    middle = lambda a, b: np.where((m := ((a + b) * np.float32(0.5)).astype(np.float32)) == b, a, m)
-    right = (own[None] - upto)[:-1][::-1]
-    names = middle(v[:-1], v[1:])[::-1]
-    ends = np.float32(v[0] - (abs(v[0]) + np.float32(1e-6)))
-    right, names = np.concatenate((right, own[None])), np.concatenate((names, [ends]))
-    offer(_scores(total - right, right, parent, p, sign, low, high), f, lambda k, g: Split(g, f, float(names[k]), True, total - right[k], right[k]))
-    if missing:
-        ends2 = np.float32(v[-1] + (abs(v[-1]) + np.float32(1e-6)))
-        names2 = np.concatenate((middle(v[:-1], v[1:]), [ends2]))
-        offer(_scores(upto, total - upto, parent, p, sign, low, high), f, lambda k, g: Split(g, f, float(names2[k]), False, upto[k], total - upto[k]))
+def middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cuts between neighbouring float32 values: the midpoint, or the smaller value where that is the larger one."""
+    m = ((a + b) * np.float32(0.5)).astype(np.float32)
+    return np.where(m == b, a, m)
+
+
+@dataclass
+class Stretch:
+    """What one stretch of a feature's values in a node tells: its least and largest value, the sums up to its end, and
+    the best cut between two of its own values with missing values left (down) and right (up), each as gain, cut and sums
+    up to it."""
+
+    first: np.float32
+    last: np.float32
+    upto: np.ndarray
+    down: tuple[float, float, np.ndarray]
+    up: tuple[float, float, np.ndarray]
+
+
+@dataclass
+class NodeColumn:
+    """A node and a feature: sums of the node and of its rows that have a value, gain of the node and its limits."""
+
+    total: np.ndarray
+    own: np.ndarray
+    missing: bool
+    parent: float
+    sign: int
+    low: float
+    high: float
+
+    def scores(self, upto: np.ndarray, p: TreeParams, down: bool) -> np.ndarray:
+        left = self.total - (self.own - upto) if down else upto
+        return _scores(left, self.total - left, self.parent, p, self.sign, self.low, self.high)
+
+    def split(self, gain: float, f: int, cond: float, upto: np.ndarray, down: bool) -> Split:
+        left = self.total - (self.own - upto) if down else upto
+        return Split(gain, f, cond, down, left, self.total - left)
+
+
+def stretch(values: np.ndarray, sums: np.ndarray, before: np.ndarray, c: NodeColumn, p: TreeParams) -> Stretch:
+    """``values``: ascending and distinct, with their ``sums`` (values, targets, 2); ``before``: sums of the smaller ones."""
+    upto = before + np.cumsum(sums, axis=0)
+    none = (-np.inf, 0.0, before)
+    down = up = none
+    if len(values) > 1:
+        cut = middle(values[:-1], values[1:])
+        s = c.scores(upto[:-1], p, True)
+        k = len(s) - 1 - int(s[::-1].argmax())  # from the largest value down
+        down = (float(s[k]), float(cut[k]), upto[k])
+        if c.missing:
+            s = c.scores(upto[:-1], p, False)
+            k = int(s.argmax())
+            up = (float(s[k]), float(cut[k]), upto[k])
+    return Stretch(values[0], values[-1], upto[-1], down, up)
+
+
+def best_exact(columns: dict[int, tuple[NodeColumn, list[Stretch]]], p: TreeParams) -> Split | None:
+    """The best split of a node between any two values that it holds, or beyond them.
+
+    Cuts are tried from the largest value down; upwards too where values are missing. Among equal gains the lower feature
+    and the first candidate win.
+    """
+    best: Split | None = None
+    for f in sorted(columns):
+        c, parts = columns[f]
+        v0, v1 = parts[0].first, parts[-1].last
+        ends = np.array([x.upto for x in parts[:-1]]).reshape(-1, *c.total.shape)
+        cuts = middle(np.array([x.last for x in parts[:-1]], np.float32), np.array([x.first for x in parts[1:]], np.float32))
+        for down in (True, False) if c.missing else (True,):
+            beyond = np.float32(v0 - (abs(v0) + np.float32(1e-6))) if down else np.float32(v1 + (abs(v1) + np.float32(1e-6)))
+            found = []
+            for i, g in enumerate(c.scores(ends, p, down) if len(ends) else []):
+                found += [parts[i].down if down else parts[i].up, (float(g), float(cuts[i]), ends[i])]
+            found.append(parts[-1].down if down else parts[-1].up)
+            edge = np.zeros_like(c.own) if down else c.own
+            last = (float(c.scores(edge, p, down)), float(beyond), edge)
+            for g, cond, upto in ([*found[::-1], last] if down else [*found, last]):
+                if g > (best.gain if best else 0.0):
+                    best = c.split(g, f, cond, upto, down)
+    return best
 
 
 # ---- the same search as DataFrame plans ----

@@ -17,13 +17,15 @@ from boostlake.functions.metrics import Metric, metric
 from boostlake.functions.objectives import Frame, Objective, objective
 from boostlake.model import Model
 from boostlake.operators import linear
-from boostlake.operators.cuts import Cuts, bins_matrix, build, summaries
-from boostlake.operators.grow import BinnedTree, grow, uniform
+from boostlake.operators.cuts import Cuts, bins_matrix, build
+from boostlake.operators.grow import BinnedTree, ValueTree, grow, uniform
 from boostlake.operators.predict import predict
 from boostlake.operators.splits import ALIASES, TreeParams
 from boostlake.session import stored
 
 log = logging.getLogger("boostlake")
+#: Rows in a stretch of values that one task of the exact method sorts, about; and the fewest stretches of a feature.
+STRETCH_ROWS, STRETCHES = 65_536, 256
 #: Rounds after which margins are stored, to cut lineage.
 STORE_EVERY = 8
 
@@ -125,7 +127,7 @@ def canonical(params: dict) -> dict:
 
 
 def _encode(data: Data, cuts: Cuts, extra: list[str]) -> DataFrame:
-    """row_id, bins (int16) and the extra columns of ``data.plain()``."""
+    """row_id, bins (values for the exact method) and the extra columns of ``data.plain()``."""
     plain = data.plain()
     keep = [c for c in plain.columns if c not in ("x", "row_id") and (c in extra)]
     shared = plain.sparkSession.sparkContext.broadcast(cuts)
@@ -137,22 +139,24 @@ def _encode(data: Data, cuts: Cuts, extra: list[str]) -> DataFrame:
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, m)
             if np.isinf(x).any():
                 raise ValueError("features hold infinite values")
-            bins = bins_matrix(x, shared.value).astype("<i2")
+            cuts = shared.value
+            bins = (x if cuts.exact else bins_matrix(x, cuts)).astype(cuts.kind)
             yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([r.tobytes() for r in bins], pa.binary()), *(b.column(c) for c in keep)], names=["row_id", "bins", *keep])
 
     return plain.select("row_id", "x", *keep).mapInArrow(run, f"row_id long, bins binary{fields_}")
 
 
-def _add_trees(df: DataFrame, trees: list[BinnedTree], outputs: list[list[int]], features: int, factors: list[float] | None = None, only: bool = False) -> DataFrame:
+def _add_trees(df: DataFrame, trees: list[BinnedTree], outputs: list[list[int]], cuts: Cuts, factors: list[float] | None = None, only: bool = False) -> DataFrame:
     """Margins of a binned frame plus the leaf values of ``trees``."""
     shared = df.sparkSession.sparkContext.broadcast((trees, outputs, factors or [1.0] * len(trees)))
+    features, kind = len(cuts.values), cuts.kind
     names, at = df.columns, df.columns.index("margin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, outputs, factors = shared.value
         for b in batches:
             n = b.num_rows
-            bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), "<i2").reshape(n, features)
+            bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), kind).reshape(n, features)
             margin = np.asarray(b.column("margin").flatten(), np.float64).reshape(n, -1).astype(np.float32)
             for t, o, w in zip(trees, outputs, factors, strict=True):
                 margin[:, o] += np.float32(w) * t.tree.leaf[t.nodes_of(bins)]
@@ -221,14 +225,10 @@ def _sampler(p: TreeParams, df: DataFrame, seed: int) -> Callable | None:
     return functools.partial(_take_share, rate=p.subsample, seed=seed)
 
 
-def exact_values(df: DataFrame, features: list[str], limit: int = 32_000) -> Cuts:
-    """All distinct values of each feature; the exact method is for features with few."""
-    out = [np.zeros(0, np.float32)] * len(features)
-    for r in summaries(df, features, size=limit).collect():
-        out[r["feature"]] = np.array(r["values"], np.float32)
-        if len(out[r["feature"]]) >= limit:
-            raise ValueError(f"feature {features[r['feature']]} has too many distinct values for the exact method; use hist")
-    return Cuts([v if len(v) else np.zeros(1, np.float32) for v in out], [False] * len(features), exact=True)
+def stretches(df: DataFrame, features: list[str]) -> Cuts:
+    """Stretches of values for the exact method, so many that each has a bounded number of rows apart from copies of a value."""
+    cuts = build(df, features, max(STRETCHES, -(-df.count() // STRETCH_ROWS)))
+    return replace(cuts, exact=True)
 
 
 def train(params: dict, data: Data, rounds: int = 10, evals: dict[str, Data] | None = None, early_stopping_rounds: int = 0, maximise: bool | None = None, on_iteration: Callable[[int, dict], bool | None] | None = None, custom: Callable[[DataFrame], DataFrame] | None = None, start: Model | None = None, custom_metric: tuple[str, Callable[[DataFrame], float]] | None = None) -> Booster:
@@ -300,6 +300,8 @@ def _new_model(params, data, obj, k, targets, custom, start) -> Model:
 def _binned(model: Model, i: int, cuts: Cuts) -> BinnedTree:
     """A tree of the model with its splits as bins."""
     t = model.trees[i]
+    if cuts.exact:
+        return ValueTree(t, {})
     last = {n: int(np.searchsorted(cuts.values[t.feature[n]], t.cond[n], side="right")) - 1 for n in range(t.n) if t.left[n] >= 0 and n not in t.categories}
     return BinnedTree(t, last)
 
@@ -319,7 +321,7 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
     base = [obj.to_margin(b) for b in model.base_score]
     fitted = {"plain": data.plain().select("row_id", *[F.col("x")[i].alias(f) for i, f in enumerate(data.features)], *(["weight"] if data.weight else []))}
     w = F.col("weight") if data.weight and not data.qid else None
-    cuts = exact_values(fitted["plain"], data.features) if exact else build(fitted["plain"], data.features, p.max_bin, cats, w)
+    cuts = stretches(fitted["plain"], data.features) if exact else build(fitted["plain"], data.features, p.max_bin, cats, w)
     keep = ["label", "weight", "qid", "label_lower_bound", "label_upper_bound", "base_margin"]
     frame = data.frame()
     begin = _start(_encode(data, cuts, keep), base)
@@ -337,7 +339,7 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
         if dart and model.trees:
             factors = _drop(params, model, rng)
             if factors:
-                work = _add_trees(state, [_binned(model, t, cuts) for t in factors], [_outputs_of(model, t, k, vector) for t in factors], len(data.features), [-model.weight_drop[t] for t in factors])
+                work = _add_trees(state, [_binned(model, t, cuts) for t in factors], [_outputs_of(model, t, k, vector) for t in factors], cuts, [-model.weight_drop[t] for t in factors])
         gh = (custom(work) if custom is not None else obj.gradient(work, frame, targets)).persist()
         if approx:
             weighted = gh.select("row_id", F.aggregate("h", F.lit(0.0), lambda a, x: a + x).alias("__h")).join(fitted["plain"], "row_id")
@@ -348,7 +350,7 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
         grown: list[BinnedTree] = []
         for _ in range(model.parallel):
             sample = _sampler(p, gh, seed * 1_000_003 + i * 1009 + len(grown))
-            grown += grow(gh, cuts, p, single, rng, sample, exact, 1 / model.parallel)
+            grown += grow(gh, cuts, p, single, rng, sample, 1 / model.parallel)
         order = [j * len(single) + s for s in range(len(single)) for j in range(model.parallel)]
         grown = [grown[x] for x in order]
         new = len(grown)
@@ -361,10 +363,10 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
         old = state
         if factors:
             changed = list(factors)
-            before = _add_trees(work, [_binned(model, t, cuts) for t in changed], [_outputs_of(model, t, k, vector) for t in changed], len(data.features), [model.weight_drop[t] for t in changed])
-            state = _add_trees(before, grown, outputs, len(data.features), weights)
+            before = _add_trees(work, [_binned(model, t, cuts) for t in changed], [_outputs_of(model, t, k, vector) for t in changed], cuts, [model.weight_drop[t] for t in changed])
+            state = _add_trees(before, grown, outputs, cuts, weights)
         else:
-            state = _add_trees(state, grown, outputs, len(data.features), weights)
+            state = _add_trees(state, grown, outputs, cuts, weights)
         if (i + 1) % STORE_EVERY == 0:
             state = stored(state, "margins")
         state = state.persist()

@@ -57,6 +57,46 @@ def test_exact_figures(spark):
     assert root.feature[0] == 0 and abs(root.cond[0] - 0.5065763) < 1e-6 and abs(root.loss_chg[0] - 182.48346) < 1e-3
 
 
+def plain_split(x, y, score):
+    """(gain, feature, cut, missing left) of the best split between any two values of x, by full sorted sums."""
+    g, best = score - y, (0.0, None, None, None)
+    gain = lambda g, n: g * g / (n + 1)
+    for f in range(x.shape[1]):
+        held = np.flatnonzero(~np.isnan(x[:, f]))
+        v, at = np.unique(x[held, f], return_inverse=True)
+        gs, ns = np.cumsum(np.bincount(at, g[held])), np.cumsum(np.bincount(at))
+        cut = (v[:-1] + v[1:]) * np.float32(0.5)
+        cut = np.where(cut == v[1:], v[:-1], cut)
+        for left in (True, False) if len(held) < len(x) else (True,):
+            lg, ln = (gs[:-1] + g.sum() - gs[-1], ns[:-1] + len(x) - ns[-1]) if left else (gs[:-1], ns[:-1])
+            s = gain(lg, ln) + gain(g.sum() - lg, len(x) - ln) - gain(g.sum(), len(x))
+            k = len(s) - 1 - s[::-1].argmax() if left else s.argmax()
+            if s[k] > best[0] * (1 + 1e-6):
+                best = (s[k], f, cut[k], left)
+    return best
+
+
+@pytest.mark.parametrize("rows, lost, stretches", [(40_000, 0, 256), (3_000, 500, 7), (3_000, 500, 1)])
+def test_exact_splits_of_many_values(spark, monkeypatch, rows, lost, stretches):
+    monkeypatch.setattr("boostlake.train.STRETCHES", stretches)
+    rng = np.random.default_rng(rows + stretches)
+    x = np.stack([rng.permutation(rows), rng.integers(0, 50, rows)], axis=1).astype(np.float32)
+    y = np.where(x[:, 0] < 0.777 * rows, 0.0, 3.0) + x[:, 1] / 20 + rng.standard_normal(rows)
+    x[rng.choice(rows, lost, replace=False), 0] = np.nan
+    d = Data(frame(spark, x, label=y), NAMES[:2])
+    t = train({"tree_method": "exact", "max_depth": 2, "base_score": 0.5}, d, 1).model.trees[0]
+    own = np.ones(rows, bool)
+    for node, side in ((0, None), (int(t.left[0]), True), (int(t.right[0]), False)):
+        if side is not None:
+            v = x[:, t.feature[0]]
+            left = np.where(np.isnan(v), t.default_left[0], v < t.cond[0]).astype(bool)
+            own = left if side else ~left
+        gain, f, cut, missing_left = plain_split(x[own], y[own], 0.5)
+        assert t.feature[node] == f and t.cond[node] == np.float32(cut)
+        assert abs(t.loss_chg[node] - gain) < 1e-3 * gain
+        assert not np.isnan(x[own][:, f]).any() or t.default_left[node] == missing_left
+
+
 def test_categorical_figures(spark):
     rng = np.random.default_rng(8)
     x, v = numbers(rng, 300), numbers(rng, 100)
