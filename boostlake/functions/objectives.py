@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boostlake.functions import scalar as S
-from boostlake.functions.ranking import lambda_gradients
+from boostlake.functions.ranking import EPS, lambda_gradients
 
 FLT_EPS, FLT_MIN, FLT_MAX = 1.1920929e-07, 1.17549435e-38, 3.4028235e38
 
@@ -55,6 +55,10 @@ class Objective:
         pairs = self.pairs([F.col(f.margin)[i] for i in range(self.outputs(targets))], self._labels(f, targets), f.w())
         return df.withColumn("g", F.array(*[p[0] for p in pairs])).withColumn("h", F.array(*[p[1] for p in pairs]))
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        """The result of ``gradient``, after what the next round needs of it was taken."""
+        return df
+
     def pairs(self, s: list[Column], y: list[Column], w: Column) -> list[tuple[Column, Column]]:
         return [self.pair(a, b, w) for a, b in zip(s, y, strict=True)]
 
@@ -427,13 +431,44 @@ def _nullable(t: pa.Table) -> pa.Table:
 
 
 class Rank(Objective):
-    """Pairwise ranking; a query's rows are compared in one task."""
+    """Pairwise ranking; a query's rows are compared in one task.
+
+    With ``lambdarank_unbiased`` the debiasing terms in ``bias`` go into the gradients, which come with the losses by place
+    (columns place, li and lj); ``settle`` sums those up and updates the terms.
+    """
+
+    bias: tuple[np.ndarray, np.ndarray] | None = None
+
+    def unbiased(self) -> bool:
+        return str(self.params.get("lambdarank_unbiased", 0)).lower() in ("1", "true")
+
+    def places(self, df, f=Frame()) -> int:
+        """Places that have debiasing terms."""
+        per = self.params.get("lambdarank_num_pair_per_sample")
+        if self.params.get("lambdarank_pair_method", "topk") == "topk":
+            return int(per) if per is not None else 32
+        return min(int(df.groupBy(f.qid).count().agg(F.max("count")).first()[0] or 0), 32)
+
+    def settle(self, df):
+        if not self.unbiased():
+            return df
+        plus, minus = self.bias
+        li, lj = np.zeros(len(plus)), np.zeros(len(plus))
+        for r in df.where(F.col("place") < len(plus)).groupBy("place").agg(F.sum("li").alias("li"), F.sum("lj").alias("lj")).collect():
+            li[r["place"]], lj[r["place"]] = r["li"], r["lj"]
+        power = 1 / (1 + float(self.params.get("lambdarank_bias_norm", 1)))
+        self.bias = tuple((x / x[0]) ** power if len(x) and x[0] >= EPS else t for x, t in ((li, plus), (lj, minus)))
+        return df.drop("place", "li", "lj")
 
     def gradient(self, df, f=Frame(), targets=1):
         kind, params = self.name.split(":")[1], dict(self.params)
         groups = df.select(F.col(f.qid).alias("q"), f.w().alias("w")).groupBy("q").agg(F.first("w").alias("w")).agg(F.sum("w"), F.count("*")).first() if f.weight else None
         scale = float(groups[1] / groups[0]) if groups and groups[0] else 1.0
         fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
+        if self.unbiased() and self.bias is None:
+            k = self.places(df, f)
+            self.bias = (np.ones(k), np.ones(k))
+        bias = self.bias
         names = Frame(**{k: getattr(f, k) for k in ("label", "margin", "weight", "qid", "row_id")})
 
         def run(t: pa.Table) -> pa.Table:
@@ -441,11 +476,16 @@ class Rank(Objective):
             s = np.array([m[0] for m in t.column(names.margin).to_pylist()], np.float32)
             y = np.asarray(t.column(names.label), np.float64)
             w = float(t.column(names.weight)[0].as_py()) * scale if names.weight else 1.0
-            g, h = lambda_gradients(s, y, kind, params, w)
+            costs = np.zeros((2, len(s)))
+            g, h = lambda_gradients(s, y, kind, params, w, bias, costs=costs)
             pack = lambda x: pa.array([[v] for v in x.tolist()], pa.list_(pa.float64()))
-            return t.append_column("g", pack(g)).append_column("h", pack(h))
+            t = t.append_column("g", pack(g)).append_column("h", pack(h))
+            if bias is None:
+                return t
+            return t.append_column("place", pa.array(np.arange(len(s)))).append_column("li", pa.array(costs[0])).append_column("lj", pa.array(costs[1]))
 
-        return df.groupBy(f.qid).applyInArrow(run, f"{fields}, g array<double>, h array<double>")
+        more = ", place long, li double, lj double" if bias is not None else ""
+        return df.groupBy(f.qid).applyInArrow(run, f"{fields}, g array<double>, h array<double>{more}")
 
     def intercept(self, df, f=Frame(), targets=1):
         return [0.0]

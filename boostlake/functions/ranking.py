@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Least debiasing term that is divided by.
+EPS = 1e-16
 
-def lambda_gradients(score: np.ndarray, label: np.ndarray, kind: str, params: dict, weight: float = 1.0, bias: tuple[np.ndarray, np.ndarray] | None = None, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+
+def lambda_gradients(score: np.ndarray, label: np.ndarray, kind: str, params: dict, weight: float = 1.0, bias: tuple[np.ndarray, np.ndarray] | None = None, key: int = 0, costs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and hessian of each document.
 
     kind: ndcg, map or pairwise. ``lambdarank_pair_method`` topk compares the best documents with all below
     them, mean compares each with as many others as asked, chosen by a hash of ``key``. Rows must be in row order; ties in
-    score keep it. ``bias`` holds the position debiasing terms of clicked and unclicked places.
+    score keep it. ``bias`` holds the position debiasing terms of clicked and unclicked places, a place being that of a row in row order;
+    the losses that update them are added to the two rows of ``costs``.
     """
     n = len(score)
     g, h = np.zeros(n), np.zeros(n)
@@ -44,7 +48,18 @@ def lambda_gradients(score: np.ndarray, label: np.ndarray, kind: str, params: di
     lam = (p - 1) * delta
     hess = np.maximum(p * (1 - p), 1e-16) * delta * 2
     if bias is not None:
-        t = bias[0][hi_at] * bias[1][lo_at]
+        k = len(bias[0])
+        held = np.flatnonzero((hi < k) & (lo < k))
+        plus, minus = bias[0][hi[held]], bias[1][lo[held]]
+        if costs is not None:
+            with np.errstate(divide="ignore"):
+                loss = -np.log(1 - p[held]) * delta[held]
+            for row, at, t in ((0, hi, minus), (1, lo, plus)):
+                ok = t >= EPS
+                np.add.at(costs[row], at[held][ok], loss[ok] / t[ok])
+        ok = (plus >= EPS) & (minus >= EPS)
+        t = np.ones(len(lam))
+        t[held[ok]] = plus[ok] * minus[ok]
         lam, hess = lam / t, hess / t
     np.add.at(g, hi, lam), np.add.at(g, lo, -lam)
     np.add.at(h, hi, hess), np.add.at(h, lo, hess)

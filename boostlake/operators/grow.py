@@ -301,7 +301,8 @@ def grow(df: DataFrame, cuts: Cuts, p: TreeParams, outputs: list[list[int]], rng
                     own = np.cumsum(x.hist[starts[f] : starts[f + 1]], axis=0)
                     upto[starts[f] + 1 : starts[f + 1]] = own[:-1]
                     missing = not np.allclose(own[-1][:, 1], x.sums[:, 1], rtol=1e-7, atol=1e-9)
-                    columns[k, x.node][f] = NodeColumn(x.sums, own[-1], missing, parent, p.monotone_constraints[f] if f < len(p.monotone_constraints) else 0, low, high)
+                    sides = {"left": (True,), "right": (False,)}.get(p.default_direction, (True, False) if missing else (True,))
+                    columns[k, x.node][f] = NodeColumn(x.sums, own[-1], sides, parent, p.monotone_constraints[f] if f < len(p.monotone_constraints) else 0, low, high)
                 before[k, x.node] = upto
             splits = exact_splits(df, trees, columns, before, cuts, p, outputs, sample)
             for k, x in opened:

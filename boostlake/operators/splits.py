@@ -33,6 +33,7 @@ class TreeParams:
     colsample_bylevel: float = 1.0
     colsample_bynode: float = 1.0
     refresh_leaf: bool = True
+    default_direction: str = "learn"
     monotone_constraints: list[int] = field(default_factory=list)
     interaction_constraints: list[list[int]] = field(default_factory=list)
     feature_weights: list[float] | None = None
@@ -177,11 +178,12 @@ class Stretch:
 
 @dataclass
 class NodeColumn:
-    """A node and a feature: sums of the node and of its rows that have a value, gain of the node and its limits."""
+    """A node and a feature: sums of the node and of its rows that have a value, the sides on which missing values are
+    tried (True is left), gain of the node and its limits."""
 
     total: np.ndarray
     own: np.ndarray
-    missing: bool
+    sides: tuple[bool, ...]
     parent: float
     sign: int
     low: float
@@ -206,7 +208,7 @@ def stretch(values: np.ndarray, sums: np.ndarray, before: np.ndarray, c: NodeCol
         s = c.scores(upto[:-1], p, True)
         k = len(s) - 1 - int(s[::-1].argmax())  # from the largest value down
         down = (float(s[k]), float(cut[k]), upto[k])
-        if c.missing:
+        if False in c.sides:
             s = c.scores(upto[:-1], p, False)
             k = int(s.argmax())
             up = (float(s[k]), float(cut[k]), upto[k])
@@ -225,7 +227,7 @@ def best_exact(columns: dict[int, tuple[NodeColumn, list[Stretch]]], p: TreePara
         v0, v1 = parts[0].first, parts[-1].last
         ends = np.array([x.upto for x in parts[:-1]]).reshape(-1, *c.total.shape)
         cuts = middle(np.array([x.last for x in parts[:-1]], np.float32), np.array([x.first for x in parts[1:]], np.float32))
-        for down in (True, False) if c.missing else (True,):
+        for down in c.sides:
             beyond = np.float32(v0 - (abs(v0) + np.float32(1e-6))) if down else np.float32(v1 + (abs(v1) + np.float32(1e-6)))
             found = []
             for i, g in enumerate(c.scores(ends, p, down) if len(ends) else []):

@@ -20,12 +20,15 @@ from boostlake.operators import linear
 from boostlake.operators.cuts import Cuts, bins_matrix, build
 from boostlake.operators.grow import BinnedTree, ValueTree, grow, uniform
 from boostlake.operators.predict import predict
+from boostlake.operators.refresh import prune, refresh
 from boostlake.operators.splits import ALIASES, TreeParams
 from boostlake.session import stored
 
 log = logging.getLogger("boostlake")
 #: Rows in a stretch of values that one task of the exact method sorts, about; and the fewest stretches of a feature.
 STRETCH_ROWS, STRETCHES = 65_536, 256
+#: Attributes of a model that hold the position debiasing terms, from which training goes on.
+TERMS = ("ti+", "tj-")
 #: Rounds after which margins are stored, to cut lineage.
 STORE_EVERY = 8
 
@@ -94,7 +97,7 @@ class Booster:
 
 
 LEARNER = {"objective", "base_score", "num_class", "num_target", "boost_from_average", "disable_default_eval_metric", "booster", "multi_strategy", "eval_metric", "seed", "random_state", "seed_per_iteration", "nthread", "n_jobs", "device", "validate_parameters", "verbosity"}
-BOOSTER = {"tree_method", "updater", "updater_seq", "process_type", "num_parallel_tree", "num_trees", "sample_type", "normalize_type", "rate_drop", "one_drop", "skip_drop", "tolerance", "feature_selector", "top_k", "sparse_threshold", "max_cached_hist_node", "opt_dense_col", "default_direction", "debug_synchronize"}
+BOOSTER = {"tree_method", "updater", "updater_seq", "process_type", "num_parallel_tree", "num_trees", "sample_type", "normalize_type", "rate_drop", "one_drop", "skip_drop", "tolerance", "feature_selector", "top_k", "sparse_threshold", "max_cached_hist_node", "opt_dense_col", "debug_synchronize"}
 OBJECTIVE = {"scale_pos_weight", "huber_slope", "tweedie_variance_power", "quantile_alpha", "expectile_alpha", "aft_loss_distribution", "aft_loss_distribution_scale", "lambdarank_pair_method", "lambdarank_num_pair_per_sample", "lambdarank_unbiased", "lambdarank_normalization", "lambdarank_score_normalization", "lambdarank_bias_norm", "ndcg_exp_gain"}
 
 
@@ -110,6 +113,8 @@ def tree_params(params: dict) -> TreeParams:
                 v = json.loads(v) if v else []
             out[f.name] = v if isinstance(v, (list, str)) or v is None else type(f.default)(v)
     p = TreeParams(**out)
+    if p.default_direction not in ("learn", "left", "right"):
+        raise ValueError("default_direction is learn, left or right")
     if p.max_bin < 2 or p.learning_rate < 0 or not 0 <= p.subsample <= 1:
         raise ValueError("max_bin, learning_rate or subsample is out of range")
     return p
@@ -245,11 +250,18 @@ def train(params: dict, data: Data, rounds: int = 10, evals: dict[str, Data] | N
     k = obj.outputs(targets)
     model = _new_model(params, data, obj, k, targets, custom, start)
     metrics = _metrics(params, obj, custom is not None)
-    run = _linear_rounds if kind == "gblinear" else _tree_rounds
+    run = _linear_rounds if kind == "gblinear" else _update_rounds if params.get("process_type") == "update" else _tree_rounds
+    if kind != "gblinear":
+        updaters(params)
+    held = [json.loads(model.attributes[a]) for a in TERMS if a in model.attributes]
+    if len(held) == 2 and hasattr(obj, "bias") and obj.unbiased():
+        obj.bias = (np.array(held[0]), np.array(held[1]))
     history: dict[str, dict[str, list[float]]] = {}
     best, best_at = None, 0
     for i, states in run(params, data, obj, model, rounds, evals or {}, custom, k, targets):
         line = f"[{i}]"
+        if getattr(obj, "bias", None) is not None:
+            model.attributes |= {a: json.dumps(t.tolist()) for a, t in zip(TERMS, obj.bias, strict=True)}
         last: tuple[Metric | None, float] = (None, float("nan"))
         for name, (frame, df) in states.items():
             shown = [F.col("margin")[j] for j in range(k)]
@@ -297,6 +309,59 @@ def _new_model(params, data, obj, k, targets, custom, start) -> Model:
     return model
 
 
+#: Tree methods by the name of their updater.
+GROWERS = {"grow_colmaker": "exact", "grow_histmaker": "approx", "grow_quantile_histmaker": "hist"}
+
+
+def updaters(params: dict) -> list[str]:
+    """Names in updater_seq or updater: for update those that change trees, else none or one that grows them."""
+    names = [x.strip() for x in str(params.get("updater_seq") or params.get("updater") or "").split(",") if x.strip()]
+    kind = params.get("process_type", "default")
+    if kind not in ("default", "update"):
+        raise ValueError("process_type is default or update")
+    if kind == "update" and (not names or set(names) - {"refresh", "prune"}):
+        raise ValueError("process_type update takes the updaters refresh and prune")
+    if kind == "default" and names and (len(names) > 1 or names[0] not in GROWERS):
+        raise ValueError(f"new trees take one updater of {', '.join(GROWERS)}")
+    return names
+
+
+def _update_rounds(params, data, obj, model, rounds, evals, custom, k, targets) -> Iterator[tuple[int, dict]]:
+    """The trees of a model, round by round, with statistics and leaves of the data (refresh) or fewer splits (prune)."""
+    p, names = tree_params(params), updaters(params)
+    if model.weight_drop is not None or params.get("multi_strategy") == "multi_output_tree":
+        raise ValueError("process_type update doesn't take dropout or vector leaves")
+    if "refresh" in names and any(p.monotone_constraints):
+        raise ValueError("refresh doesn't take monotone constraints")
+    if rounds > model.rounds:
+        raise ValueError(f"no more trees to update: the model has {model.rounds} rounds")
+    p = replace(p, learning_rate=p.learning_rate / model.parallel)
+    old, info, ends = model.trees, model.tree_info, model.indptr
+    model.trees, model.tree_info, model.indptr = [], [], [0]
+    base = [obj.to_margin(b) for b in model.base_score]
+    frame = data.frame()
+    state = _start(data.plain(), base).persist()
+    sets = {name: (d, d.frame(), predict_margin(d, model, base)) for name, d in evals.items()}
+    for i in range(rounds):
+        part = replace(model, trees=old[ends[i] : ends[i + 1]], tree_info=info[ends[i] : ends[i + 1]], indptr=[0, ends[i + 1] - ends[i]])
+        gh = custom(state) if custom is not None else obj.settle(obj.gradient(state, frame, targets).persist())
+        for name in names:
+            part = refresh(part, gh, p) if name == "refresh" else prune(part, p)
+        first = len(model.trees)
+        model.trees += part.trees
+        model.tree_info += part.tree_info
+        model.indptr.append(len(model.trees))
+        state = add_margin(data, model, state, first, base, False)
+        if (i + 1) % STORE_EVERY == 0:
+            state = stored(state, "margins")
+        state = state.persist()
+        states = {}
+        for name, (d, f, df) in sets.items():
+            df = add_margin(d, model, df, first, base, False).persist()
+            sets[name], states[name] = (d, f, df), (f, df)
+        yield i, states
+
+
 def _binned(model: Model, i: int, cuts: Cuts) -> BinnedTree:
     """A tree of the model with its splits as bins."""
     t = model.trees[i]
@@ -308,7 +373,7 @@ def _binned(model: Model, i: int, cuts: Cuts) -> BinnedTree:
 
 def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) -> Iterator[tuple[int, dict]]:
     p = tree_params(params)
-    method = params.get("tree_method", "auto")
+    method = GROWERS[u[0]] if (u := updaters(params)) else params.get("tree_method", "auto")
     exact, approx = method == "exact", method == "approx"
     seed = int(params.get("seed", params.get("random_state", 0)))
     vector = params.get("multi_strategy") == "multi_output_tree"
@@ -341,6 +406,8 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
             if factors:
                 work = _add_trees(state, [_binned(model, t, cuts) for t in factors], [_outputs_of(model, t, k, vector) for t in factors], cuts, [-model.weight_drop[t] for t in factors])
         gh = (custom(work) if custom is not None else obj.gradient(work, frame, targets)).persist()
+        if custom is None:
+            gh = obj.settle(gh)
         if approx:
             weighted = gh.select("row_id", F.aggregate("h", F.lit(0.0), lambda a, x: a + x).alias("__h")).join(fitted["plain"], "row_id")
             cuts = build(weighted, data.features, p.max_bin, cats, F.col("__h"))
@@ -451,7 +518,7 @@ def _linear_rounds(params, data, obj, model, rounds, evals, custom, k, targets)
     sets = {name: (d.frame(), d.plain().persist()) for name, d in evals.items()}
     for i in range(model.linear_rounds, model.linear_rounds + rounds):
         at = linear.margins(_start(rows, base), model.weights, "base_margin" in rows.columns)
-        gh = custom(at) if custom is not None else obj.gradient(at, frame, targets)
+        gh = custom(at) if custom is not None else obj.settle(obj.gradient(at, frame, targets))
         largest = linear.step(gh, model.weights, params, np.random.default_rng([int(params.get("seed", 0)), i]))
         model.linear_rounds += 1
         yield i, {n: (f, linear.margins(_start(df, base), model.weights, True)) for n, (f, df) in sets.items()}

@@ -1,5 +1,7 @@
 """Training: recorded figures, metamorphic properties, parameters and edge cases."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +13,7 @@ from boostlake.model import Model
 from boostlake.operators.cuts import choose, merge, prune
 from boostlake.operators.grow import interaction_mask, uniform
 from boostlake.operators.predict import predict
+from boostlake.operators.refresh import prune, refresh
 from boostlake.operators.splits import TreeParams, best_split
 from boostlake.train import Data, canonical, train, tree_params
 
@@ -118,6 +121,77 @@ def test_ranking_figures(spark):
     assert abs(b.history["valid"]["ndcg@5"][-1] - 0.98347313) < 1e-6
 
 
+def plain_debiased(y, s, plus, minus):
+    """Gradients and losses of rank:pairwise for one query, pair by pair, without normalisation."""
+    g, li, lj = np.zeros(len(s)), np.zeros(len(s)), np.zeros(len(s))
+    for a in range(len(s)):
+        for b in range(len(s)):
+            if y[a] <= y[b]:
+                continue
+            p = 1 / (1 + np.exp(s[b] - s[a]))
+            lam = p - 1
+            if a < len(plus) and b < len(plus):
+                lam /= plus[a] * minus[b]
+                li[a] += -np.log(1 - p) / minus[b]
+                lj[b] += -np.log(1 - p) / plus[a]
+            g[a] += lam
+            g[b] -= lam
+    return g, li, lj
+
+
+def test_position_debiasing(spark):
+    rng = np.random.default_rng(23)
+    y, s, k, norm = rng.integers(0, 3, (4, 6)).astype(float), rng.standard_normal((4, 6)).astype(np.float32), 5, 0.5
+    df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(24), "qid": np.repeat(range(4), 6), "label": y.ravel(), "margin": [[float(v)] for v in s.ravel()]}))
+    obj = objective("rank:pairwise", {"lambdarank_unbiased": 1, "lambdarank_bias_norm": norm, "lambdarank_num_pair_per_sample": k, "lambdarank_normalization": 0})
+    plus, minus = np.ones(k), np.ones(k)
+    for _ in range(2):
+        got = obj.settle(obj.gradient(df, Frame(qid="qid"))).orderBy("row_id").collect()
+        parts = [plain_debiased(a, b.astype(float), plus, minus) for a, b in zip(y, s, strict=True)]
+        want = np.concatenate([p[0] for p in parts])
+        assert np.allclose([r["g"][0] for r in got], want, atol=1e-6)
+        li, lj = (sum(p[i][:k] for p in parts) for i in (1, 2))
+        plus, minus = (li / li[0]) ** (1 / (1 + norm)), (lj / lj[0]) ** (1 / (1 + norm))
+        assert np.allclose(obj.bias[0], plus) and np.allclose(obj.bias[1], minus)
+
+
+def test_debiased_training_goes_on(spark):
+    rng = np.random.default_rng(29)
+    x = numbers(rng, 80)
+    d = Data(frame(spark, x, label=rng.integers(0, 3, 80).astype(float), qid=np.repeat(range(8), 10)).cache(), NAMES, qid="qid")
+    p = {"objective": "rank:ndcg", "lambdarank_unbiased": True, "max_depth": 2}
+    whole = train(p, d, 2, {"train": d})
+    assert len(json.loads(whole.model.attributes["ti+"])) == 32
+    parts = train(p, d, 1, {"train": d}, start=train(p, d, 1).model)
+    leaves = lambda b: np.round(b.model.trees[1].leaf.ravel(), 5).tolist()
+    assert leaves(whole) == leaves(parts) != leaves(train({**p, "lambdarank_unbiased": False}, d, 2))
+
+
+def test_update_of_trees(spark, regression):
+    p = {"max_depth": 3, "base_score": 0.5}
+    first = train(p, regression, 3).model
+    again = train({**p, "process_type": "update", "updater_seq": "refresh"}, regression, 3, {"train": regression}, start=first)
+    for a, b in zip(first.trees, again.model.trees, strict=True):
+        assert a.feature.tolist() == b.feature.tolist() and np.allclose(a.leaf[a.left < 0], b.leaf[b.left < 0], atol=1e-5)
+    half = Data(regression.df.where("row_id % 2 = 0"), NAMES)
+    other = train({**p, "process_type": "update", "updater": "refresh,prune", "gamma": 1.0}, half, 1, {"train": half}, start=first).model
+    gh = half.plain().withColumn("g", F.array(0.5 - F.col("label"))).withColumn("h", F.array(F.lit(1.0)))
+    want = prune(refresh(first.slice(0, 1), gh, TreeParams(max_depth=3)), TreeParams(max_depth=3, min_split_loss=1.0)).trees[0]
+    assert len(other.trees) == 1 and np.allclose(other.trees[0].leaf, want.leaf, atol=1e-5)
+    for bad, rounds, start in (({"updater": "refresh"}, 4, first), ({"updater": "refresh"}, 1, None), ({"updater": "grow_colmaker"}, 1, first), ({}, 1, first)):
+        with pytest.raises(ValueError):
+            train({**p, "process_type": "update", **bad}, regression, rounds, start=start)
+
+
+@pytest.mark.parametrize("side, left", [("left", True), ("right", False)])
+def test_default_direction(spark, side, left):
+    x = np.array([[1], [2], [3], [4], [np.nan], [np.nan]] * 10, np.float32)
+    for high in (0.0, 1.0):
+        d = Data(frame(spark, x, label=np.array([0, 0, 1, 1, high, high] * 10, float)), NAMES[:1])
+        t = train({"tree_method": "exact", "max_depth": 1, "default_direction": side}, d, 1).model.trees[0]
+        assert bool(t.default_left[0]) is left
+
+
 def test_margins_match_predictions(spark, regression):
     b = train({"max_depth": 3, "subsample": 0.7, "colsample_bytree": 0.8}, regression, 3, {"train": regression})
     out = predict(b.model, regression.plain(), "value").withColumn("pred", F.col("prediction"))
