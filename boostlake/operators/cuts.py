@@ -27,7 +27,9 @@ class Cuts:
     @property
     def kind(self) -> str:
         """Type of the numbers in the bins of a frame."""
-        return "<f4" if self.exact else "<i2"
+        if self.exact:
+            return "<f4"
+        return "<i2" if max(map(len, self.values), default=0) <= np.iinfo(np.int16).max else "<i4"
 
     def rows(self) -> list[tuple[int, int, float, bool]]:
         """(feature, bin, cut, is_cat)."""

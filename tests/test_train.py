@@ -111,6 +111,15 @@ def test_categorical_figures(spark):
     assert b.model.trees[0].categories[0].tolist() == [0, 2, 4]
 
 
+def test_many_categories(spark):
+    codes = np.array([0, 7, 32_769, 40_000] * 30, np.float32)
+    d = Data(frame(spark, codes[:, None], label=(codes == 40_000).astype(float)), NAMES[:1], categorical=NAMES[:1])
+    m = train({"max_depth": 1}, d, 1).model
+    assert list(m.trees[0].categories[0]) == [40_000]
+    got = {r.f0: r.prediction[0] for r in predict(m, d.plain().withColumn("f0", F.col("x")[0]), output="margin").collect()}
+    assert got[40_000] > got[0] == got[7] == got[32_769]
+
+
 def test_ranking_figures(spark):
     rng = np.random.default_rng(3)
     x, v = numbers(rng, 300), numbers(rng, 100)
