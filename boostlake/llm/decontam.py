@@ -49,11 +49,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 6,
 
     ``benchmark`` has item_id and text. A window is ``window`` consecutive words of an item; an item with fewer
     words, but not none, is one window. A document's word inside any occurrence of a window is a hit.
-    Null and empty texts on either side have no words. Results follow from the text, so equal texts get
+    Items whose item_id is null make hits like others but aren't in items. Null and empty texts on either side have no words. Results follow from the text, so equal texts get
     equal results; repeated rows and ids stay. ``text_keys`` adds k1 and k2, hashes of the text.
     """
     guard = window - k + 1
-    bench = durable(benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of().alias("words")).where("size(words) > 0"), "benchmark")
+    bench = durable(benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of().alias("words")).where("size(words) > 0"), "benchmark")
     short = sorted(r[0] for r in bench.where(F.size("words") < window).select(F.size("words")).distinct().collect())  # under `window` numbers
     wins = bench.select("item_id", F.explode(F.when(F.size("words") >= window, windows(window)).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.size("words").alias("n"), F.array_join("words", " ").alias("win"))))).alias("w")).select("item_id", "w.n", "w.win").distinct()
     marks = bench.select(F.explode(fingerprints(k, guard, short)).alias("mark")).distinct().withColumn("hit", F.lit(1))

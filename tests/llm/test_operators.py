@@ -238,6 +238,14 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate(texts) if not brute.hits(t, items)[1]]
 
 
+def test_benchmark_items_without_id(spark):
+    b = spark.createDataFrame([(None, "one two three four five six seven eight nine ten eleven"), (None, "red fox"), (4, "alpha beta gamma")], "item_id long, text string")
+    d = docs_of(spark, ["x one two three four five six seven eight nine ten y", "a red fox", "alpha beta gamma red fox", "clean text"], range(4))
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.scan(d, b).collect()}
+    assert got == {0: (10, []), 1: (2, []), 2: (5, ["4"]), 3: (0, [])}
+    assert [r.doc_id for r in decontam.clean(d, b).collect()] == [3]
+
+
 # 6: token store
 
 
