@@ -353,7 +353,18 @@ def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def representatives(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` less the rows whose doc_id isn't the smallest of its component."""
-    linked = link(docs, width=width, percent=percent)
-    gone = durable(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of ``docs``: that with the smallest doc_id, null last. Texts without shingles stay.
+
+    Where doc_ids are null or repeated, rows are numbered and told apart by their number.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        docs_ = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        linked = link(docs_.select(F.col("__row").alias("doc_id"), "text"), width=width, percent=percent)
+        rows = durable(linked.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("root")).join(docs_.select("__row", F.col("doc_id").cast("long").alias("id")), "__row"), "rows")
+        kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("__row"))
+        gone, key = durable(rows.select("__row").join(kept, "__row", "left_anti"), "gone"), "__row"
+    else:
+        docs_, key = docs, "doc_id"
+        linked = link(docs, width=width, percent=percent)
+        gone = durable(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs_.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti").select(*docs.columns)

@@ -185,6 +185,18 @@ def test_jaccard_rows_and_stage(spark):
     assert kept.columns == d.columns and sorted(r.component_id for r in kept.collect()) == [2, 3, 4, 5]
 
 
+def test_representatives_of_unclear_ids(spark):
+    rng = random.Random(41)
+    a, b, c, clean, chain = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(5))
+    near = lambda t, k=1: t + "".join(f" more{i}" for i in range(k))
+    rows = [(1, a), (5, near(a)), (5, clean), (2, b), (2, b), (None, c), (None, near(c)), (9, c), (3, ""), (3, ""), (None, "")]
+    rows += [(20, chain), (None, near(chain, 12)), (21, near(chain, 24))]  # the ends meet only by the row without an id
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in jaccard.representatives(docs).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(got, key=order) == [(1, a), (2, b), (3, ""), (3, ""), (5, clean), (9, c), (20, chain), (None, "")]
+
+
 def test_signatures_meet():
     """Linked sets share a signature at every size."""
     rng = np.random.default_rng(0)
