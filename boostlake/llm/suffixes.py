@@ -219,15 +219,22 @@ def _marks(rows: DataFrame, length: int) -> DataFrame:
     return pieces.groupBy("bucket").applyInArrow(match, "k1 long, k2 long, marks binary")
 
 
+#: Window starts in a stretch of a text that is too long for a block.
+STEP = 1 << 23
+
+
 def _long_anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     """Anchors of one text too long for a block's place numbers: by overlapping stretches, equal anchors joined."""
-    step, parts = 1 << 23, []
+    step, parts = STEP, []
     data = np.frombuffer(text, np.uint8)
     for a in range(0, len(data) - length + 1, step):
         part = data[a : a + step + length - 1]
         _, at, first, last, h = anchors(part, np.array([len(part)]), length)
         parts.append((at + a, first + a, last + a, h))
     at, first, last, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # an anchor that serves windows on both sides of a cut comes from both stretches
+    at, begin = np.unique(at, return_index=True)
+    first, last, h = np.minimum.reduceat(first, begin), np.maximum.reduceat(last, begin), h[begin]
     return np.zeros(len(at), np.int64), at, first, last, h
 
 

@@ -371,6 +371,13 @@ def test_multikey_order():
     assert rows == sorted(words.tolist())
 
 
+def test_anchors_across_stretches(monkeypatch):
+    raw = np.random.default_rng(3).integers(97, 100, 5000).astype(np.uint8)
+    monkeypatch.setattr(suffixes, "STEP", 700)
+    for got, want in zip(suffixes._long_anchors(raw.tobytes(), 100), suffixes.anchors(raw, np.array([5000]), 100), strict=True):
+        assert (got == want).all()
+
+
 def test_anchors_of_long_text():
     raw = np.random.default_rng(0).integers(97, 100, 5000).astype(np.uint8)
     whole = suffixes.anchors(raw, np.array([5000]), 100)
