@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each DOM node gets its link-adjusted characters per tag; a node's density sum adds its children's densities.
-Boilerplate elements (by tag, role or a word of class or id) are cut first. The subtree with the largest
+Boilerplate elements (by tag, role or a word of class or id) are cut first; while no article or main is left, those cut for
+a word only come back if they hold one, or most of the page's text outside links. The subtree with the largest
 sum is chosen, widened to ancestors as long as their other content reaches the threshold, the least
 density on the path from the chosen node to the body.
 """
@@ -41,28 +42,63 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element: tag, parent, children (nodes and text), dropped, and its counts."""
 
-    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped, self.items = tag, parent, dropped, []
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False):
+        self.tag, self.parent, self.dropped, self.named, self.items = tag, parent, dropped or named, named, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    return [(name.lower(), value.strip("\"'").lower()) for name, value in _ATTR.findall(attrs)]
+
+
 def _boilerplate(tag: str, attrs: str) -> bool:
     if tag in DROPPED:
         return True
     if not attrs or tag in KEPT:
         return False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+    for name, value in _attributes(attrs):
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return True
-        if name in ("class", "id") and not CLASS_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
     return False
 
 
+def _named(tag: str, attrs: str) -> bool:
+    """Whether a word of class or id tells boilerplate."""
+    return bool(attrs) and tag not in KEPT and any(name in ("class", "id") and not CLASS_WORDS.isdisjoint(_WORDS.findall(value)) for name, value in _attributes(attrs))
+
+
+def _restore(root: Node) -> None:
+    """Take back cuts by words that lose the main text."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [c for c in x.items if isinstance(c, Node) and (c.named or not c.dropped)]
+    free, holds = {}, {}
+    for x in reversed(order):
+        inner = [c for c in x.items if isinstance(c, Node) and c in free]
+        own = sum(len(c) - c.count(" ") for c in x.items if isinstance(c, str) and not c.isspace())
+        free[x] = 0 if x.tag == "a" else own + sum(free[c] for c in inner)
+        holds[x] = x.tag in ("article", "main") or any(holds[c] for c in inner)
+    while True:
+        seen, stack = [], [root]
+        while stack:
+            x = stack.pop()
+            seen.append(x)
+            if not x.dropped:
+                stack += [c for c in x.items if isinstance(c, Node) and c in free]
+        if any(x.tag in ("article", "main") for x in seen if not x.dropped):
+            return
+        back = [x for x in seen if x.dropped and (holds[x] or 2 * free[x] > free[root])]
+        if not back:
+            return
+        for x in back:
+            x.dropped = False
+
+
 def parse(page: str) -> Node:
     """A forgiving parse: unclosed elements end with their parents, stray end tags are ignored."""
     root = Node("html", None)
@@ -111,7 +147,7 @@ def parse(page: str) -> Node:
                     if tag != "tr":
                         break
                 x = x.parent
-        child = Node(tag, node, _boilerplate(tag, m[3]))
+        child = Node(tag, node, dropped := _boilerplate(tag, m[3]), not dropped and _named(tag, m[3]))
         node.items.append(child)
         if tag in VOID:
             continue
@@ -124,6 +160,7 @@ def parse(page: str) -> Node:
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         node = child
+    _restore(root)
     return root
 
 

@@ -337,6 +337,21 @@ def test_main_text():
     assert htmltext.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+TEXT = "The river rose by two metres in the night, and the old bridge was closed to all traffic until noon. " * 4
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="content with-sidebar">', '<div class="no-comments">', '<div id="search-page">'])
+def test_wrappers_named_like_boilerplate(wrapper):
+    ad, aside = '<div class="ad"><p>Buy cheap shoes now.</p></div>', '<div class="sidebar"><p>Weather and sports of today.</p></div>'
+    comment = f'<div class="comments"><article class="comment"><p>{TEXT * 2}</p></article></div>'
+    for body in (f"<article><p>{TEXT}</p></article>", f"<p>{TEXT}</p>"):
+        page = f"<html><body>{aside}{wrapper}{ad}{body}</div></body></html>"
+        assert htmltext.main_text(page) == TEXT.strip()
+    # long comments beside the article are cut as before
+    assert htmltext.main_text(f"<body>{wrapper}<article><p>{TEXT}</p></article>{comment}</div></body>") == TEXT.strip()
+    assert htmltext.main_text(f"<body><article><p>{TEXT}</p></article>{comment}</body>") == TEXT.strip()
+
+
 def test_extract_keeps_columns(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = htmltext.extract(d)
