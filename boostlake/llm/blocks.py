@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from boostlake.session import remove as drop  # noqa: F401
+from boostlake.session import stored as durable  # noqa: F401
 
 #: Rows of an Arrow batch handed to Python; keeps a worker's memory bounded when texts are long.
 BATCH_ROWS = 1000
@@ -36,38 +38,6 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def store_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        current = sc._jsc.sc().getCheckpointDir()
-        where = current.get() if current.isDefined() else None
-    if not where:
-        where = f"file:///tmp/boostlake-checkpoints/{sc.applicationId}"
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def durable(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{store_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame | None) -> None:
-    """Delete the files of a table made by ``durable``, through Spark's own file system layer."""
-    if df is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift, multiply) over uint64."""
     x = x.astype(np.uint64, copy=True)
