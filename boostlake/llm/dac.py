@@ -5,12 +5,13 @@ says which of them go on to level k + 1; a rank directory holds the ones before
 bitmap, so that any token is reached by one rank per level, without decoding a block.
 
 File format: a Parquet table with one row per block of whole documents: part, block, start_in_part,
-n_tokens, doc_ids (int64 LE), doc_ends (int64 LE), levels, bitmaps, ranks (lists of binary).
+n_tokens, known (bitmap of documents with an id), doc_ids (int64 LE), doc_ends (int64 LE), levels, bitmaps, ranks (lists of binary).
 Parts are ranges of doc_id in ascending order; blocks ascend within a part.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -25,10 +26,12 @@ from tokenizers import Tokenizer
 
 from boostlake.llm.blocks import blocks, bounded, durable
 
-FORMAT = "part int, block long, start_in_part long, n_tokens long, doc_ids binary, doc_ends binary, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
+FORMAT = "part int, block long, start_in_part long, n_tokens long, known binary, doc_ids binary, doc_ends binary, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Bytes of bitmap between entries of a rank directory.
 STEP = 64
+#: Tokens in a cell, by which places find their blocks: a block lies in few cells and a cell in few blocks.
+CELL = 1 << 18
 
 
 def pack(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -45,19 +48,24 @@ def pack(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
     return levels, bitmaps, ranks
 
 
-def access(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], at: int) -> int:
-    """The token at place ``at``."""
-    value, shift = 0, 0
-    for level, bits, directory in zip(levels, bitmaps, ranks, strict=True):
-        value |= level[at] << shift
-        if not bits[at >> 3] >> (at & 7) & 1:
+def access(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], at: np.ndarray) -> np.ndarray:
+    """The tokens at places ``at``, by one rank per level; nothing else is decoded."""
+    at = np.asarray(at, np.int64)
+    out, open_ = np.zeros(len(at), np.uint32), np.arange(len(at))
+    for k, (level, bits, directory) in enumerate(zip(levels, bitmaps, ranks, strict=True)):
+        if not len(open_):
             break
-        first = (at >> 3) // STEP
-        before = int.from_bytes(directory[4 * first : 4 * first + 4], "little")
-        within = np.frombuffer(bits, np.uint8)[first * STEP : at >> 3]
-        at = before + int(_POPCOUNT[within].sum()) + int(_POPCOUNT[bits[at >> 3] & ((1 << (at & 7)) - 1)])
-        shift += 8
-    return value
+        own, held = np.frombuffer(level, np.uint8), np.frombuffer(bits, np.uint8)
+        out[open_] |= own[at].astype(np.uint32) << np.uint32(8 * k)
+        more = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        open_, at = open_[more], at[more]
+        byte = at >> 3
+        first = byte // STEP * STEP
+        # bits set from the directory's entry up to the place
+        near = first[:, None] + np.arange(STEP)
+        whole = np.where(near < byte[:, None], _POPCOUNT[held[np.minimum(near, len(held) - 1)]], 0).sum(axis=1, dtype=np.int64)
+        at = np.frombuffer(directory, "<u4")[first // STEP] + whole + _POPCOUNT[held[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)]
+    return out
 
 
 def unpack(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
@@ -75,6 +83,11 @@ def unpack(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
 CACHED = 250_000
 #: A word that the normalizer only lower-cases and that splits into letters and ASCII punctuation.
 _PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+# The normalizer and pre-tokenizer under which words between blanks can be encoded one by one.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -87,20 +100,40 @@ def _byte_letters() -> dict[int, str]:
 class WordTokenizer:
     """The library's ids of texts, as unsigned 32-bit integers (of a little-endian machine).
 
-    Its pre-tokenizer never joins across a space or a line feed, so words are encoded once and their ids reused.
-    Letters and punctuation of plain words go straight to the library's model, other words through all its steps.
-    Of each cache two generations of CACHED entries are held.
+    Under WORD_STEPS the pre-tokenizer never joins across a space or a line feed, so words are encoded once and their ids
+    reused: letters and punctuation of plain words go straight to the library's model, other words through all its
+    steps. Of each cache two generations of CACHED entries are held. Texts with an added token's string, and all
+    texts of files with other steps, go through the library as a whole. ``special_as_text`` reads the strings of
+    special tokens as ordinary text, which the library as loaded doesn't.
     """
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        steps = json.loads(content)
+        added = [t for t in steps.get("added_tokens") or [] if not (special_as_text and t["special"])]
+        self.by_word = all(steps.get(k) == v for k, v in WORD_STEPS.items()) and not any(t["normalized"] for t in added)
+        self.added = [t["content"] for t in added]
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
         self.old_words, self.old_pieces = self.words, self.pieces
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if not self.by_word or any(x in t for x in self.added)]
+        if not whole:
+            return self._encode_words(texts)
+        known = dict(zip(whole, self._encode_whole([texts[i] for i in whole]), strict=True))
+        rest = iter(self._encode_words([t for i, t in enumerate(texts) if i not in known]))
+        return [known[i] if i in known else next(rest) for i in range(len(texts))]
+
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 4096):
+            out += (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts[at : at + 4096], add_special_tokens=False))
+        return out
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > CACHED:
             self.old_words, self.words = self.words, {}
@@ -122,42 +155,41 @@ class WordTokenizer:
                 words[w] = pieces[word] + pieces[tail]
             else:
                 other.append(w)
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            words.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+        words.update(zip(other, self._encode_whole(other), strict=True))
         get = words.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
 
-_TOKENIZERS: dict[int, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[int, bool], WordTokenizer] = {}
 
 
-def _tokenizer(content: bytes) -> WordTokenizer:
-    key = hash(content)
+def _tokenizer(content: bytes, special_as_text: bool) -> WordTokenizer:
+    key = hash(content), special_as_text
     if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = WordTokenizer(content)
+        _TOKENIZERS[key] = WordTokenizer(content, special_as_text)
     return _TOKENIZERS[key]
 
 
-def write(docs: DataFrame, tokenizer_file: bytes, *, end_id: int = 2, block_tokens: int = 1 << 18) -> DataFrame:
+def write(docs: DataFrame, tokenizer_file: bytes, *, end_id: int = 2, block_tokens: int = 1 << 18, special_as_text: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and store them in the file format, in ascending doc_id order; the table is reread.
 
     Null texts are empty; each document ends with ``end_id``. Rows of equal doc_id follow by text, those
-    without a doc_id come first. Ranges of doc_id come from quantiles of the column; equal ids share a part.
+    without a doc_id come first, kept apart from ids by a bitmap. Ranges of doc_id come from quantiles of the column and
+    go to tasks as they are; equal ids share a part. ``special_as_text``: see WordTokenizer.
     """
     spark = docs.sparkSession
     bounded(spark)
     shared = spark.sparkContext.broadcast(tokenizer_file)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 4 * tasks
+    n = tasks
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.select(F.col("doc_id").cast("long")).agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
     part = F.coalesce(_range_of("doc_id", cuts), F.lit(0))
-    dealt = rows.withColumn("part", part.cast("int")).repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "text")
+    dealt = rows.withColumn("part", part.cast("int")).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizer(shared.value)
+        own = _tokenizer(shared.value, special_as_text)
         state = {"part": None, "block": 0, "start": 0}
         docs_, ids, ends = [], [], []
         last = struct.pack("<I", end_id)
@@ -167,7 +199,7 @@ def write(docs: DataFrame, tokenizer_file: bytes, *, end_id: int = 2, block_toke
             levels, bitmaps, ranks = pack(flat)
             row = {"part": [state["part"]], "block": [state["block"]], "start_in_part": [state["start"]], "n_tokens": [len(flat)]}
             known = np.array([d is not None for d in docs_])
-            row["doc_ids"] = [np.where(known, [d or 0 for d in docs_], np.iinfo(np.int64).min).astype("<i8").tobytes()]
+            row |= {"known": [np.packbits(known, bitorder="little").tobytes()], "doc_ids": [np.array([d or 0 for d in docs_], "<i8").tobytes()]}
             row |= {"doc_ends": [np.array(ends, "<i8").tobytes()], "levels": [levels], "bitmaps": [bitmaps], "ranks": [ranks]}
             state["block"] += 1
             state["start"] += len(flat)
@@ -194,7 +226,7 @@ def write(docs: DataFrame, tokenizer_file: bytes, *, end_id: int = 2, block_toke
 
 
 _SCHEMA = pa.schema(
-    [("part", pa.int32()), ("block", pa.int64()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_ends", pa.binary())]
+    [("part", pa.int32()), ("block", pa.int64()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.binary()), ("doc_ids", pa.binary()), ("doc_ends", pa.binary())]
     + [(x, pa.list_(pa.binary())) for x in ("levels", "bitmaps", "ranks")]
 )
 
@@ -209,29 +241,67 @@ def _range_of(column: str, cuts: list[int]):
 
 def read(table: DataFrame) -> DataFrame:
     """Per document of a stored table: doc_id, start (tokens of all documents before it), n_tokens, ids (array of long)."""
-    return _documents(table, "ids array<long>", lambda ids: pa.array([ids.astype(np.int64)], pa.list_(pa.int64())))
+
+    def make(ids: np.ndarray, ends: np.ndarray, r: dict) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int64)))]
+
+    return _documents(table, "ids array<long>", make)
 
 
 def digest(table: DataFrame) -> DataFrame:
-    """As ``read``, with ids_crc32 of the ids as little-endian uint32 in place of the ids."""
-    return _documents(table, "ids_crc32 long", lambda ids: pa.array([zlib.crc32(ids.astype("<u4").tobytes())], pa.int64()))
+    """As ``read``, with ids_crc32 of the ids as little-endian uint32 and first_id, the document's first token as
+    ``access`` finds it, in place of the ids."""
+
+    def make(ids: np.ndarray, ends: np.ndarray, r: dict) -> list[pa.Array]:
+        flat, begins = ids.astype("<u4"), np.concatenate(([0], ends[:-1]))
+        sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]
+        return [pa.array(sums, pa.int64()), pa.array(access(r["levels"], r["bitmaps"], r["ranks"], begins).astype(np.int64))]
 
+    return _documents(table, "ids_crc32 long, first_id long", make)
 
-def _documents(table: DataFrame, column: str, make) -> DataFrame:
+
+def _starts(table: DataFrame) -> DataFrame:
+    """(part, part_start): tokens before each part; one row per part, whose number is fixed by the number of tasks."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+    return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+
+
+def _documents(table: DataFrame, columns: str, make) -> DataFrame:
+    names = [x.split()[0] for x in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = unpack(r["levels"], r["bitmaps"])
                 ends = np.frombuffer(r["doc_ends"], "<i8")
                 begins = np.concatenate(([0], ends[:-1]))
-                doc_ids = np.frombuffer(r["doc_ids"], "<i8")
+                known = np.unpackbits(np.frombuffer(r["known"], np.uint8), count=len(ends), bitorder="little").view(bool)
                 first = r["part_start"] + r["start_in_part"]
-                made = pa.concat_arrays([make(ids[a:b]) for a, b in zip(begins, ends, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == np.iinfo(np.int64).min), pa.array(first + begins), pa.array(ends - begins), made], names=["doc_id", "start", "n_tokens", column.split()[0]])
+                made = make(unpack(r["levels"], r["bitmaps"]), ends, r)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=~known), pa.array(first + begins), pa.array(ends - begins), *made], names=["doc_id", "start", "n_tokens", *names])
+
+    return table.join(F.broadcast(_starts(table)), "part").drop("part", "block", "n_tokens").mapInArrow(run, f"doc_id long, start long, n_tokens long, {columns}")
+
+
+def fetch(table: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, id) for the distinct ``places`` (place long, counted over all tokens in document order) that a stored
+    table holds. Each block is read once, and only the places wanted are decoded. Null places and ones beyond the
+    table's tokens give no row."""
+    starts = F.broadcast(_starts(table))
+    total = table.agg(F.sum("n_tokens")).first()[0] or 0
+    wanted = places.select(F.col("place").cast("long").alias("place")).where((F.col("place") >= 0) & (F.col("place") < total)).distinct()
+    # places and blocks meet in cells of the token count
+    cell = F.floor(F.col("place") / CELL)
+    ends = table.select("part", "block", "start_in_part", "n_tokens").join(starts, "part").select(F.struct("part", "block").alias("at"), (F.col("part_start") + F.col("start_in_part")).alias("from"), F.col("n_tokens").alias("n")).where("n > 0")
+    covers = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / CELL), F.floor((F.col("from") + F.col("n") - 1) / CELL))))
+    found = wanted.withColumn("cell", cell).join(covers, "cell").where((F.col("place") >= F.col("from")) & (F.col("place") < F.col("from") + F.col("n")))
+    dealt = found.groupBy("at").agg(F.min("from").alias("from"), F.collect_list("place").alias("places")).select("at.part", "at.block", "from", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = np.array(r["places"], np.int64)
+                ids = access(r["levels"], r["bitmaps"], r["ranks"], at - r["from"])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids.astype(np.int64))], names=["place", "id"])
 
-    # one row per part of a fixed number of parts
-    return table.join(F.broadcast(starts), "part").select("part_start", "start_in_part", "doc_ids", "doc_ends", "levels", "bitmaps").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return table.select("part", "block", "levels", "bitmaps", "ranks").join(dealt, ["part", "block"]).drop("part", "block").mapInArrow(run, "place long, id long")

@@ -265,22 +265,46 @@ def test_directly_addressable_codes():
     ids = np.random.default_rng(0).integers(0, 1 << 20, 3000)
     ids[::5] = 7
     levels, bits, ranks = dac.pack(ids)
-    assert (dac.unpack(levels, bits) == ids).all() and all(dac.access(levels, bits, ranks, i) == v for i, v in enumerate(ids.tolist()))
+    assert (dac.unpack(levels, bits) == ids).all() and (dac.access(levels, bits, ranks, np.arange(len(ids))) == ids).all()
     assert len(dac.unpack(*dac.pack(np.zeros(0))[:2])) == 0
 
 
-def test_token_store(spark):
-    texts = [*corpus(6, 50), "<|endoftext|> a", "İstanbul ΟΔΟΣ", "e ́ x", "a\x85b\x1cc don't 'S"]
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_token_store(spark, special_as_text):
+    texts = [*corpus(6, 50), "<|endoftext|> a", "x<|startoftext|><|endoftext|>y z", "<|ENDOFTEXT|>", "İstanbul ΟΔΟΣ", "e ́ x", "a\x85b\x1cc don't 'S"]
     rng = random.Random(2)
     ids = rng.sample(range(-5, 1000), len(texts))
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    got = {r.doc_id: r for r in dac.read(dac.write(docs_of(spark, texts, ids), queries.vocabulary("word_bpe_49k.json"), block_tokens=64)).collect()}
-    start = 0
+    if special_as_text:
+        t.encode_special_tokens = True
+    table = dac.write(docs_of(spark, texts, ids), queries.vocabulary("word_bpe_49k.json"), block_tokens=64, special_as_text=special_as_text)
+    got = {r.doc_id: r for r in dac.read(table).collect()}
+    start, all_ids = 0, []
     for d, x in sorted(zip(ids, texts, strict=True)):
         want = [*t.encode(x or "", add_special_tokens=False).ids, 2]
         assert (got[d].start, got[d].n_tokens, got[d].ids) == (start, len(want), want)
         start += len(want)
+        all_ids += want
+    assert all(r.first_id == got[r.doc_id].ids[0] for r in dac.digest(table).collect())
+    wanted = [*rng.sample(range(start), 200), 0, 0, start - 1, start, -1, None]
+    found = dac.fetch(table, spark.createDataFrame([(p,) for p in wanted], "place long")).collect()
+    assert sorted((r.place, r.id) for r in found) == sorted({(p, all_ids[p]) for p in wanted if p is not None and 0 <= p < start})
+
+
+def test_token_store_without_ids(spark):
+    rows = [(None, "b c"), (-(2**63), "a"), (None, "a"), (3, None), (3, "z"), (3, "z")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string")
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in dac.read(dac.write(d, queries.vocabulary("word_bpe_49k.json"))).collect())
+    assert [x[1] for x in got] == [None, None, -(2**63), 3, 3, 3] and [x[2] for x in got] == [2, 3, 2, 1, 2, 2]
+
+
+def test_other_tokenizer_file():
+    """A file with other steps goes through the library as a whole."""
+    content = queries.vocabulary("byte_bpe_50k.json")
+    texts = ["a  b\n c", "Don't <|endoftext|> x", ""]
+    t = Tokenizer.from_str(content.decode())
+    for x, ids in zip(texts, dac.WordTokenizer(content).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 # 7: language
@@ -299,6 +323,14 @@ def test_language(spark):
 # 8: chat
 
 
+def test_chat_rows_and_columns(spark):
+    """Other columns don't clash; a repeated row is a turn of its own."""
+    rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (3, 0, "user", "a"), (4, 0, "user", "w " * 50_000)]
+    d = spark.createDataFrame([(*r, 9, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, n_turns long, rendered string, n string")
+    got = {r.conv_id: (r.n_turns, r.rendered) for r in chat.render(d).collect()}
+    assert set(got) == {1, 2, 4} and got[2][0] == 3 and got[2][1].count("a<|end|>") == 2
+
+
 def test_chat_collapse(spark):
     rng = random.Random(8)
     convs = {i: [(rng.choice(["user", "assistant", None]), rng.choice(["hi", "yo", None, ""])) for _ in range(rng.randint(1, 4))] for i in range(60)}
