@@ -24,7 +24,8 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of conversations that are no prefix of another; of equal ones the smallest conv_id stays."""
+    """(conv_id, n_turns) of conversations that are no prefix of another; of equal ones the smallest conv_id stays.
+    ``turns`` has conv_id, turn, role and text. A conversation is held by its hashes alone, however long its turns are."""
     prefixes = prefix_hashes(turns)
     whole = prefixes.groupBy("conv_id").agg(F.max(F.struct("n", "h1", "h2")).alias("w")).select("conv_id", "w.*")
     first = whole.groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
@@ -35,7 +36,9 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame, user: str = "<|{role}|>\n{text}<|end|>\n") -> DataFrame:
     """Maximal conversations: conv_id, n_turns, n_chars and rendered. ``user`` is the template of a turn; null role is
-    ``unknown``, null text is empty."""
+    ``unknown``, null text is empty. Of ``turns`` only conv_id, turn, role and text are read, so that others may have any
+    name. A repeated row is one more turn: it is counted and rendered, and counts in prefixes too."""
+    turns = turns.select("conv_id", "turn", "role", "text")
     before, _, rest = user.partition("{role}")
     middle, _, after = rest.partition("{text}")
     line = F.concat(F.lit(before), F.coalesce("role", F.lit("unknown")), F.lit(middle), F.coalesce("text", F.lit("")), F.lit(after))
