@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-The first transducer, an Aho-Corasick automaton, marks insults (word prefixes learned from labelled rows, and a
-small fixed list) and threats. Clauses with a mark are read word by word by a composition of small transducers:
-target (a person addressed), negation (weakens the next words), reported speech (weakens the rest of the clause)
-and threat (a threat needs a target close behind). A clause's weight is the sum of its marks as they leave the
-composition; a document's score is the logistic of all clause weights less the weight expected by chance.
+A lexical transducer maps each word to a symbol (insult, threat, target, negation, report or other) and a magnitude:
+insults are word prefixes learned from labelled rows, with learned weights, and a small fixed list. Four more transducers
+read symbols and write symbols: negation weakens insults and erases threats of the words that follow, reported speech
+weakens the rest of the clause, a threat needs a target close behind, and a target makes insults weigh more. They are
+composed into one table of states and arcs. An arc weighs magnitude * factor + bonus; in a cascade factors multiply and
+bonuses are scaled by the factors of the transducers that follow. A clause scores the sum along its path and the weight
+of the state where it ends. A document's score is the logistic of all matched clauses less the weight expected by
+chance.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -20,21 +24,92 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boostlake.llm.blocks import blocks, bounded
+from boostlake.llm.blocks import blocks, bounded, drop, durable
 
 # Seed words of the grammar.
 INSULTS = "idiot stupid moron imbecile scum loser pathetic worthless disgusting trash clown bastard asshole bitch dumbass vermin filth subhuman retard scumbag degenerate".split()
 THREATS = "kill murder hurt beat destroy shoot stab burn hang strangle".split()
 TARGETS = frozenset("you your yours youre u ur they them he him she her those these du dich dir ihr euch tu te toi vous ti usted ustedes vosotros".split())
-NEGATIONS = frozenset("not no never neither nor isnt arent dont wont cant kein keine nicht nie ne pas jamais non nunca ni".split())
+NEGATIONS = frozenset("not no never neither nor without hardly kein keine nicht nie ne pas jamais non nunca ni isnt arent wasnt werent dont doesnt didnt wont cant couldnt wouldnt shouldnt aint".split())
 REPORTS = frozenset("said says say told wrote writes quoted reported claimed called according sagte schrieb dit disait dijo dice escribio".split())
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters; a short form of "not" (n't) stays with its word, other apostrophes part words.
+_WORD = re.compile(r"[^\W\d_]+n['\u2019]t\b|[^\W\d_]+")
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 #: Most a single mark weighs, and what a document's weights must exceed.
 CAP, BIAS = 4.0, 3.0
 PREFIXES = range(3, 9)
 
+# Symbols that transducers read and write.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = SYMBOLS = range(6)
+
+
+@dataclass(frozen=True)
+class Arc:
+    """What a state does on a symbol: the next state, the symbol written, and the weight magnitude * factor + bonus."""
+
+    to: int
+    out: int
+    factor: float = 1.0
+    bonus: float = 0.0
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic weighted transducer: ``arcs[state][symbol]``, starting in state 0; ``final`` scales a path's weight
+    by the state where it ends."""
+
+    arcs: tuple[tuple[Arc, ...], ...]
+    final: tuple[float, ...]
+
+
+def transducer(states: int, arcs: dict[tuple[int, int], Arc], onward: tuple[int, ...], final: tuple[float, ...] | None = None) -> Transducer:
+    """Arcs by (state, symbol); where none is given the symbol is copied and the state goes to ``onward[state]``."""
+    return Transducer(tuple(tuple(arcs.get((s, x), Arc(onward[s], x)) for x in SYMBOLS) for s in range(states)), final or (1.0,) * states)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The cascade: ``second`` reads what ``first`` writes. Only pairs of states that can be reached are kept."""
+    number, arcs, final, todo = {(0, 0): 0}, [], [], [(0, 0)]
+    while todo:
+        a, b = todo.pop(0)
+        row = []
+        for x in SYMBOLS:
+            u = first.arcs[a][x]
+            v = second.arcs[b][u.out]
+            pair = (u.to, v.to)
+            if pair not in number:
+                number[pair] = len(number)
+                todo.append(pair)
+            row.append(Arc(number[pair], v.out, u.factor * v.factor, u.bonus * v.factor + v.bonus))
+        arcs.append(tuple(row))
+        final.append(first.final[a] * second.final[b])
+    return Transducer(tuple(arcs), tuple(final))
+
+
+@functools.lru_cache
+def cascade() -> tuple[Transducer, ...]:
+    """Negation, threat, reported speech and target, in the order in which they read."""
+    scope = 4  # words that a negation or a threat reaches
+    down = (0, *range(scope))
+    negation = {(s, NEGATION): Arc(scope - 1, NEGATION) for s in range(scope)}
+    negation |= {(s, INSULT): Arc(s - 1, INSULT, 0.6) for s in range(1, scope)} | {(s, THREAT): Arc(s - 1, OTHER) for s in range(1, scope)}
+    # the state counts how many words a threat still waits for its target; a target that it meets bears its weight
+    threat = {(s, THREAT): Arc(scope, OTHER, 0.0) for s in range(scope + 1)} | {(s, TARGET): Arc(0, TARGET, 0.0, 3.0) for s in range(1, scope + 1)}
+    report = {(0, REPORT): Arc(1, REPORT)} | {(1, x): Arc(1, x, 0.8) for x in SYMBOLS}
+    target = {(s, TARGET): Arc(1, TARGET) for s in (0, 1)}
+    return (
+        transducer(scope, negation, down[:scope]),
+        transducer(scope + 1, threat, down),
+        transducer(2, report, (0, 1)),
+        transducer(2, target, (0, 1), (1.0, 1.1)),
+    )
+
+
+@functools.lru_cache
+def composed() -> Transducer:
+    return functools.reduce(compose, cascade())
+
 
 @dataclass(frozen=True)
 class Grammar:
@@ -106,11 +181,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_rows: int = 10_000, min_evi
         if total:
             yield _counts(total)
 
-    one_each = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(keyed, "key long, doc_id long, toxic int, text string").groupBy("key").agg(F.min_by(F.struct("toxic", "text"), "doc_id").alias("r")).select("r.*")
+    one_each = durable(rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(keyed, "key long, doc_id long, toxic int, text string").groupBy("key").agg(F.min_by(F.struct("toxic", "text"), "doc_id").alias("r")).select("r.*"), "labelled")  # read three times
     sums = one_each.mapInArrow(count, "feature string, clean_n long, clean_docs long, toxic_n long, toxic_docs long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("clean_n", "clean_docs", "toxic_n", "toxic_docs")])
     whole = one_each.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("c")).first()
     seeds = {w: CAP for w in INSULTS}
     if not whole["t"] or not whole["c"]:
+        drop(one_each)
         return Grammar(seeds, 0.0)
     t, c = F.col("toxic_docs"), F.col("clean_docs")
     share = whole["t"] / (whole["t"] + whole["c"])
@@ -119,6 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_rows: int = 10_000, min_evi
     found = sums.where("feature <> '' and toxic_docs >= 3").withColumn("evidence", evidence).where((F.col("evidence") >= min_evidence) & (t / whole["t"] > c / whole["c"]))
     best = found.orderBy(F.desc("evidence"), F.desc(F.length("feature")), "feature").limit(max_prefixes).collect()
     words = sums.where("feature = ''").first()
+    drop(one_each)
     insults: dict[str, float] = {}
     background = 0.0
     for r in best:
@@ -151,6 +228,7 @@ class Scorer:
             self.marks.add_word(p, len(p))
         self.marks.make_automaton()
         self.lengths = sorted({len(p) for p in grammar.insults}, reverse=True)
+        self.table = composed()
 
     def _weight(self, word: str) -> float:
         for k in self.lengths:
@@ -158,25 +236,32 @@ class Scorer:
                 return w
         return 0.0
 
-    def clause(self, text: str) -> float:
-        """Weight of one lower-cased clause."""
-        total, negated, reported, threat, target = 0.0, 0, 1.0, 0, False
+    def read(self, text: str) -> list[tuple[int, float]]:
+        """The lexical transducer: symbol and magnitude of each word of a lower-cased clause."""
+        out = []
         for word in _WORD.findall(text):
-            if word in NEGATIONS:
-                negated = 4
-            elif word in REPORTS:
-                reported = 0.8
-            if word in TARGETS:
-                target = True
-                if threat > 0:
-                    total += 3.0 * reported
-                    threat = 0
-            if word in THREATS and not negated:
-                threat = 4
-            elif (w := self._weight(word)) > 0:
-                total += w * (0.6 if negated else 1.0) * reported
-            negated, threat = max(0, negated - 1), threat - 1
-        return total * (1.1 if target else 1.0)
+            plain = word.replace("'", "").replace("\u2019", "")
+            if plain in NEGATIONS or plain != word:
+                out.append((NEGATION, 0.0))
+            elif plain in REPORTS:
+                out.append((REPORT, 0.0))
+            elif plain in TARGETS:
+                out.append((TARGET, 0.0))
+            elif plain in THREATS:
+                out.append((THREAT, 0.0))
+            else:
+                w = self._weight(plain)
+                out.append((INSULT, w) if w > 0 else (OTHER, 0.0))
+        return out
+
+    def clause(self, text: str) -> float:
+        """Weight of one lower-cased clause: of its one path through the composed table."""
+        arcs, state, total = self.table.arcs, 0, 0.0
+        for symbol, magnitude in self.read(text):
+            arc = arcs[state][symbol]
+            total += magnitude * arc.factor + arc.bonus
+            state = arc.to
+        return total * self.table.final[state]
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         """Summed clause weights less what chance gives, and the number of clauses that matched."""
@@ -202,7 +287,8 @@ class Scorer:
 
 
 def score(docs: DataFrame, grammar: Grammar, *, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with score, predicted (1 from ``threshold`` up) and n_clauses. Null and empty texts score as clean."""
+    """``docs`` with score, predicted (1 from ``threshold`` up, so a tie counts) and n_clauses. Null and empty texts score
+    as clean, texts of any length by all their clauses, repeated rows alike; columns with the three names are replaced."""
     spark = docs.sparkSession
     bounded(spark)
     carried = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted", "n_clauses")]

@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -120,6 +121,41 @@ def test_toxicity_grammar():
     assert s.score("A fine day.")[0] < 0.1 and s.score("")[0] < 0.1 and s.score(None)[0] < 0.1 and s.score("nonidiotic") == s.score("x")
 
 
+def test_toxicity_cascade_equals_paths():
+    """The composed table against the four transducers one after another, over all short clauses of symbols."""
+    for n in range(1, 5):
+        for clause in itertools.product(toxicity.SYMBOLS, repeat=n):
+            magnitudes = [1.0 + i if x == toxicity.INSULT else 0.0 for i, x in enumerate(clause)]
+            # each word bears a weight that every transducer scales and adds to
+            weights, symbols, scale = list(magnitudes), list(clause), 1.0
+            for t in toxicity.cascade():
+                state = 0
+                for i, x in enumerate(symbols):
+                    arc = t.arcs[state][x]
+                    weights[i], symbols[i], state = weights[i] * arc.factor + arc.bonus, arc.out, arc.to
+                scale *= t.final[state]
+            table, state, total = toxicity.composed(), 0, 0.0
+            for x, m in zip(clause, magnitudes, strict=True):
+                arc = table.arcs[state][x]
+                total, state = total + m * arc.factor + arc.bonus, arc.to
+            assert abs(total * table.final[state] - sum(weights) * scale) < 1e-9, clause
+
+
+def test_toxicity_contractions():
+    s = toxicity.Scorer(toxicity.Grammar({"idiot": 4.0}, 0.0))
+    assert s.clause("he isn't an idiot") == s.clause("he isn\u2019t an idiot") == s.clause("he is not an idiot") < s.clause("he is an idiot")
+    assert s.clause("i won't kill you") == 0 and s.clause("you're an idiot") == s.clause("you re an idiot") and s.clause("l'idiot") == 4.0
+
+
+def test_toxicity_rows_and_columns(spark):
+    rows = [(1, "You are an idiot, an idiot.", 7, "p", 0), (1, "You are an idiot, an idiot.", 7, "p", 0), (2, "fine " * 100_000 + "You idiot. You idiot.", 1, "q", 0), (3, None, 1, "q", 0), (None, "", 1, "q", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score int, predicted string, n_clauses int")
+    got = toxicity.score(d, toxicity.Grammar({"idiot": 4.0}, 0.0), threshold=0.5).collect()
+    assert sorted((r.doc_id or 0, r.predicted, r.n_clauses) for r in got) == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 2), (3, 0, 0)]
+    tie = toxicity.score(d, toxicity.Grammar({"idiot": 4.0}, 0.0), threshold=got[0].score).where("doc_id = 1").collect()
+    assert [r.predicted for r in tie] == [1, 1]
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
