@@ -1,10 +1,11 @@
 """Main text of web pages by composite text density.
 
-Each DOM node gets its link-adjusted characters per tag; a node's density sum adds its children's densities.
-Boilerplate elements (by tag, role or a word of class or id) are cut first; while no article or main is left, those cut for
-a word only come back if they hold one, or most of the page's text outside links. The subtree with the largest
-sum is chosen, widened to ancestors as long as their other content reaches the threshold, the least
-density on the path from the chosen node to the body.
+Every DOM node gets its link-adjusted characters per tag, and every node sums the densities of its children; the node with
+the largest sum is the core of the page. Tags, roles and whole words of class and id that speak for boilerplate
+weigh densities down, for a node and all below it; article and main weigh them up. A class word doesn't count against a node that holds
+an article or most of the page's text outside links. The threshold is the least density on the path
+from the core to the body: ancestors are taken in while other children reach it, up to an article or main. Of the chosen subtree
+the boilerplate below the core is left out.
 """
 
 from __future__ import annotations
@@ -31,7 +32,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CLASS_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu menubar header masthead topbar footer sidebar aside widget comment comments commentlist disqus respond reply replies discussion breadcrumb breadcrumbs pagination pager share sharing social cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe signup login related recommended recommendations toolbar skip search form legal copyright disclaimer alert".split()
 )
+# Last parts of names that say nothing else ("sidebar-box"), and first parts that tell of another element ("has-sidebar").
+GENERIC = frozenset("box bar block area container wrapper wrap inner outer section panel list item items link links text content holder region zone group title label icon button buttons slot unit row col left right top bottom message messages count meta info thread tools form post posts stories".split())
+NEGATING = frozenset("has with no without not hide hidden is js".split())
 KEPT = frozenset("article main body html".split())
+#: Weights of densities: of boilerplate by tag or role, of boilerplate by class or id, and of article and main.
+BY_TAG, BY_WORD, BY_ARTICLE = 0.01, 0.1, 4.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\0]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|\Z)", re.I)
@@ -40,14 +46,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: tag, parent, children (nodes and text), dropped, and its counts."""
+    """An element: tag, parent, items (nodes and text), what speaks against it, and its measures."""
 
-    __slots__ = ("tag", "parent", "items", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "free", "holds", "weight", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False):
-        self.tag, self.parent, self.dropped, self.named, self.items = tag, parent, dropped or named, named, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.tag, self.parent, self.dropped, self.named, self.items = tag, parent, dropped, named, []
+        self.chars = self.tags = self.link_chars = self.link_tags = self.free = 0
+        self.holds = False
+        self.weight, self.density, self.total = 1.0, 0.0, 0.0
 
 
 def _attributes(attrs: str) -> list[tuple[str, str]]:
@@ -66,37 +73,12 @@ def _boilerplate(tag: str, attrs: str) -> bool:
 
 
 def _named(tag: str, attrs: str) -> bool:
-    """Whether a word of class or id tells boilerplate."""
-    return bool(attrs) and tag not in KEPT and any(name in ("class", "id") and not CLASS_WORDS.isdisjoint(_WORDS.findall(value)) for name, value in _attributes(attrs))
-
-
-def _restore(root: Node) -> None:
-    """Take back cuts by words that lose the main text."""
-    order, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        stack += [c for c in x.items if isinstance(c, Node) and (c.named or not c.dropped)]
-    free, holds = {}, {}
-    for x in reversed(order):
-        inner = [c for c in x.items if isinstance(c, Node) and c in free]
-        own = sum(len(c) - c.count(" ") for c in x.items if isinstance(c, str) and not c.isspace())
-        free[x] = 0 if x.tag == "a" else own + sum(free[c] for c in inner)
-        holds[x] = x.tag in ("article", "main") or any(holds[c] for c in inner)
-    while True:
-        seen, stack = [], [root]
-        while stack:
-            x = stack.pop()
-            seen.append(x)
-            if not x.dropped:
-                stack += [c for c in x.items if isinstance(c, Node) and c in free]
-        if any(x.tag in ("article", "main") for x in seen if not x.dropped):
-            return
-        back = [x for x in seen if x.dropped and (holds[x] or 2 * free[x] > free[root])]
-        if not back:
-            return
-        for x in back:
-            x.dropped = False
+    """Whether a word of class or id tells boilerplate: one that is whole, or the last part of a name that starts with one."""
+    if not attrs or tag in KEPT:
+        return False
+    tokens = [t for name, value in _attributes(attrs) if name in ("class", "id") for t in value.split()]
+    parts = [_WORDS.findall(t) for t in tokens]
+    return any(p and p[0] in CLASS_WORDS and (len(p) == 1 or p[-1] in CLASS_WORDS or p[-1] in GENERIC) or len(p) > 1 and p[-1] in CLASS_WORDS and p[0] not in NEGATING for p in parts)
 
 
 def parse(page: str) -> Node:
@@ -160,57 +142,106 @@ def parse(page: str) -> Node:
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         node = child
-    _restore(root)
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Counts, densities and density sums of the nodes kept; children come before parents."""
+def _nodes(root: Node) -> list[Node]:
+    """All nodes, parents before their children."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
-        stack += [c for c in x.items if isinstance(c, Node) and not c.dropped]
+        stack += [c for c in x.items if isinstance(c, Node)]
+    return order
+
+
+def link_adjusted(chars: int, tags: int, link_chars: int, link_tags: int, page_chars: int, page_link_chars: int) -> float:
+    """Composite text density of a node: characters per tag, less the more of them stand in links."""
+    if not chars:
+        return 0.0
+    free = max(chars - link_chars, 1)
+    base = math.log(chars / free * link_chars + page_link_chars / max(page_chars, 1) * chars + math.e)
+    adjust = math.log(max(chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1), 1) + 1, max(base, 1.0001) + 1)
+    return chars / max(tags, 1) * adjust * (1 - link_chars / chars)
+
+
+def measure(root: Node) -> list[Node]:
+    """Counts, weights, densities and density sums of every node, parents first. Raw elements hold no text."""
+    order = _nodes(root)
     for x in reversed(order):
         for c in x.items:
             if isinstance(c, str):
-                x.chars += len(c) - c.count(" ") if not c.isspace() else 0
-            elif not c.dropped:
+                own = 0 if c.isspace() or x.tag in RAW else len(c) - c.count(" ")
+                x.chars += own
+                x.free += own
+            else:
                 x.chars += c.chars
                 x.tags += c.tags + 1
                 x.link_chars += c.chars if c.tag == "a" else c.link_chars
                 x.link_tags += c.link_tags + (c.tag == "a")
-    whole = max(root.chars, 1)
+                x.free += c.free
+                x.holds = x.holds or c.holds
+        if x.dropped or x.tag == "a":
+            x.free = 0
+        x.holds = x.holds or (x.tag in ("article", "main") and x.chars > 0)
+    _acquit(root)
     for x in order:
-        if x.chars:
-            free = max(x.chars - x.link_chars, 1)
-            base = math.log(x.chars / free * x.link_chars + root.link_chars / whole * x.chars + math.e)
-            adjust = math.log(max(x.chars / max(x.link_chars, 1) * max(x.tags, 1) / max(x.link_tags, 1), 1) + 1, max(base, 1.0001) + 1)
-            x.density = x.chars / max(x.tags, 1) * adjust * (1 - x.link_chars / x.chars)
+        x.density = link_adjusted(x.chars, x.tags, x.link_chars, x.link_tags, root.chars, root.link_chars)
+        if x.parent is not None:
+            x.weight = x.parent.weight
+        x.weight *= BY_TAG if x.dropped else BY_WORD if x.named else BY_ARTICLE if x.tag in ("article", "main") else 1.0
     for x in order:
-        x.total = sum(c.density for c in x.items if isinstance(c, Node) and not c.dropped) + (x.density if any(isinstance(c, str) and not c.isspace() for c in x.items) else 0)
+        x.total = sum(c.density * c.weight for c in x.items if isinstance(c, Node))
     return order
 
 
-def _choose(root: Node) -> Node:
-    order = _measure(root)
-    best = max(order, key=lambda x: x.total)
-    path = [best]
+def _acquit(root: Node) -> None:
+    """Words don't speak against a node that holds an article or most of the page's text outside links, from the top
+    down, until an article or main is free of them."""
+    open_, shown = [root], []
+    while open_:
+        stack, open_ = open_, []
+        while stack:
+            x = stack.pop()
+            if x.tag in ("article", "main") and x.chars:
+                return
+            for c in x.items:
+                if isinstance(c, Node) and not c.dropped:
+                    (shown if c.named else stack).append(c)
+        open_ = [x for x in shown if x.holds or 2 * x.free > root.free]
+        shown = [x for x in shown if not (x.holds or 2 * x.free > root.free)]
+        for x in open_:
+            x.named = False
+
+
+def choose(root: Node) -> tuple[Node, Node]:
+    """The core, whose children have the largest sum of densities, and the subtree chosen by the threshold of its path."""
+    order = measure(root)
+    core = max(order, key=lambda x: x.total)
+    if not core.total:  # no element below the body holds text
+        return root, root
+    path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    chosen = best
+    chosen, on_path = core, {id(x) for x in path}
     for x in path[1:]:
-        beside = [c for c in x.items if isinstance(c, Node) and not c.dropped and c.chars and c not in path]
         if chosen.tag in ("article", "main"):
             break
-        if x.tag in ("article", "main") or any(c.density >= threshold for c in beside) or any(isinstance(c, str) and not c.isspace() for c in x.items):
+        beside = [c for c in x.items if isinstance(c, Node) and id(c) not in on_path and not (c.dropped or c.named)]
+        text = any(isinstance(c, str) and not c.isspace() for c in x.items)
+        if text or x.tag in ("article", "main") or any(c.density * min(c.weight, 1.0) >= threshold and c.chars for c in beside):
             chosen = x
-    return chosen
+    return core, chosen
 
 
-def render(node: Node) -> str:
-    """Blocks of a subtree without its boilerplate: white space is one space, blocks are joined by an empty line."""
+def render(node: Node, core: Node | None = None) -> str:
+    """Blocks of a subtree without its boilerplate, but with ``core`` whatever it lies in: white space is one space, blocks
+    are joined by an empty line."""
+    spared = set()
+    while core is not None:
+        spared.add(id(core))
+        core = core.parent
     out: list[str] = []
     run: list[str] = []
 
@@ -229,7 +260,7 @@ def render(node: Node) -> str:
             run.append(x)
         elif x.tag == "br":
             run.append(" ")
-        elif not x.dropped or x is node:
+        elif not (x.dropped or x.named) or x is node or id(x) in spared:
             if x.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -239,10 +270,21 @@ def render(node: Node) -> str:
 
 
 def main_text(page: str | None) -> str:
-    """Main text of one page; empty for null, empty and textless pages."""
+    """Main text of one page; empty for null, empty and textless pages, and for pages of boilerplate by tag alone."""
     if not page:
         return ""
-    return render(_choose(parse(page)))
+    core, chosen = choose(parse(page))
+    while core is not None and _below_dropped(core):
+        core = core.parent
+    return render(chosen, core)
+
+
+def _below_dropped(x: Node | None) -> bool:
+    while x is not None:
+        if x.dropped:
+            return True
+        x = x.parent
+    return False
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

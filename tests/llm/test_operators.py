@@ -420,6 +420,54 @@ def test_wrappers_named_like_boilerplate(wrapper):
     assert htmltext.main_text(f"<body><article><p>{TEXT}</p></article>{comment}</body>") == TEXT.strip()
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "search-engine-history", "legal-analysis", "share-price", "nav-open page", "related-work", "article-form", "advert comments"])
+def test_no_page_is_emptied_by_class_words(name):
+    page = f'<body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><div class="{name}"><p>{TEXT}</p><div class="share-box">Share</div><p>{TEXT}</p></div><footer>c</footer></body>'
+    assert htmltext.main_text(page) == f"{TEXT.strip()}\n\n{TEXT.strip()}"
+    assert htmltext.main_text("<div class=ad>" * 20_000 + "deep") == "deep"
+
+
+def test_density_of_every_node():
+    """Counts, densities and sums of each node against plain recounts of its subtree."""
+    rng = random.Random(9)
+    for _ in range(30):
+        parts = []
+        for _ in range(40):
+            parts.append(rng.choice(["<div>", "</div>", "<p>", "<a href=x>", "</a>", "<nav>", "</nav>", '<div class="ad">', "word and word ", "x", "<br>", "<article>", "</article>", "<script>var x</script>"]))
+        root = htmltext.parse("".join(parts))
+        order = htmltext.measure(root)
+
+        def below(x):
+            return [y for c in x.items if isinstance(c, htmltext.Node) for y in [c, *below(c)]]
+
+        def chars(x):
+            return sum(len(c.replace(" ", "")) if isinstance(c, str) else chars(c) for c in x.items if x.tag not in htmltext.RAW)
+
+        assert {id(x) for x in order} == {id(x) for x in [root, *below(root)]}
+        page_links = sum(chars(x) for x in order if x.tag == "a" and not any(x in below(y) for y in order if y.tag == "a"))
+        for x in order:
+            links = [y for y in below(x) if y.tag == "a"]
+            outer = [y for y in links if not any(y in below(z) for z in links)]
+            n, tags, m = chars(x), len(below(x)), sum(map(chars, outer))
+            assert (x.chars, x.tags, x.link_chars, x.link_tags) == (n, tags, m, len(links))
+            want = 0.0
+            if n:
+                r = math.log(n / max(n - m, 1) * m + page_links / max(chars(root), 1) * n + math.e)
+                want = n / max(tags, 1) * math.log(max(n / max(m, 1) * max(tags, 1) / max(len(links), 1), 1) + 1, max(r, 1.0001) + 1) * (1 - m / n)
+            assert abs(x.density - want) < 1e-9
+            kids = [c for c in x.items if isinstance(c, htmltext.Node)]
+            assert abs(x.total - sum(c.density * c.weight for c in kids)) < 1e-9
+        core, _ = htmltext.choose(htmltext.parse("".join(parts)))
+        best = max(x.total for x in order)
+        assert core.total == 0 or abs(core.total - best) < 1e-9
+
+
+def test_extract_replaces_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "u", PAGE, "old", "many", 5)], "page_id long, url string, html string, text string, n_chars string, density int")
+    got = htmltext.extract(d).first()
+    assert got.n_chars == len(got.text) > 50 and got.density == 5
+
+
 def test_extract_keeps_columns(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = htmltext.extract(d)
