@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-gram buckets per language on the executors; the log-probability matrix
-(languages x buckets, a fixed size) is broadcast and batches are scored in numpy: n-grams
-of a block become bucket ids, the matrix rows they select are summed per document.
+(languages x buckets, a fixed size) is broadcast and batches are scored in numpy: n-grams of a few documents
+become a sparse matrix of counts (documents x buckets), which is multiplied with the log-probabilities
+of all languages at once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from boostlake.llm.blocks import blocks, bounded, mix64
 #: Language given to texts without a letter.
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-SCHEMA = "doc_id long, lang_pred string, score double"
+#: Documents whose counts are held at a time.
+ROWS = 32
 
 
 @dataclass(frozen=True)
@@ -47,12 +49,13 @@ def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[
         yield (mix64(code) % np.uint64(buckets)).astype(np.int64), room >= n
 
 
-def train(docs: DataFrame, *, orders: tuple[int, ...] = (2, 3), buckets: int = 1 << 15, max_docs: int = 20_000, smoothing: float = 0.1) -> LanguageModel:
+def train(docs: DataFrame, *, orders: tuple[int, ...] = (2, 3), buckets: int = 1 << 15, max_docs: int = 20_000, smoothing: float = 0.1, max_languages: int = 500) -> LanguageModel:
     """Fit on ``docs`` (doc_id, text, lang) with non-null text and lang.
 
     ``max_docs`` bounds the sample of labelled rows: those with the smallest hash of doc_id, so it is
     the same whatever the partitioning. Without a labelled row the model has no languages and
-    everything is predicted ``und``.
+    everything is predicted ``und``. More than ``max_languages`` languages are an error, as they would make a model too
+    large to broadcast.
     """
     bounded(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -74,6 +77,9 @@ def train(docs: DataFrame, *, orders: tuple[int, ...] = (2, 3), buckets: int = 1
             yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(at) + 1), "bucket": [-1, *at.tolist()], "n": [n[lang], *sums[at].tolist()]})
 
     picked = labelled.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
+    found = picked.select("lang").distinct().limit(max_languages + 1).count()
+    if found > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages if their matrix can be broadcast")
     rows = picked.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     names = sorted({r["lang"] for r in rows})
     counts = np.zeros((len(names), buckets))
@@ -89,17 +95,25 @@ def train(docs: DataFrame, *, orders: tuple[int, ...] = (2, 3), buckets: int = 1
 
 
 def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability of each text."""
+    """Language and posterior probability of each text; of languages that tie the first by name."""
     names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
     at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
     if not at or not model.languages:
         return names, best
-    own = [texts[i] for i in at]
-    starts = np.concatenate(([0], np.cumsum([len(t.lower()) + 2 for t in own])[:-1]))
-    logs = np.tile(model.prior, (len(own), 1))
-    for ids, inside in _grams(own, model.orders, model.logp.shape[1]):
-        for k in range(len(model.languages)):
-            logs[:, k] += np.add.reduceat(np.where(inside, model.logp[k][ids], 0), starts, dtype=np.float64)
+    logs = np.tile(model.prior, (len(at), 1))
+    buckets, table = model.logp.shape[1], np.ascontiguousarray(model.logp.T)
+    for first in range(0, len(at), ROWS):
+        own = [texts[i] for i in at[first : first + ROWS]]
+        sizes = [len(t.lower()) + 2 for t in own]
+        row = np.repeat(np.arange(len(own)) * buckets, sizes)
+        counts = np.zeros(len(own) * buckets, np.int64)
+        for ids, inside in _grams(own, model.orders, buckets):
+            counts += np.bincount((row + ids)[inside], minlength=len(counts))
+        # the sparse matrix: cells that aren't 0, by document
+        cell = np.flatnonzero(counts)
+        weighted = table[cell % buckets] * counts[cell, None]
+        begin = np.searchsorted(cell, np.arange(len(own)) * buckets)
+        logs[first : first + len(own)] += np.add.reduceat(weighted, begin, axis=0, dtype=np.float64)
     top = logs.argmax(axis=1)
     share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
     for i, k, p in zip(at, top, share, strict=True):
