@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boostlake.session import remove as drop  # noqa: F401
 from boostlake.session import stored as durable  # noqa: F401
@@ -25,6 +26,21 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of text of ``docs``, about: twice the size of the files that it reads, or counted where that isn't known."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if known < 1 << 50:
+        return 2 * known
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def sized(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``df`` stored; marked for broadcast if it has at most ``rows`` rows, else joined by a shuffle that Spark can split."""
+    kept = durable(df, name)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a block's text is at most ``limit`` bytes (one row at least)."""
     for batch in batches:

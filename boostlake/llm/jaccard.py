@@ -9,7 +9,8 @@ An empty part tells nothing. There are some more parts than K asks for in large
 empty parts than those to spare shares a filled one with every linked set; other sets give signatures under another
 hash function as well, and sets that only agree on empty parts meet there. Sets that meet are compared in full.
 
-Texts with equal sets are one node. Signatures with the same nodes make one group; the member with most meetings
+Texts with equal sets are one node, a 64-bit hash; sets that share it by chance are told apart by 64 bits more and get nodes
+of their own. Signatures with the same nodes make one group; the member with most meetings
 leads it, and the groups of one leader make a cell. Members are compared with their leaders first, in chunks. Cells
 that then still hold several components are cut into chunks of members, those of the leader's component apart from
 the rest, and every chunk of the rest is compared with every chunk of the cell. Pairs within a component are never
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boostlake.llm.blocks import blocks, bounded, drop, durable, mix64, word_hashes
+from boostlake.llm.blocks import blocks, bounded, drop, durable, mix64, sized, text_bytes, word_hashes
 from boostlake.llm.components import components
 
 #: Hash functions tried for sets with empty parts; the last one's empty parts count as signatures.
@@ -42,6 +43,10 @@ CHUNK = 400
 BLOCK = 256
 #: Least number of slots of the feature counts; a power of two.
 SLOTS = 256
+#: Bytes of text whose signatures meet in one group, about.
+GROUP_BYTES = 16 << 20
+#: Nodes whose signatures a task remembers to have given; it may give others again.
+GIVEN = 1 << 20
 #: Rows of node ids up to which the table of nodes to compare is broadcast; beyond, texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -122,23 +127,27 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return (np.concatenate(owner), np.concatenate(sums)) if owner else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def set_id(s: np.ndarray) -> int:
-    """64-bit identity of a set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """128-bit identity of a set: the node, and the mark that tells sets of one node apart."""
+    return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist())
 
 
 def _scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(bucket, piece): signatures of a block's sets by bucket, and from bucket ``buckets`` up its documents."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Documents (doc_id, n_shingles, node, mark) and nodes that share a signature (node, key, n). Pieces of a block's
+    signatures go to the task of their bucket, its documents to any. A task gives the signatures of a set once, however
+    many copies it has."""
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // GROUP_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in blocks(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
-            nodes = np.array([set_id(s) for s in sets], np.int64)
+            nodes, marks = np.array([set_id(s) for s in sets], np.int64).reshape(-1, 2).T
             ids = np.array([NULL if d is None else d for d in batch.column("doc_id").to_pylist()], "<i8")
-            names = [buckets + int(ids.sum() % buckets)]
-            pieces = [np.stack((ids, np.array([len(s) for s in sets], "<i8"), nodes)).astype("<i8").tobytes()]
-            distinct = np.unique(nodes, return_index=True)[1]
+            names, pieces = [int(ids.sum() % buckets)], [np.stack((ids, np.array([len(s) for s in sets], "<i8"), nodes, marks)).astype("<i8").tobytes()]
+            distinct = np.unique(np.stack((nodes, marks)), axis=1, return_index=True)[1]
+            distinct = np.array([i for i in distinct.tolist() if int(marks[i]) not in given], int)
+            given = (set() if len(given) > GIVEN else given) | set(marks[distinct].tolist())
             owner, sums = signatures([sets[i] for i in distinct], percent)
             if len(owner):
                 bucket = sums % np.uint64(buckets)
@@ -150,20 +159,25 @@ def _scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     own, place = np.unique(owner[a:b], return_inverse=True)
                     head = np.array([b - a, len(own)], "<u4").tobytes()
                     pieces.append(head + nodes[distinct[own]].astype("<i8").tobytes() + place.astype("<u4" if len(own) > 65535 else "<u2").tobytes() + _short(sums[a:b] // np.uint64(buckets)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(pieces, pa.binary())], names=["bucket", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([True] + [False] * (len(names) - 1)), pa.array(pieces, pa.binary())], names=["bucket", "rows", "piece"])
 
-    def meet(group: pa.Table) -> pa.Table:
-        pieces = group.column("piece").to_pylist()
-        if group.column("bucket")[0].as_py() >= buckets:
-            ids, sizes, nodes = np.concatenate([np.frombuffer(b, "<i8").reshape(3, -1) for b in pieces], axis=1)
-            none = pa.nulls(len(ids), pa.int64())
-            return pa.table([pa.array(ids, mask=ids == NULL), pa.array(sizes), pa.array(nodes, mask=sizes == 0), none, none], names=NAMES)
-        key, node = _groups(pieces)
-        none = pa.nulls(len(key), pa.int64())
-        return pa.table([none, none, pa.array(node), pa.array(key), pa.array(np.ones(len(key), np.int64))], names=NAMES)
-
-    NAMES = ["doc_id", "n_shingles", "node", "key", "n"]
-    return docs.mapInArrow(run, "bucket long, piece binary").groupBy("bucket").applyInArrow(meet, "doc_id long, n_shingles long, node long, key long, n long")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for batch in batches:
+            pieces, rows = batch.column("piece").to_pylist(), batch.column("rows").to_pylist()
+            held += [b for b, r in zip(pieces, rows, strict=True) if not r]
+            for b in (b for b, r in zip(pieces, rows, strict=True) if r):
+                ids, sizes, nodes, marks = np.frombuffer(b, "<i8").reshape(4, -1)
+                none = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array(marks), none, none], names=NAMES)
+        if held:
+            key, node = _groups(held)
+            none = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(node), none, pa.array(key), pa.array(np.ones(len(key), np.int64))], names=NAMES)
+
+    NAMES = ["doc_id", "n_shingles", "node", "mark", "key", "n"]
+    dealt = docs.mapInArrow(run, "bucket int, rows boolean, piece binary").repartitionById(buckets, "bucket")
+    return dealt.mapInArrow(meet, "doc_id long, n_shingles long, node long, mark long, key long, n long")
 
 
 NULL = np.iinfo(np.int64).min
@@ -208,8 +222,8 @@ def _groups(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link. Each a is compared with chunks of its partners, so no task holds all partners of one."""
-    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(degree, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)))
+    large = sized(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "large", BROADCAST_ROWS)
+    dealt = pairs.join(large, "a", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)), F.lit(0)))
     rows = dealt.select("a", "chunk", F.col("b").alias("node")).unionByName(dealt.select("a", "chunk", F.col("a").alias("node")).distinct())
 
     def compare(group: pa.Table) -> pa.Table:
@@ -232,10 +246,10 @@ def _within(cells: DataFrame, roots: DataFrame, texts: DataFrame, width: int, pe
     """Links (a, b) between members of a cell that are in different components so far."""
     nodes = cells.select("a", F.col("b").alias("node")).unionByName(cells.select("a", F.col("a").alias("node")).distinct())
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = cells.select("a").distinct().join(roots.select(F.col("node").alias("a"), F.col("root").alias("head")), "a", "left").withColumn("head", F.coalesce("head", "a"))
+    heads = sized(cells.select("a").distinct().join(roots.select(F.col("node").alias("a"), F.col("root").alias("head")), "a", "left").withColumn("head", F.coalesce("head", "a")), "heads", BROADCAST_ROWS)
     sided = durable(labelled.join(heads, "a").select("a", "node", "root", (F.col("root") != F.col("head")).alias("rest")), "sided")
     sizes = sided.groupBy("a").agg(F.count(F.when(~F.col("rest"), 1)).alias("n0"), F.count(F.when(F.col("rest"), 1)).alias("n1")).where("n1 > 0 and n0 + n1 > 2")
-    parts = sizes.select("a", F.ceil(F.col("n0") / BLOCK).cast("int").alias("k0"), F.ceil(F.col("n1") / BLOCK).cast("int").alias("k1"))
+    parts = sized(sizes.select("a", F.ceil(F.col("n0") / BLOCK).cast("int").alias("k0"), F.ceil(F.col("n1") / BLOCK).cast("int").alias("k1")), "parts", BROADCAST_ROWS)
     spread = F.xxhash64("node")
     chunk = F.when(F.col("rest"), F.col("k0") + F.pmod(spread, F.col("k1"))).otherwise(F.pmod(spread, F.col("k0"))).cast("int")
     placed = sided.join(parts, "a").withColumn("c", chunk)
@@ -265,38 +279,58 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
 
     Two texts link when 100 * common >= ``percent`` * all of their shingles of ``width`` words; component_id is the
     smallest doc_id reachable by links. Null, empty and blank texts have no shingles and link with nothing; repeated
-    rows give repeated results. Sets are held as 64-bit hashes of shingles.
+    rows give repeated results, and equal texts of any ids are linked. Rows without a doc_id are members like others, but a
+    text that only they have gives no links to near copies; their component_id is the smallest doc_id of the component,
+    or null. Sets are held as 64-bit hashes of shingles.
     """
     bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     scanned = durable(_scan(rows, width, percent), "signatures")
-    sets = scanned.where("key is null").select("doc_id", "n_shingles", "node")
-    meetings = durable(scanned.where("key is not null").groupBy(F.col("key").alias("sig"), "node").agg(F.sum("n").alias("n")), "meetings")
+    sets = scanned.where("key is null").select("doc_id", "n_shingles", "node", "mark")
+    met = scanned.where("key is not null").groupBy(F.col("key").alias("sig"), "node").agg(F.sum("n").alias("n"))
+    strangers = _strangers(sets)
+    if strangers is not None:
+        sets = sets.join(strangers, ["node", "mark"], "left").select("doc_id", "n_shingles", F.coalesce("other", "node").alias("node"), "mark")
+        met = met.unionByName(met.join(strangers, "node").select("sig", F.col("other").alias("node"), "n")).distinct()
+    meetings = durable(met, "meetings")
     weights = meetings.groupBy("node").agg(F.sum("n").alias("n"))
     members = durable(meetings.select("sig", "node").join(weights, "node"), "members")
     drop(meetings)
 
-    wanted = members.select("node").distinct()
-    first = durable(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    wanted = sized(members.select("node").distinct(), "wanted", BROADCAST_ROWS)
+    first = durable(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark")), "nodes")
     known = first.where("doc_id is not null")
-    held = rows.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "doc_id").select("node", "text")
+    held = rows.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "doc_id").select("node", "mark", "text")
     # rows that repeat a doc_id with another text are told apart by their set
     texts = durable(_of_node(held, width), "texts")
 
-    leaders = members.groupBy("sig").agg(F.max(F.struct("n", "node")).alias("leader")).select("sig", F.col("leader.node").alias("a"))
+    leaders = sized(members.groupBy("sig").agg(F.max(F.struct("n", "node")).alias("leader")).select("sig", F.col("leader.node").alias("a")), "leaders", BROADCAST_ROWS)
     cells = durable(members.join(leaders, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "cells")
-    drop(members)
+    drop(members), drop(leaders)
     close = durable(_near(cells, texts, percent), "pairs")
     near = durable(_verify(close, texts, width, percent), "links")
     roots = components(near)
     far = durable(_within(cells, roots, texts, width, percent), "links")
     if far.limit(1).count():
         roots = components(near.unionByName(far))
-    for done in (texts, first, cells, close, near, far):
+    for done in (texts, first, wanted, cells, close, near, far):
         drop(done)
-    own = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = own.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return own.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    own = sets.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared = own.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    linked = own.join(sized(shared, "components", BROADCAST_ROWS), "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.unionByName(sets.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _strangers(sets: DataFrame) -> DataFrame | None:
+    """(node, mark, other): nodes of their own for sets that share a node by chance; None if there are none. Their number
+    grows with the square of the sets over 2^65, so that the table is small."""
+    double = sets.where("node is not null").groupBy("node").agg(F.min("mark").alias("own"), F.max("mark").alias("most")).where("own <> most").select("node", "own")
+    held = durable(sets.join(durable(double, "double"), "node").where("mark <> own").select("node", "mark").distinct(), "strangers")
+    if not held.limit(1).count():
+        drop(held)
+        return None
+    return held.withColumn("other", F.xxhash64("node", "mark"))
 
 
 def _of_node(held: DataFrame, width: int) -> DataFrame:
@@ -305,7 +339,7 @@ def _of_node(held: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
-            own = pa.array([set_id(s) == n for s, n in zip(sets, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+            own = pa.array([set_id(s)[1] == m for s, m in zip(sets, batch.column("mark").to_pylist(), strict=True)], pa.bool_())
             counts = pa.array([_slots(s).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), counts, batch.column("text")], names=["node", "size", "slots", "text"]).filter(own)
 
