@@ -2,15 +2,17 @@
 
 Every string of ``length`` bytes that also starts earlier is removed (earlier: smaller doc_id, or the same document
 and an earlier start). Winnowing picks anchors, so that equal strings hold equal anchors at equal places; only suffixes
-at anchors whose gram repeats are sorted. Sampled splitters range-partition them by their leading bytes, each bucket
-is sorted by multikey quicksort (rightwards from the anchor, and leftwards for what precedes it), and the common
-prefixes of neighbours give, for every place, which strings are equal and which of them comes first.
+at anchors whose gram repeats are sorted. Sampled splitters range-partition them by their leading bytes and, for a gram
+that fills several buckets, by document; each bucket is sorted by multikey quicksort (rightwards from the anchor, and
+leftwards for what precedes it), and the common prefixes of neighbours give, for every place, which strings are equal
+and which of them comes first.
 
-A gram with very many suffixes is dealt over several buckets; strings that are first in their bucket are then compared
-across buckets by their hashes, one row per string.
+A gram that lies at the boundary of a bucket may go on in the next one. Of such grams every bucket gives the strings
+that are first in it, one row per string; these are compared across boundaries by their hashes.
 
 Exact copies of a text are set aside before: all their strings start earlier in the first copy. Rows with equal doc_id
 and text count as one document; different texts of one doc_id follow the order of their hashes. A null doc_id comes first.
+Texts may be of any length; those of 16 MiB and more give their anchors by stretches.
 """
 
 from __future__ import annotations
@@ -20,15 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boostlake.llm.blocks import blocks, bounded, drop, durable, mix64
+from boostlake.llm.blocks import blocks, bounded, drop, durable, mix64, text_bytes
 
 #: Bytes of the gram hashed at each place.
 GRAM = 32
-#: Suffixes of one gram that one bucket takes; more are dealt over several.
-HOT = 20_000
+#: Suffixes that are sorted at a time, and about how many a bucket takes.
+SORTED = 60_000
+#: Groups up to this size end the quicksort and are ordered symbol by symbol.
+SMALL = 16
+#: Bytes of text whose anchors meet in one group of the gram join, about.
+GROUP_BYTES = 16 << 20
 #: Rows up to which the table of copied texts is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _PLACE = np.uint64(0xFFFFFF)
@@ -79,22 +87,53 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Order of the rows of a matrix of uint64 symbols by multikey quicksort: groups that tie in a symbol are parted
-    by the next one, all groups of a depth at once; groups of one are done."""
+    """Order of the rows of a matrix of uint64 symbols by multikey quicksort.
+
+    Each group of rows is parted by a pivot symbol, the median of three, into smaller, equal and larger ones; the equal
+    ones go on with their next symbol. All groups are parted at once; small ones are left to ``_finish``.
+    """
     n, depth = words.shape
-    order, group, open_ = np.arange(n), np.zeros(n, np.int64), np.arange(n)
-    for d in range(depth):
-        if len(open_) < 2:
+    order, group, at = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    open_ = np.arange(n) if n > SMALL and depth else np.arange(0)
+    while len(open_):
+        begin = np.flatnonzero(np.concatenate(([True], group[open_[1:]] != group[open_[:-1]])))
+        size = np.diff(np.append(begin, len(open_)))
+        symbol = words[order[open_], at[open_]]
+        three = np.sort(np.stack((symbol[begin], symbol[begin + size // 2], symbol[begin + size - 1])), axis=0)
+        pivot = np.repeat(three[1], size)
+        side = (symbol > pivot).astype(np.int64) - (symbol < pivot) + 1
+        key = np.repeat(np.arange(len(begin)), size) * 3 + side
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        order[open_] = order[open_][by]
+        at[open_] += side[by] == 1
+        parted = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(parted, len(key)))
+        group[open_] = np.repeat(open_[parted], count)
+        open_ = open_[np.repeat(count > SMALL, count) & (at[open_] < depth)]
+    return _finish(words, order, group, at)
+
+
+def _finish(words: np.ndarray, order: np.ndarray, group: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Order the rows within each group from symbol ``at`` on, a symbol at a time for all groups."""
+    depth = words.shape[1]
+    group, open_ = group.copy(), np.flatnonzero(at < depth)
+    at = at.copy()
+    while len(open_):
+        g = group[open_]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        open_ = open_[np.repeat(np.diff(np.append(first, len(open_))) > 1, np.diff(np.append(first, len(open_))))]
+        if not len(open_):
             break
-        rows, g = order[open_], group[open_]
+        rows, g, d = order[open_], group[open_], at[open_]
         key = words[rows, d]
         by = np.lexsort((key, g))
         order[open_], key = rows[by], key[by]
-        begins = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
-        run = np.cumsum(begins) - 1
-        first = np.flatnonzero(begins)
-        group[open_] = open_[first][run]
-        open_ = open_[(np.diff(np.concatenate((first, [len(open_)]))) > 1)[run]]
+        run = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1]))))
+        count = np.diff(np.append(run, len(open_)))
+        group[open_] = np.repeat(open_[run], count)
+        at[open_] += 1
+        open_ = open_[np.repeat(count > 1, count) & (at[open_] < depth)]
     return order
 
 
@@ -161,25 +200,34 @@ def _keys() -> list:
 
 
 def _with_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with k1, k2 (hashes of the text), place (doc_id as order) and copy: an equal text has a smaller doc_id."""
+    """``docs`` with k1, k2 (hashes of the text), place (doc_id as order), copy (an equal text has a smaller doc_id) and
+    twice (the row is one of several with its doc_id and text)."""
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     rows = rows.select("*", *_keys())
-    firsts = durable(rows.groupBy("k1", "k2").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    each = rows.groupBy("k1", "k2", "place").agg(F.count("*").alias("n"))
+    of_text = each.groupBy("k1", "k2").agg(F.min(F.struct("place", "n")).alias("first"), F.sum("n").alias("n")).where("n > 1")
+    firsts = durable(of_text.select("k1", "k2", F.col("first.place").alias("first_place"), (F.col("first.n") > 1).alias("twice")), "copies")
     small = firsts.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(firsts) if small else firsts, ["k1", "k2"], "left").withColumn("copy", F.coalesce(F.col("place") > F.col("first_place"), F.lit(False))).drop("first_place")
+    joined = rows.join(F.broadcast(firsts) if small else firsts, ["k1", "k2"], "left")
+    return joined.withColumn("copy", F.coalesce(F.col("place") > F.col("first_place"), F.lit(False))).withColumn("twice", F.coalesce("twice", F.lit(False))).drop("first_place")
 
 
-def _marks(rows: DataFrame, length: int) -> DataFrame:
-    """Anchors whose gram occurs again: k1, k2, marks (anchor, first and last window start, buckets of its gram)."""
-    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _marks(rows: DataFrame, length: int, groups: int) -> DataFrame:
+    """Anchors of ``rows`` (one row per document) whose gram occurs again: k1, k2, marks (anchor, first and last window start).
+
+    Grams that repeat within a block are known to: their anchors are marked at once, and a task tells the others about
+    such a gram once. So a gram that fills much of the corpus brings few rows together.
+    """
     kind = np.dtype([("h", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<i4"), ("lo", "<u1"), ("n", "<u1")])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros(0, np.uint64)
+        turn = TaskContext.get().partitionId()
         for batch in blocks(batches):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             ends = np.cumsum([len(t) for t in texts])
-            if ends[-1] >= 1 << 24:
-                found = _long_anchors(texts[0], length)
+            if ends[-1] >= LONG:
+                found = _long_anchors(texts[0], length, STEP)  # alone in its block
             else:
                 found = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, length)
             doc, at, first, last, h = found
@@ -190,42 +238,71 @@ def _marks(rows: DataFrame, length: int) -> DataFrame:
             out["h"], out["at"], out["lo"], out["n"] = h, at - base, at - first, last - first + 1
             for k in ("k1", "k2"):
                 out[k] = np.asarray(batch.column(k))[doc]
-            bucket = (h >> np.uint64(20)) % np.uint64(buckets)
+            grams, which, count = np.unique(h, return_inverse=True, return_counts=True)
+            known = (count > 1) | np.isin(grams, told)
+            news = np.setdiff1d(grams[count > 1], told)
+            told = np.concatenate((told, news))[-TOLD:]
+            marked, rest = out[known[which]], out[~known[which]]
+            names, ready, pieces = [], [], []
+            if len(marked):
+                turn += 1
+                names.append(turn % groups)
+                ready.append(True)
+                pieces.append(_squeeze(marked))
+            bucket = (rest["h"] >> np.uint64(20)) % np.uint64(groups)
             order = np.argsort(bucket, kind="stable")
-            names, begin = np.unique(bucket[order], return_index=True)
-            # document keys are given once per piece
-            out = out[order]
-            pieces = [_squeeze(out[a:b]) for a, b in zip(begin, [*begin[1:], len(out)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(pieces, pa.binary())], names=["bucket", "piece"])
-
-    def match(group: pa.Table) -> pa.Table:
-        all_ = np.concatenate([_stretch(x, kind) for x in group.column("piece").to_pylist()])
-        all_ = all_[np.argsort(all_["h"], kind="stable")]
-        new = np.concatenate(([True], all_["h"][1:] != all_["h"][:-1]))
-        size = np.diff(np.concatenate((np.flatnonzero(new), [len(all_)])))
-        many = np.repeat(size, size)
-        keep = all_[many > 1]
-        parts = np.minimum(-(-many[many > 1] // HOT), 30_000)
-        # a document's anchors of this bucket make one row
-        order = np.lexsort((keep["at"], keep["k2"], keep["k1"]))
-        keep, parts = keep[order], parts[order]
+            rest, bucket = rest[order], bucket[order]
+            far = (news >> np.uint64(20)) % np.uint64(groups)
+            for b in np.union1d(bucket, far).tolist():
+                lo, hi = np.searchsorted(bucket, (b, b + 1)).tolist()
+                own = news[far == b]
+                names.append(b)
+                ready.append(False)
+                pieces.append(np.array([len(own)], "<u4").tobytes() + own.astype("<u8").tobytes() + (_squeeze(rest[lo:hi]) if hi > lo else b""))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(ready), pa.array(pieces, pa.binary())], names=["bucket", "ready", "piece"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        news, held = [], []
+        for batch in batches:
+            for x, done in zip(batch.column("piece").to_pylist(), batch.column("ready").to_pylist(), strict=True):
+                if done:
+                    yield marks_of(_stretch(x, kind))
+                    continue
+                n = int(np.frombuffer(x, "<u4", 1)[0])
+                news.append(np.frombuffer(x, "<u8", n, 4))
+                if len(x) > 4 + 8 * n:
+                    held.append(_stretch(x[4 + 8 * n :], kind))
+        if held:
+            keep = np.concatenate(held)
+            grams, which, count = np.unique(keep["h"], return_inverse=True, return_counts=True)
+            yield marks_of(keep[((count > 1) | np.isin(grams, np.concatenate(news)))[which]])
+
+    def marks_of(keep: np.ndarray) -> pa.RecordBatch:
+        """A document's anchors make one row."""
+        keep = keep[np.lexsort((keep["at"], keep["k2"], keep["k1"]))]
         begin = np.flatnonzero(np.concatenate(([True], (keep["k1"][1:] != keep["k1"][:-1]) | (keep["k2"][1:] != keep["k2"][:-1])))) if len(keep) else np.zeros(0, np.int64)
-        marks = np.zeros(len(keep), "<i4,<u1,<u1,<i2")
-        marks["f0"], marks["f1"], marks["f2"], marks["f3"] = keep["at"], keep["lo"], keep["n"], parts
+        marks = np.zeros(len(keep), MARK)
+        marks["f0"], marks["f1"], marks["f2"] = keep["at"], keep["lo"], keep["n"]
         end = np.append(begin[1:], len(keep)) if len(keep) else begin
-        return pa.table({"k1": pa.array(keep["k1"][begin]), "k2": pa.array(keep["k2"][begin]), "marks": pa.array([marks[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())})
+        return pa.RecordBatch.from_pydict({"k1": pa.array(keep["k1"][begin]), "k2": pa.array(keep["k2"][begin]), "marks": pa.array([marks[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())})
+
+    pieces = rows.select("k1", "k2", "text").mapInArrow(emit, "bucket int, ready boolean, piece binary")
+    return pieces.repartitionById(groups, "bucket").mapInArrow(match, "k1 long, k2 long, marks binary")
+
 
-    pieces = rows.where("not copy").select("k1", "k2", "text").mapInArrow(emit, "bucket long, piece binary")
-    return pieces.groupBy("bucket").applyInArrow(match, "k1 long, k2 long, marks binary")
+#: A marked anchor: place, and first and last window start.
+MARK = "<i4,<u1,<u1"
+#: Grams a task remembers to have told of; it may tell of others again.
+TOLD = 1 << 18
 
 
-#: Window starts in a stretch of a text that is too long for a block.
-STEP = 1 << 23
+#: Bytes from which a text gives its anchors by stretches, and window starts in a stretch.
+LONG, STEP = 1 << 24, 1 << 23
 
 
-def _long_anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
+def _long_anchors(text: bytes, length: int, step: int) -> tuple[np.ndarray, ...]:
     """Anchors of one text too long for a block's place numbers: by overlapping stretches, equal anchors joined."""
-    step, parts = STEP, []
+    parts = []
     data = np.frombuffer(text, np.uint8)
     for a in range(0, len(data) - length + 1, step):
         part = data[a : a + step + length - 1]
@@ -263,84 +340,84 @@ def _stretch(b: bytes, kind: np.dtype) -> np.ndarray:
 
 
 def _suffixes(marked: DataFrame, length: int) -> DataFrame:
-    """One row per marked anchor: its gram, bucket of the gram, document order, place, and the bytes of its windows."""
+    """One row per marked anchor: its gram, document order, place, and the bytes of its windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            lead, part, place, k1, k2, at, left, count, context, split = ([] for _ in range(10))
+            lead, place, k1, k2, at, left, count, context = ([] for _ in range(8))
             for t, p, a, b, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "place", "k1", "k2", "marks")), strict=True):
                 if not marks:
                     continue
                 raw = t.encode()
                 for m in marks:
-                    for x, lo, n, parts in np.frombuffer(m, "<i4,<u1,<u1,<i2").tolist():
+                    for x, lo, n in np.frombuffer(m, MARK).tolist():
                         lead.append(raw[x : x + GRAM])
-                        part.append((a ^ x) % parts)
-                        split.append(parts > 1)
                         place.append(p), k1.append(a), k2.append(b), at.append(x), left.append(lo), count.append(n)
                         context.append(raw[x - lo : x - lo + n - 1 + length])
             if lead:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead, pa.binary()), pa.array(part, pa.int32()), pa.array(split), *(pa.array(x, pa.int64()) for x in (place, k1, k2)), *(pa.array(x, pa.int32()) for x in (at, left, count)), pa.array(context, pa.binary())],
-                    names=["lead", "part", "split", "place", "k1", "k2", "at", "left", "count", "context"],
+                    [pa.array(lead, pa.binary()), *(pa.array(x, pa.int64()) for x in (place, k1, k2)), *(pa.array(x, pa.int32()) for x in (at, left, count)), pa.array(context, pa.binary())],
+                    names=["lead", "place", "k1", "k2", "at", "left", "count", "context"],
                 )
 
-    schema = "lead binary, part int, split boolean, place long, k1 long, k2 long, at int, left int, count int, context binary"
+    schema = "lead binary, place long, k1 long, k2 long, at int, left int, count int, context binary"
     return marked.select("text", "place", "k1", "k2", "marks").mapInArrow(cut, schema)
 
 
-def _compare(suffixes: DataFrame, length: int) -> DataFrame:
-    """Repeated runs (k1, k2, start, end), found within buckets; of split grams also hash, place and start of the
-    windows that come first in their bucket (end is 0)."""
+def _compare(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Repeated runs (k1, k2, start, end), found within buckets; of grams at a boundary also hash, place and start of
+    the windows that come first on their side of it (end is 0)."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted; they are compared SORTED at a time, and a piece's ends are boundaries like a bucket's."""
         held: list[pa.RecordBatch] = []
-        rows = 0
-        tail: pa.Table | None = None
+        rows, before = 0, None
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 60_000:  # rows come sorted by gram: all but the last gram are complete
-                whole = pa.Table.from_batches(held if tail is None else [*tail.to_batches(), *held])
-                last = (whole.column("lead")[-1].as_py(), whole.column("part")[-1].as_py())
-                lead, part = whole.column("lead").to_pylist(), whole.column("part").to_pylist()
+            if rows >= SORTED:
+                whole = pa.Table.from_batches(held)
+                lead = whole.column("lead").to_pylist()
                 to = len(lead)
-                while to and (lead[to - 1], part[to - 1]) == last:
+                while to and lead[to - 1] == lead[-1]:
                     to -= 1
-                if to:
-                    yield from compared(whole.slice(0, to))
-                tail, held = whole.slice(to), []
-                rows = 0
-        whole = pa.Table.from_batches([*(tail.to_batches() if tail is not None else []), *held]) if held or tail is not None else None
-        if whole is not None and whole.num_rows:
-            yield from compared(whole)
-
-    def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+                to = to or len(lead)  # one gram fills the piece
+                yield from compared(whole.slice(0, to), before is None or lead[0] == before, to == len(lead))
+                before, held = lead[to - 1], whole.slice(to).to_batches()
+                rows = len(lead) - to
+        if held:
+            whole = pa.Table.from_batches(held)
+            if whole.num_rows:
+                yield from compared(whole, before is None or whole.column("lead")[0].as_py() == before, True)
+
+    def compared(t: pa.Table, from_before: bool, goes_on: bool) -> Iterator[pa.RecordBatch]:
         place, k1, k2, at, left, count = (np.asarray(t.column(c)) for c in ("place", "k1", "k2", "at", "left", "count"))
-        part, split = np.asarray(t.column("part")), np.asarray(t.column("split"))
+        lead = t.column("lead")
+        first_gram, last_gram = lead[0].as_py(), lead[len(lead) - 1].as_py()
+        edge = np.zeros(len(place), bool)
+        for gram, open_ in ((first_gram, from_before), (last_gram, goes_on)):
+            if open_:
+                edge |= np.asarray(pc.equal(lead, gram))
         order = np.lexsort((at, k2, k1, place))
-        keys = np.stack((place, k1, k2, at), axis=1)[order]
-        order = order[np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))]  # rows that repeat a document give its suffixes again
         context = t.column("context").to_pylist()
         context = [context[i] for i in order]
-        place, k1, k2, at, left, count, part, split = (x[order] for x in (place, k1, k2, at, left, count, part, split))
-        found = np.zeros((len(context), length - GRAM + 1), bool)
-        for p in np.unique(part):
-            own = np.flatnonzero(part == p)
-            found[own] = repeated_windows([context[i] for i in own], left[own], count[own], length)
+        place, k1, k2, at, left, count, edge = (x[order] for x in (place, k1, k2, at, left, count, edge))
+        found = repeated_windows(context, left, count, length)
         row, first, end = _runs(found, at.astype(np.int64), length)
         zero = np.zeros(len(row), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row], k2[row], first, end, zero, zero, zero)], names=NAMES)
-        for i in np.flatnonzero(split):
-            own = [s for s in range(left[i] - count[i] + 1, left[i] + 1) if not found[i, s]]
-            if own:
-                sums = [hashlib.blake2b(context[i][left[i] - s : left[i] - s + length], digest_size=16).digest() for s in own]
-                h = np.frombuffer(b"".join(sums), "<i8").reshape(-1, 2)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, k1[i]), np.full(n, k2[i]), at[i] - np.array(own, np.int64), np.zeros(n, np.int64), np.full(n, place[i]), h[:, 0], h[:, 1])], names=NAMES)
+        shift = np.arange(found.shape[1])
+        new = edge[:, None] & ~found & (shift <= left[:, None]) & (shift > (left - count)[:, None])
+        row, shift = np.nonzero(new)
+        for a in range(0, len(row), SORTED):
+            i, s = row[a : a + SORTED], shift[a : a + SORTED]
+            sums = [hashlib.blake2b(context[x][y : y + length], digest_size=16).digest() for x, y in zip(i.tolist(), (left[i] - s).tolist(), strict=True)]
+            h = np.frombuffer(b"".join(sums), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i], k2[i], at[i] - s.astype(np.int64), np.zeros(len(i), np.int64), place[i], h[:, 0], h[:, 1])], names=NAMES)
 
     NAMES = ["k1", "k2", "start", "end", "place", "h1", "h2"]
-    dealt = suffixes.repartitionByRange("lead", "part").sortWithinPartitions("lead", "part")
+    by = ["lead", "place", "k1", "k2", "at"]
+    dealt = suffixes.repartitionByRange(buckets, *by).sortWithinPartitions(*by)
     return dealt.mapInArrow(sort, "k1 long, k2 long, start long, end long, place long, h1 long, h2 long")
 
 
@@ -352,11 +429,15 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     bounded(docs.sparkSession)
     rows = _with_copies(docs)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = durable(_marks(rows, length), "marks")
+    size = text_bytes(docs)
+    firsts = rows.where("not copy")
+    once = firsts.where("not twice").select("text", "place", "k1", "k2").unionByName(firsts.where("twice").select("text", "place", "k1", "k2").dropDuplicates(["k1", "k2"]))
+    found = durable(_marks(once, length, max(tasks, -(-size // GROUP_BYTES))), "marks")
+    anchored = found.agg(F.sum(F.octet_length("marks"))).first()[0] or 0
     marks = found.groupBy("k1", "k2").agg(F.collect_list("marks").alias("marks"))
-    firsts = rows.where("not copy").repartition(tasks, "k1", "k2")
-    once = firsts.select("text", "place", "k1", "k2").join(marks, ["k1", "k2"])
-    runs = durable(_compare(_suffixes(once, length), length), "runs")
+    once = once.repartition(tasks, "k1", "k2").join(marks, ["k1", "k2"])
+    buckets = max(tasks, -(-anchored // (np.dtype(MARK).itemsize * SORTED)))
+    runs = durable(_compare(_suffixes(once, length), length, buckets), "runs")
     drop(found)
     across = Window.partitionBy("h1", "h2").orderBy("place", "k1", "k2", "start")
     late = runs.where("end = 0").withColumn("n", F.row_number().over(across)).where("n > 1").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
@@ -364,7 +445,7 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     copies = rows.where("copy").withColumn("spans", F.when(F.octet_length("text") >= length, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))).otherwise(none))
-    return firsts.join(spans, ["k1", "k2"], "left").withColumn("spans", F.coalesce("spans", none)).unionByName(copies)
+    return firsts.join(spans, ["k1", "k2"], "left").withColumn("spans", F.coalesce("spans", none)).unionByName(copies).drop("twice")
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

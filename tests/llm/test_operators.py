@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from boostlake.llm import bpe, chat, dac, decontam, htmltext, jaccard, langid, quality, queries, suffixes, toxicity
+from boostlake.llm import blocks, bpe, chat, dac, decontam, htmltext, jaccard, langid, quality, queries, suffixes, toxicity
 from boostlake.llm.components import components
 
 from . import brute
@@ -213,10 +213,19 @@ def test_jaccard(spark, seed, width, percent):
     assert got == brute.components(list(enumerate(texts)), width, percent)
 
 
+def test_jaccard_with_chance_nodes(spark, monkeypatch):
+    """Sets that share a node by chance are neither glued together nor lost."""
+    whole = jaccard.set_id
+    monkeypatch.setattr(jaccard, "set_id", lambda s: (whole(s)[0] & 7, whole(s)[1]))
+    texts = corpus(44, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, texts), width=4, percent=85).collect()}
+    assert got == brute.components(list(enumerate(texts)), 4, 85)
+
+
 def test_jaccard_rows_and_stage(spark):
     d = spark.createDataFrame([(2, "A b c", 1), (2, "A b c", 1), (1, "a  B c\n", 2), (3, "", 3), (4, None, 4), (None, "q r", 5)], "doc_id long, text string, component_id int")
-    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(d, width=4, percent=85).collect() if r.doc_id is not None)
-    assert [x[1:] for x in got] == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(d, width=4, percent=85).collect()), key=lambda x: (x[0] is None, x[0]))
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (None, 1, None)]
     kept = jaccard.representatives(d)
     assert kept.columns == d.columns and sorted(r.component_id for r in kept.collect()) == [2, 3, 4, 5]
 
@@ -356,6 +365,47 @@ def test_language(spark):
     assert sum(r.lang_pred == r.lang for r in rest) / len(rest) > 0.98 and all(0 <= r.score <= 1 for r in rest)
 
 
+def test_language_equals_plain_bayes(spark):
+    """Against naive Bayes over dictionaries; ties, repeated rows and clashing columns."""
+    rng = random.Random(7)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 30)))
+    rows = [(i, make("abcdeé"), "aa") for i in range(40)] + [(40 + i, make("cdefgß"), "bb") for i in range(25)] + [(70 + i, make("日本語xyz"), "cc") for i in range(10)]
+    rows += [(90, None, "aa"), (91, "abc", None), (92, "12", "bb"), (93, "abé " * 3000, "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    buckets, smoothing = 64, 0.1
+    model = langid.train(frame, buckets=buckets, smoothing=smoothing)
+
+    def grams(t):
+        t = f" {t.lower()} "
+        for n in (2, 3):
+            for i in range(len(t) - n + 1):
+                code = n
+                for c in t[i : i + n]:
+                    code = (code * 0x100000001B3 + ord(c)) % 2**64
+                yield int(langid.mix64(np.array([code], np.uint64))[0]) % buckets
+
+    counts = {x: Counter() for x in ("aa", "bb", "cc")}
+    size = Counter()
+    for _, t, x in rows:
+        if t is not None and x is not None:
+            counts[x].update(grams(t))
+            size[x] += 1
+    texts = ["abé dé", "fgß", "日本 xy", "cd cd", "e", *(t for _, t, _ in rows[:75:5])]
+    more = spark.createDataFrame([(i, t, "x", 1.5) for i, t in enumerate([*texts, *texts[:3], None, "", "12"])], "doc_id long, text string, lang_pred string, score double")
+    got = {r.doc_id: r for r in langid.predict(more, model).collect()}
+    assert len(got) == len(texts) + 6
+    for i, t in enumerate([*texts, *texts[:3]]):
+        logs = {x: math.log(size[x] / sum(size.values())) + sum(math.log((c[g] + smoothing) / (sum(c.values()) + smoothing * buckets)) for g in grams(t)) for x, c in counts.items()}
+        top = max(sorted(logs), key=logs.get)
+        share = 1 / sum(math.exp(v - logs[top]) for v in logs.values())
+        assert got[i].lang_pred == top and abs(got[i].score - share) < 1e-3
+    assert all(got[len(texts) + k].lang_pred == "und" for k in (3, 4, 5))
+    tie = langid.LanguageModel(["p", "q"], np.zeros((2, buckets), np.float32), np.log([0.5, 0.5]), (2, 3))
+    assert langid.score_texts(["some text"], tie)[0] == ["p"]
+    with pytest.raises(ValueError):
+        langid.train(frame, max_languages=2)
+
+
 # 8: chat
 
 
@@ -477,13 +527,19 @@ def test_extract_keeps_columns(spark):
 # 10: repeated strings
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(10, None), (11, 5)])
-def test_repeated_strings(spark, monkeypatch, seed, hot):
-    if hot:
-        monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize(("seed", "at_a_time", "block"), [(10, None, None), (11, 5, 500), (12, 40, 1500)])
+def test_repeated_strings(spark, monkeypatch, seed, at_a_time, block):
+    """Also with pieces and blocks so small that grams cross boundaries of pieces and repeat beyond their block."""
+    if at_a_time:
+        monkeypatch.setattr(suffixes, "SORTED", at_a_time)
+        monkeypatch.setattr(suffixes, "TOLD", 3)
+        monkeypatch.setattr(suffixes, "blocks", lambda batches, column="text": blocks.blocks(batches, column, block))
     texts = [*corpus(seed, 120), "yz" * 3000, "x" * 100, "x" * 99]
     d = [(i * 7 % len(texts), t) for i, t in enumerate(texts)] + [(None, texts[0])]
-    got = {r.doc_id: r for r in suffixes.digest(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    again = [d[3], d[-2], d[-2], *d[:20]]  # rows that repeat a document
+    rows = suffixes.digest(spark.createDataFrame(d + again, "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(d) + len(again) and all(got[r.doc_id] == r for r in rows)
     for i, (raw, hit) in brute.cleaned(d, 100).items():
         kept = bytes(b for b, h in zip(raw, hit, strict=True) if not h)
         runs = sum(1 for k, h in enumerate(hit) if h and not (k and hit[k - 1]))
@@ -497,15 +553,28 @@ def test_remove_keeps_rows_and_columns(spark):
 
 
 def test_multikey_order():
-    words = np.random.default_rng(0).integers(0, 3, (500, 6)).astype(np.uint64)
-    rows = words[suffixes.multikey_order(words)].tolist()
-    assert rows == sorted(words.tolist())
+    rng = np.random.default_rng(0)
+    for n, high, depth in ((500, 3, 6), (2000, 2**63, 2), (300, 1, 4), (17, 2, 1), (1, 5, 3), (0, 5, 3)):
+        words = rng.integers(0, high, (n, depth)).astype(np.uint64)
+        order = suffixes.multikey_order(words)
+        assert sorted(order.tolist()) == list(range(n)) and words[order].tolist() == sorted(words.tolist())
+
+
+def test_repeats_in_long_text(spark, monkeypatch):
+    """A passage that a long text holds at the cut between two stretches."""
+    monkeypatch.setattr(suffixes, "STEP", 4096)
+    monkeypatch.setattr(suffixes, "LONG", 10_000)
+    monkeypatch.setattr(suffixes, "blocks", lambda batches: blocks.blocks(batches, "text", 5000))
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    rows = [(0, long), *((i + 1, long[at : at + 123]) for i, at in enumerate([*range(3900, 4200, 7), *range(8100, 8250, 11)]))]
+    got = {r.doc_id: r.n_removed for r in suffixes.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: 0 if d == 0 else 123 for d, _ in rows}
 
 
-def test_anchors_across_stretches(monkeypatch):
+def test_anchors_across_stretches():
     raw = np.random.default_rng(3).integers(97, 100, 5000).astype(np.uint8)
-    monkeypatch.setattr(suffixes, "STEP", 700)
-    for got, want in zip(suffixes._long_anchors(raw.tobytes(), 100), suffixes.anchors(raw, np.array([5000]), 100), strict=True):
+    for got, want in zip(suffixes._long_anchors(raw.tobytes(), 100, 700), suffixes.anchors(raw, np.array([5000]), 100), strict=True):
         assert (got == want).all()
 
 
