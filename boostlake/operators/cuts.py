@@ -1,7 +1,7 @@
 """Cut points, their sketch, and bins.
 
 Cuts of a feature are upper bounds of its bins. Summaries (distinct values with weights) are built per partition, pruned
-to a size when they outgrow it, and merged in two steps, so no task sees more than a bounded number of summaries.
+to a size when they outgrow it, and merged in as many steps as the tasks need, so no task sees more than FAN_IN summaries.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boostlake.session import FAN_IN, steps
+
 
 @dataclass
 class Cuts:
@@ -96,26 +99,27 @@ def summaries(df: DataFrame, features: list[str], weight: Column | None = None,
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0, np.float32), np.zeros(0)) for _ in range(n)]
-        part = 0
         for batch in batches:
             w = np.asarray(batch.column(n), np.float64)
             for f in range(n):
                 x = np.asarray(batch.column(f).to_numpy(zero_copy_only=False), np.float32)
                 ok = ~np.isnan(x)
                 held[f] = prune(*merge([held[f], (x[ok], w[ok])]), 2 * size)
-            part += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"feature": list(range(n)), "part": [part % 64] * n, "values": [v.tolist() for v, _ in held], "weights": [w.tolist() for _, w in held]}, schema=_SUMMARY)
+        part = TaskContext.get().partitionId() // FAN_IN
+        yield pa.RecordBatch.from_pydict({"feature": list(range(n)), "part": [part] * n, "values": [v.tolist() for v, _ in held], "weights": [w.tolist() for _, w in held]}, schema=_SUMMARY)
 
     def join(t: pa.Table) -> pa.Table:
         parts = [(np.array(v, np.float32), np.array(w, np.float64)) for v, w in zip(t.column("values").to_pylist(), t.column("weights").to_pylist(), strict=True)]
         parts.sort(key=lambda p: (len(p[0]), p[0].tobytes(), p[1].tobytes()))
         v, w = prune(*merge(parts), 2 * size)
-        return pa.Table.from_pydict({"feature": [t.column("feature")[0].as_py()], "part": [0], "values": [v.tolist()], "weights": [w.tolist()]}, schema=_SUMMARY)
+        return pa.Table.from_pydict({"feature": [t.column("feature")[0].as_py()], "part": t.column("part")[:1].to_pylist(), "values": [v.tolist()], "weights": [w.tolist()]}, schema=_SUMMARY)
 
     schema = "feature int, part int, values array<float>, weights array<double>"
     rows = df.select(*[F.col(f"`{c}`").cast("float").alias(f"x{i}") for i, c in enumerate(features)], (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"))
-    first = rows.mapInArrow(local, schema).groupBy("feature", "part").applyInArrow(join, schema)
-    return first.groupBy("feature").applyInArrow(join, schema).select("feature", "values", "weights")
+    found = rows.mapInArrow(local, schema)
+    for _ in range(steps(df)):
+        found = found.groupBy("feature", "part").applyInArrow(join, schema).withColumn("part", F.expr(f"part div {FAN_IN}"))
+    return found.groupBy("feature").applyInArrow(join, schema).select("feature", "values", "weights")
 
 
 _SUMMARY = pa.schema([("feature", pa.int32()), ("part", pa.int32()), ("values", pa.list_(pa.float32())), ("weights", pa.list_(pa.float64()))])
@@ -156,6 +160,8 @@ def bins_matrix(x: np.ndarray, cuts: Cuts) -> np.ndarray:
     for f, values in enumerate(cuts.values):
         ok = ~np.isnan(x[:, f])
         if cuts.categorical[f]:
+            if (x[ok, f] < 0).any() or (x[ok, f] != np.trunc(x[ok, f])).any():
+                raise ValueError(f"feature {f}: codes of categories are whole numbers from 0")
             out[ok, f] = np.minimum(np.searchsorted(values, np.trunc(x[ok, f]), side="left"), len(values) - 1)
         else:
             out[ok, f] = np.minimum(np.searchsorted(values, x[ok, f], side="right"), len(values) - 1)

@@ -1,7 +1,7 @@
 """Tree growth over a binned frame: rows stay where they are, one job per level sums histograms of all open nodes.
 
 Each task walks its rows through the part of the tree grown so far, sums gradients by (node, feature, bin) in numpy and
-emits blocks of bins; blocks are added up in two steps, and only the sums reach the driver, whose size is fixed by
+emits blocks of bins; blocks are added up in as many steps as the tasks need, and only the sums reach the driver, whose size is fixed by
 the parameters (open nodes x bins).
 
 The exact method adds a second job per level: bins are stretches of values whose sums give each stretch what lies before it,
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from boostlake.model import Tree
 from boostlake.operators.cuts import Cuts, bins_matrix
 from boostlake.operators.splits import NodeColumn, Split, Stretch, TreeParams, best_exact, best_split, node_gain, stretch, weight
+from boostlake.session import FAN_IN, steps
 
 #: Bins in a block of a histogram.
 BLOCK = 16384
@@ -138,8 +139,8 @@ def histograms(df: DataFrame, trees: list[BinnedTree], wanted: list[list[int]],
 
     schema = "k int, node int, at int, pid int, sums binary"
     blocks = df.select("row_id", "bins", "g", "h").mapInArrow(local, schema)
-    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 64:  # many tasks: sum up in two steps
-        blocks = blocks.groupBy("k", "node", "at", F.expr("pid div 64")).applyInArrow(add, schema)
+    for level in range(1, steps(df) + 1):
+        blocks = blocks.groupBy("k", "node", "at", F.expr(f"pid div {FAN_IN**level}")).applyInArrow(add, schema)
     out: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for r in blocks.groupBy("k", "node", "at").applyInArrow(add, schema).collect():
         key = (r["k"], r["node"])

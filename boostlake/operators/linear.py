@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boostlake.session import FAN_IN, steps
+
 
 def margins(df: DataFrame, weights: np.ndarray, has_margin: bool = True) -> DataFrame:
     """The margin column plus x times the weights and the bias; missing features count nothing."""
@@ -45,8 +47,9 @@ def moments(gh: DataFrame, m: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
         return pa.table({"key": t.column("key")[:1], "sums": pa.array([np.sum([np.frombuffer(s) for s in sorted(t.column("sums").to_pylist())], axis=0).tobytes()], pa.binary())})
 
     parts = gh.select("x", "g", "h").mapInArrow(local, "key long, sums binary")
-    if int(gh.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 64:  # many tasks: sum up in two steps
-        parts = parts.withColumn("key", F.pmod(F.xxhash64("sums"), F.lit(64))).groupBy("key").applyInArrow(add, "key long, sums binary").withColumn("key", F.lit(0).cast("long"))
+    for level in range(steps(gh), 0, -1):  # FAN_IN parts meet in a task, about
+        parts = parts.withColumn("key", F.pmod(F.xxhash64("sums"), F.lit(FAN_IN**level))).groupBy("key").applyInArrow(add, "key long, sums binary")
+    parts = parts.withColumn("key", F.lit(0).cast("long"))
     s = np.frombuffer(parts.groupBy("key").applyInArrow(add, "key long, sums binary").first()["sums"])
     size = k * (m + 1) ** 2
     return s[:size].reshape(k, m + 1, m + 1), s[size:-1].reshape(k, m + 1), s[-1]

@@ -43,7 +43,7 @@ def predict(model: Model, df: DataFrame, output: str = "value", begin: int = 0,
 
     output: value, margin, leaf, contribs, approx_contribs, interactions or approx_interactions. value is an array, one
     entry per output after the objective's transformation; attributions are flat arrays, groups x (features + 1) [x (features
-    + 1)]. A base_margin column replaces the base score of margins and values; ``add_to`` names a margin to add to.
+    + 1)]. With ``strict_shape`` they are nested by their dimensions (see ``shape_of``), for every model alike. A base_margin column replaces the base score of margins and values; ``add_to`` names a margin to add to.
     """
     if output not in ("value", "margin", "leaf", "contribs", "approx_contribs", "interactions", "approx_interactions"):
         raise ValueError(f"unknown output {output}")
@@ -82,10 +82,35 @@ def predict(model: Model, df: DataFrame, output: str = "value", begin: int = 0,
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), packed], names=[*names, "prediction"])
 
     out = df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{fields}, prediction array<double>")
-    if output != "value":
-        return out
-    obj = objective(model.objective, {**model.params, "num_class": model.num_class})
-    return out.withColumn("prediction", F.array(*obj.transform([F.col("prediction")[i] for i in range(model.groups)])))
+    if output == "value":
+        obj = objective(model.objective, {**model.params, "num_class": model.num_class})
+        return out.withColumn("prediction", F.array(*obj.transform([F.col("prediction")[i] for i in range(model.groups)])))
+    return out.withColumn("prediction", F.expr(_nested("prediction", shape_of(model, output, begin, end)))) if strict_shape else out
+
+
+def shape_of(model: Model, output: str, begin: int = 0, end: int = 0) -> tuple[int, ...]:
+    """Dimensions of a row's prediction: groups; groups x (features + 1) [x (features + 1)]; of leaves rounds x groups x
+    parallel trees."""
+    if output in ("value", "margin"):
+        return (model.groups,)
+    if output == "leaf":
+        trees = len(model.tree_range(begin, end))
+        rounds = (end or model.rounds) - begin
+        per = trees // max(rounds, 1)
+        return (rounds, max(per // model.parallel, 1), model.parallel)
+    m = model.num_feature + 1
+    return (model.groups, m) if "contribs" in output else (model.groups, m, m)
+
+
+def _nested(flat: str, shape: tuple[int, ...], level: int = 0) -> str:
+    """SQL of a flat array cut into arrays of the dimensions."""
+    if len(shape) < 2:
+        return flat
+    inner = int(np.prod(shape[1:]))
+    part = f"slice({flat}, i{level} * {inner} + 1, {inner})"
+    if not shape[0] * inner:
+        return flat
+    return f"transform(sequence(0, {shape[0] - 1}), i{level} -> {_nested(part, shape[1:], level + 1)})"
 
 
 def inplace_predict(model: Model, df: DataFrame, features: list[str], output: str = "value") -> DataFrame:

@@ -23,9 +23,16 @@ def group_pointers(sizes: DataFrame, group: str, size: str) -> DataFrame:
     return sizes.select(group, (upto - F.col(size)).alias("start"), upto.alias("end"))
 
 
-def query_runs(df: DataFrame, qid: str, row_id: str) -> DataFrame:
-    """Runs of equal qid in row order: qid, first row and number of rows. Queries must not come back."""
-    return df.groupBy(qid).agg(F.min(row_id).alias("first"), F.count("*").alias("n"))
+def query_runs(df: DataFrame, qid: str, row_id: str, ordered: bool = False) -> DataFrame:
+    """Queries in row order: qid, first row and number of rows. With ``ordered`` a query whose rows lie among those of
+    others is an error: each must end before the next one begins. Without it rows count wherever they lie."""
+    if not ordered:
+        return df.groupBy(qid).agg(F.min(row_id).alias("first"), F.count("*").alias("n"))
+    runs = df.groupBy(qid).agg(F.min(row_id).alias("first"), F.max(row_id).alias("last"), F.count("*").alias("n"))
+    after = F.lead("first").over(Window.orderBy("first"))  # one row per query
+    wrong = F.coalesce(F.col("last") >= after, F.lit(False))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("query comes back: "), F.col(qid).cast("string"))).cast("long")).otherwise(F.col("n"))
+    return runs.select(qid, "first", checked.alias("n"))
 
 
 def unroll_weights(df: DataFrame, weights: DataFrame, qid: str) -> DataFrame:

@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Partial results that one task adds up.
+FAN_IN = 64
+
+
 def session(app: str = "boostlake", **conf: str) -> SparkSession:
     """A session with the settings the engine relies on; ``conf`` adds to them."""
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
@@ -63,3 +67,22 @@ def _delete(spark: SparkSession, folder: str) -> None:
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def input_tasks(df: DataFrame) -> int:
+    """About how many tasks read the sources of ``df``, from the size of their files; where that isn't known, as many as run at once."""
+    conf = df.sparkSession.conf
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    once = df.sparkSession.sparkContext.defaultParallelism
+    per = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    shuffled = int(conf.get("spark.sql.shuffle.partitions"))
+    return max(once, shuffled, -(-size // per) if size < 1 << 60 else 0)
+
+
+def steps(df: DataFrame) -> int:
+    """Steps of FAN_IN before the last one in which partial results of all tasks are added up."""
+    n, tasks = 0, input_tasks(df)
+    while tasks > FAN_IN:
+        n, tasks = n + 1, -(-tasks // FAN_IN)
+    return n

@@ -22,7 +22,7 @@ from boostlake.operators.grow import BinnedTree, ValueTree, grow, uniform
 from boostlake.operators.predict import predict
 from boostlake.operators.refresh import prune, refresh
 from boostlake.operators.splits import ALIASES, TreeParams
-from boostlake.session import stored
+from boostlake.session import remove, stored
 
 log = logging.getLogger("boostlake")
 #: Rows in a stretch of values that one task of the exact method sorts, about; and the fewest stretches of a feature.
@@ -131,6 +131,31 @@ def canonical(params: dict) -> dict:
     return out
 
 
+def validate(data: Data, obj: Objective) -> None:
+    """Raise where labels, weights, query ids or bounds can't be trained on; one pass over the rows."""
+    df, f = data.plain(), data.frame()
+    bad: dict[str, Column] = {}
+    if data.weight:
+        w = F.col("weight").cast("double")
+        bad["weights must be finite and not negative"] = w.isNull() | F.isnan(w) | (w < 0) | (w == float("inf"))
+    if data.qid:
+        bad["query ids must not be missing"] = F.col("qid").isNull()
+    if "label" in df.columns and not obj.name.startswith("survival:aft"):
+        each = (lambda rule: F.exists("label", rule)) if dict(df.dtypes)["label"].startswith("array") else lambda rule: rule(F.col("label"))
+        bad["labels must be finite"] = F.coalesce(each(lambda y: y.isNull() | F.isnan(y.cast("double")) | (F.abs(y.cast("double")) == float("inf"))), F.lit(True))
+        if obj.valid(F.lit(0.0)) is not None:
+            bad[f"labels are out of the domain of {obj.name}"] = F.coalesce(each(lambda y: ~obj.valid(y.cast("double"))), F.lit(False))
+    if obj.name.startswith("survival:aft") and data.lower and data.upper:
+        low, high = F.col("label_lower_bound").cast("double"), F.col("label_upper_bound").cast("double")
+        bad["bounds must be ordered and not negative"] = low.isNull() | high.isNull() | (low < 0) | (low > high)
+    if not bad:
+        return
+    found = df.agg(*[F.count(F.when(rule, 1)).alias(f"c{i}") for i, rule in enumerate(bad.values())]).first()
+    for n, what in zip(found, bad, strict=True):
+        if n:
+            raise ValueError(f"{what}: {n} rows")
+
+
 def _encode(data: Data, cuts: Cuts, extra: list[str]) -> DataFrame:
     """row_id, bins (values for the exact method) and the extra columns of ``data.plain()``."""
     plain = data.plain()
@@ -247,6 +272,8 @@ def train(params: dict, data: Data, rounds: int = 10, evals: dict[str, Data] | N
     kind = params.get("booster", "gbtree")
     obj = objective(params.get("objective", "reg:squarederror"), {k: v for k, v in params.items() if k in OBJECTIVE | {"num_class"}})
     targets = data.targets()
+    if custom is None:
+        validate(data, obj)
     k = obj.outputs(targets)
     model = _new_model(params, data, obj, k, targets, custom, start)
     metrics = _metrics(params, obj, custom is not None)
@@ -396,7 +423,7 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
     sets = {}
     for name, d in evals.items():
         sets[name] = (d, d.frame(), predict_margin(d, model, base))
-    held = [state]
+    tables: dict[str | None, DataFrame] = {}  # margins stored last, by set (None: the training rows)
     for i in range(model.rounds, model.rounds + rounds):
         rng = np.random.default_rng([seed, i])
         factors = None
@@ -412,6 +439,7 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
             weighted = gh.select("row_id", F.aggregate("h", F.lit(0.0), lambda a, x: a + x).alias("__h")).join(fitted["plain"], "row_id")
             cuts = build(weighted, data.features, p.max_bin, cats, F.col("__h"))
             again = _encode(data, cuts, [])
+            first = gh
             gh = gh.drop("bins").join(again.select("row_id", "bins"), "row_id").persist()
             state = state.drop("bins").join(again.select("row_id", "bins"), "row_id").select(*state.columns)
         grown: list[BinnedTree] = []
@@ -434,20 +462,30 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
             state = _add_trees(before, grown, outputs, cuts, weights)
         else:
             state = _add_trees(state, grown, outputs, cuts, weights)
-        if (i + 1) % STORE_EVERY == 0:
-            state = stored(state, "margins")
+        done = [gh, old, *([first] if approx else [])]
+        store = (i + 1) % STORE_EVERY == 0
+        before = dict(tables) if store else {}
+        if store:
+            state = tables[None] = stored(state, "margins")
         state = state.persist()
-        held.append(state)
         names = {}
         for name, (d, f, df) in sets.items():
-            df = add_margin(d, model, df, len(model.trees) - new, base, bool(factors)).persist()
+            done.append(df)
+            df = add_margin(d, model, df, len(model.trees) - new, base, bool(factors))
+            if store:
+                df = tables[name] = stored(df, "margins")
+            df = df.persist()
             sets[name] = (d, f, df)
             names[name] = (f, df)
         yield i, names
-        state.count()
-        gh.unpersist()
-        old.unpersist()
-    state.unpersist()
+        for df in (state, *(x for _, x in names.values())):
+            df.count()
+        for df in done:
+            df.unpersist()
+        for df in before.values():
+            remove(df)
+    for df in (state, *(x for _, _, x in sets.values())):
+        df.unpersist()
 
 
 def _outputs_of(model: Model, t: int, k: int, vector: bool) -> list[int]:

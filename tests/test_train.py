@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from boostlake.functions.metrics import metric
 from boostlake.functions.objectives import Frame, objective
 from boostlake.model import Model
-from boostlake.operators.cuts import choose, merge, prune
+from boostlake.operators.cuts import choose, merge
+from boostlake.operators.cuts import prune as prune_summary
 from boostlake.operators.grow import interaction_mask, uniform
 from boostlake.operators.predict import predict
 from boostlake.operators.refresh import prune, refresh
@@ -313,7 +314,7 @@ def test_summaries_keep_weight_and_rank():
     rng = np.random.default_rng(1)
     parts = [np.unique(rng.normal(size=5000).astype(np.float32), return_counts=True) for _ in range(4)]
     whole = merge(parts)
-    small = prune(*whole, 200)
+    small = prune_summary(*whole, 200)
     assert abs(small[1].sum() - whole[1].sum()) < 1e-6 and len(small[0]) <= 200
     truth = np.searchsorted(whole[0], small[0], side="right")
     assert np.abs(np.cumsum(small[1]) - np.cumsum(whole[1])[truth - 1]).max() <= whole[1].sum() / 199 + 1
