@@ -21,25 +21,32 @@ def words_of(text: str = "text") -> Column:
     return F.expr(f"array_remove(split(coalesce({text}, ''), '{SPACE}'), '')")
 
 
+def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with words, h (64-bit hash of each word) and p (hash of each pair of neighbouring words), each computed once."""
+    pairs = F.expr("zip_with(slice(h, 1, greatest(size(h) - 1, 0)), slice(h, 2, size(h)), (a, b) -> xxhash64(a, b))")
+    return docs.withColumn("words", words_of(text)).withColumn("h", F.expr("transform(words, w -> xxhash64(w))")).withColumn("p", pairs)
+
+
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with words (array) and the long columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """``docs`` with words, h and p, and the long columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
     Windows are compared by 64-bit hashes within one text.
     """
-    windows = "transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]))"
+    windows = "if(size(h) < 6, cast(array() as array<bigint>), transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])))"
     placed = "array_sort(transform(g, (x, i) -> struct(x, i)))"
     again = "array_sort(filter(transform(s, (e, j) -> if(e.x <=> get(s, j - 1).x or e.x <=> get(s, j + 1).x, e.i, null)), i -> i is not null))"
     covered = f"aggregate({again}, named_struct('n', 0L, 'upto', 0), (a, i) -> named_struct('n', a.n + i + 5 - greatest(i, a.upto), 'upto', i + 5), a -> a.n)"
-    if_repeated = f"if(size(array_distinct(g)) = size(g), 0L, element_at(transform(array({placed}), s -> {covered}), 1))"
-    repeats = f"if(size(words) < 6, 0L, element_at(transform(array(transform(words, w -> xxhash64(w))), h -> element_at(transform(array({windows}), g -> {if_repeated}), 1)), 1))"
+    repeats = f"if(size(array_distinct(g)) = size(g), 0L, element_at(transform(array({placed}), s -> {covered}), 1))"
     lines = rf"filter(split(coalesce({text}, ''), '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"
     return (
-        docs.withColumn("words", words_of(text))
+        hashed(docs, text)
         .withColumn("n_words", F.size("words").cast("long"))
         .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
         .withColumn("n_symbols", F.expr(f"cast(regexp_count(coalesce({text}, ''), '[#*$%&|<>]') as long)"))
         .withColumn("n_dup_lines", F.expr(f"element_at(transform(array({lines}), x -> cast(size(x) - size(array_distinct(x)) as long)), 1)"))
+        .withColumn("g", F.expr(windows))
         .withColumn("n_repeat_words", F.expr(repeats))
+        .drop("g")
     )
 
 
@@ -48,13 +55,6 @@ def failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def ngram_buckets(buckets: int) -> Column:
-    """Bucket of each word and of each pair of neighbouring words of the column words."""
-    single = "transform(words, w -> xxhash64(w))"
-    both = f"element_at(transform(array({single}), h -> concat(h, transform(slice(h, 2, size(h)), (x, i) -> xxhash64(h[i], x)))), 1)"
-    return F.expr(f"transform(if(size(words) < 2, {single}, {both}), x -> cast(pmod(x, {buckets}L) as int))")
-
-
 def trusted_ids(labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Ids of trusted target texts: labelled quality 1, at most ``max_rows``, those with the smallest hash."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
@@ -66,8 +66,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = 1 << 16, s
 
     ``trusted`` (doc_id) is a bounded list. Without trusted texts every ratio is 0.
     """
-    grams = docs.select("doc_id", words_of().alias("words")).join(F.broadcast(trusted.withColumn("own", F.lit(1))), "doc_id", "left")
-    counted = grams.select("own", F.explode(ngram_buckets(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("own").alias("target"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("own", F.lit(1))), "doc_id", "left")
+    counted = hashed(marked).select("own", F.explode(F.concat("h", "p")).alias("gram")).groupBy(F.expr(f"cast(pmod(gram, {buckets}L) as int)").alias("bucket")).agg(F.count("*").alias("raw"), F.count("own").alias("target"))
     counts = durable(counted, "ngrams")  # read twice, by the totals and by the ratios
     totals = counts.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
     both = counts.join(F.broadcast(totals))  # one row of totals
@@ -75,14 +75,23 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = 1 << 16, s
     return both.select("bucket", F.when(F.col("targets") > 0, ratio).otherwise(0.0).alias("llr"))
 
 
+def dense(ratios: DataFrame, buckets: int) -> DataFrame:
+    """One row: the array of the ratios of all ``buckets`` buckets, 0 where a bucket has none."""
+    every = ratios.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    filled = every.join(F.broadcast(ratios), "bucket", "left").select("bucket", F.coalesce("llr", F.lit(0.0)).alias("llr"))
+    return filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "llr"))).alias("all")).select(F.col("all.llr").alias("llr"))
+
+
 def judge(docs: DataFrame, ratios: DataFrame, *, buckets: int = 1 << 16, threshold: float = -0.2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the base counts, base_failed, llr (mean over n-grams) and kept.
 
-    Null and empty texts have no words, fail the base rules and have llr 0. Repeated rows are judged one by one.
-    ``ratios`` has at most ``buckets`` rows.
+    Null and empty texts have no words, fail the base rules and have llr 0. Repeated rows are judged one by one, texts of
+    any length whole; a tie with the threshold is kept. Other columns of ``docs`` aren't read. ``ratios`` has at most
+    ``buckets`` rows; they reach the rows of ``docs`` as one array.
     """
-    counted = base_counts(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("row", F.monotonically_increasing_id())
-    keys = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = counted.select(*keys, F.explode_outer(ngram_buckets(buckets)).alias("bucket"))
-    mean = grams.join(F.broadcast(ratios), "bucket", "left").groupBy(*keys).agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("llr"))
-    return mean.drop("row").withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    counted = base_counts(docs.select(F.col("doc_id").cast("long"), "text"))
+    table = durable(dense(ratios, buckets), "ratios").scalar()
+    add = f"(a, x) -> a + ratios[cast(pmod(x, {buckets}L) as int)]"
+    total, n = F.expr(f"aggregate(p, aggregate(h, 0D, {add}), {add})"), F.size("h") + F.size("p")
+    scored = counted.withColumn("ratios", table).withColumn("llr", F.when(n == 0, F.lit(0.0)).otherwise(total / n))
+    return scored.withColumn("base_failed", failed()).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
