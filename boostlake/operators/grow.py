@@ -1,8 +1,8 @@
 """Tree growth over a binned frame: rows stay where they are, one job per level sums histograms of all open nodes.
 
 Each task walks its rows through the part of the tree grown so far, sums gradients by (node, feature, bin) in numpy and
-emits blocks of bins; blocks are added up in as many steps as the tasks need, and only the sums reach the driver, whose size is fixed by
-the parameters (open nodes x bins).
+emits its sums by span of features; spans are added up in as many steps as the tasks need and searched where they meet, and only the
+best candidate of each span reaches the driver.
 
 The exact method adds a second job per level: bins are stretches of values whose sums give each stretch what lies before it,
 so that every stretch is sorted and searched in a task of its own, and its best cut alone reaches the driver.
@@ -11,11 +11,11 @@ so that every stretch is sorted and searched in a task of its own, and its best
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +24,10 @@ from boostlake.operators.cuts import Cuts, bins_matrix
 from boostlake.operators.splits import NodeColumn, Split, Stretch, TreeParams, best_exact, best_split, node_gain, stretch, weight
 from boostlake.session import FAN_IN, steps
 
-#: Bins in a block of a histogram.
+#: Bins of a span of features, which one group of the shuffle adds up and searches.
 BLOCK = 16384
+#: Sums that a task holds at once; a level with more open nodes takes several jobs.
+TASK_BYTES = 1 << 28
 RT_EPS = 1e-6
 
 
@@ -73,28 +75,45 @@ def uniform(row_id: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / 2**53
 
 
+def _packed(column: pa.BinaryArray, kind: str) -> np.ndarray:
+    """Numbers of a column of byte strings, one string after another, without a copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[[column.offset, column.offset + len(column)]] if len(column) else [0, 0]
+    return np.frombuffer(memoryview(data)[at[0] : at[1]], kind) if at[1] > at[0] else np.zeros(0, kind)
+
+
 def batch_arrays(batch: pa.RecordBatch, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins (values of the exact method), gradients and hessians (rows x outputs, through float32) of a batch with bins, g and h."""
     n = batch.num_rows
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), cuts.kind).reshape(n, len(cuts.values))
+    bins = _packed(batch.column("bins"), cuts.kind).reshape(n, len(cuts.values))
     wide = lambda c: np.asarray(batch.column(c).flatten(), np.float64).reshape(n, -1).astype(np.float32).astype(np.float64)
     return bins, wide("g"), wide("h")
 
 
-def histograms(df: DataFrame, trees: list[BinnedTree], wanted: list[list[int]], cuts: Cuts, outputs: list[list[int]], sample: Callable | None = None) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """Sums of the wanted nodes of each tree: (tree, node) to (bins x targets x 2, targets x 2).
+def spans(sizes: list[int]) -> list[tuple[int, int]]:
+    """Runs of features (first, one past the last) of at most BLOCK bins together; a feature with more stands alone."""
+    out, first, held = [], 0, 0
+    for f, n in enumerate(sizes):
+        if f > first and held + n > BLOCK:
+            out.append((first, f))
+            first, held = f, 0
+        held += n
+    return [*out, (first, len(sizes))]
+
 
-    ``df`` has row_id, bins, g and h; tree k sums the outputs[k] of g and h. ``sample`` maps (row_id, g, h) to the scale of
-    each row.
+def _sums(df: DataFrame, shared: Broadcast) -> DataFrame:
+    """Sums of the wanted nodes of each tree by span of features, added up until few parts of each are left.
+
+    ``df`` has row_id, bins, g and h; ``shared`` holds (trees, wanted, cuts, outputs, sample): tree k sums the outputs[k] of g and h of
+    the nodes wanted[k], and ``sample`` maps (row_id, g, h) to the scale of each row. A task tells only of nodes that it has rows of.
     """
-    starts = np.concatenate(([0], np.cumsum([len(v) for v in cuts.values])))
-    total = int(starts[-1])
-    shared = df.sparkSession.sparkContext.broadcast((trees, wanted, outputs, starts, sample, cuts))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, wanted, outputs, starts, sample, cuts = shared.value
-        sums = {(k, n): np.zeros((total, len(outputs[k]), 2)) for k, ns in enumerate(wanted) for n in ns}
-        whole = {key: np.zeros((len(outputs[key[0]]), 2)) for key in sums}
+        trees, wanted, cuts, outputs, sample = shared.value
+        starts = _starts(cuts)
+        total = int(starts[-1])
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        whole: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             held, g, h = batch_arrays(batch, cuts)
             bins = bins_matrix(held, cuts) if cuts.exact else held
@@ -112,53 +131,132 @@ def histograms(df: DataFrame, trees: list[BinnedTree], wanted: list[list[int]],
                 if not len(rows):
                     continue
                 own = slot[node[rows]]
+                here = np.unique(own)
+                slim = np.searchsorted(here, own)
+                for i in here:
+                    sums.setdefault((k, ns[i]), np.zeros((total, len(outputs[k]), 2)))
+                    whole.setdefault((k, ns[i]), np.zeros((len(outputs[k]), 2)))
                 ok = bins[rows] >= 0
-                flat = (own[:, None] * total + place[rows])[ok]
+                flat = (slim[:, None] * total + place[rows])[ok]
                 for j, o in enumerate(outputs[k]):
                     for m, x in enumerate((g, h)):
                         v = x[rows, o]
-                        got = np.bincount(flat, np.broadcast_to(v[:, None], ok.shape)[ok], len(ns) * total).reshape(len(ns), total)
-                        part = np.bincount(own, v, len(ns))
-                        for i, n in enumerate(ns):
-                            sums[k, n][:, j, m] += got[i]
-                            whole[k, n][j, m] += part[i]
+                        got = np.bincount(flat, np.broadcast_to(v[:, None], ok.shape)[ok], len(here) * total).reshape(len(here), total)
+                        part = np.bincount(slim, v, len(here))
+                        for at, i in enumerate(here):
+                            sums[k, ns[i]][:, j, m] += got[at]
+                            whole[k, ns[i]][j, m] += part[at]
         pid = TaskContext.get().partitionId()
         for (k, n), x in sums.items():
-            for at in range(0, total, BLOCK):
-                yield _block(k, n, at, pid, x[at : at + BLOCK])
-            yield _block(k, n, -1, pid, whole[k, n])
+            for at, (a, b) in enumerate(spans([len(v) for v in cuts.values])):
+                yield _block(k, n, at, pid, x[starts[a] : starts[b]], whole[k, n])
 
     def add(t: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(t.column("pid")), kind="stable")
-        parts = t.column("sums").to_pylist()
-        out = np.frombuffer(parts[order[0]]).copy()
-        for i in order[1:]:
-            out += np.frombuffer(parts[i])
         first = lambda c: t.column(c)[0].as_py()
-        return pa.Table.from_pydict({"k": [first("k")], "node": [first("node")], "at": [first("at")], "pid": [int(np.asarray(t.column("pid")).min())], "sums": [out.tobytes()]}, schema=_BLOCKS)
+        return pa.Table.from_batches([_block(first("k"), first("node"), first("at"), int(np.asarray(t.column("pid")).min()), *_added(t))])
 
-    schema = "k int, node int, at int, pid int, sums binary"
+    schema = "k int, node int, at int, pid int, sums binary, whole binary"
     blocks = df.select("row_id", "bins", "g", "h").mapInArrow(local, schema)
     for level in range(1, steps(df) + 1):
         blocks = blocks.groupBy("k", "node", "at", F.expr(f"pid div {FAN_IN**level}")).applyInArrow(add, schema)
-    out: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for r in blocks.groupBy("k", "node", "at").applyInArrow(add, schema).collect():
-        key = (r["k"], r["node"])
-        hist, sums = out.setdefault(key, (np.zeros((total, len(outputs[key[0]]), 2)), np.zeros((len(outputs[key[0]]), 2))))
-        x = np.frombuffer(r["sums"]).reshape(-1, len(outputs[key[0]]), 2)
-        if r["at"] < 0:
-            sums[:] = x[0]
-        else:
-            hist[r["at"] : r["at"] + len(x)] = x
-    shared.unpersist()
+    return blocks
+
+
+_BLOCKS = pa.schema([("k", pa.int32()), ("node", pa.int32()), ("at", pa.int32()), ("pid", pa.int32()), ("sums", pa.binary()), ("whole", pa.binary())])
+
+
+def _starts(cuts: Cuts) -> np.ndarray:
+    """First bin of each feature among the bins of all, and their number."""
+    return np.concatenate(([0], np.cumsum([len(v) for v in cuts.values]))).astype(np.int64)
+
+
+def _block(k: int, n: int, at: int, pid: int, x: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"k": [k], "node": [n], "at": [at], "pid": [pid], "sums": [np.ascontiguousarray(x).tobytes()], "whole": [whole.tobytes()]}, schema=_BLOCKS)
+
+
+def _added(t: pa.Table) -> list[np.ndarray]:
+    """The sums of a span and of its node over all parts, in order of the parts."""
+    order, out = np.argsort(np.asarray(t.column("pid")), kind="stable"), []
+    for c in ("sums", "whole"):
+        x = np.frombuffer(t.column(c)[int(order[0])].as_py()).copy()
+        for i in order[1:].tolist():
+            x += np.frombuffer(t.column(c)[i].as_py())
+        out.append(x)
     return out
 
 
-_BLOCKS = pa.schema([("k", pa.int32()), ("node", pa.int32()), ("at", pa.int32()), ("pid", pa.int32()), ("sums", pa.binary())])
+def histograms(df: DataFrame, trees: list[BinnedTree], wanted: list[list[int]], cuts: Cuts, outputs: list[list[int]], sample: Callable | None = None) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Sums of the wanted nodes on the driver, for the exact method: (tree, node) to (stretches x targets x 2, targets x 2)."""
+    shared = df.sparkSession.sparkContext.broadcast((trees, wanted, cuts, outputs, sample))
+    starts, runs = _starts(cuts), spans([len(v) for v in cuts.values])
+
+    def add(t: pa.Table) -> pa.Table:
+        first = lambda c: t.column(c)[0].as_py()
+        return pa.Table.from_batches([_block(first("k"), first("node"), first("at"), 0, *_added(t))])
+
+    out = {(k, n): (np.zeros((int(starts[-1]), len(outputs[k]), 2)), np.zeros((len(outputs[k]), 2))) for k, ns in enumerate(wanted) for n in ns}
+    for r in _sums(df, shared).groupBy("k", "node", "at").applyInArrow(add, "k int, node int, at int, pid int, sums binary, whole binary").collect():
+        hist, whole = out[r["k"], r["node"]]
+        a, b = runs[r["at"]]
+        hist[starts[a] : starts[b]] = np.frombuffer(r["sums"]).reshape(-1, *whole.shape)
+        whole[:] = np.frombuffer(r["whole"]).reshape(whole.shape)
+    shared.unpersist()
+    return out
 
 
-def _block(k: int, n: int, at: int, pid: int, x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"k": [k], "node": [n], "at": [at], "pid": [pid], "sums": [np.ascontiguousarray(x).tobytes()]}, schema=_BLOCKS)
+def _searcher(limits: Broadcast) -> Callable[[pa.Table], pa.Table]:
+    """The search of one span of features of one node; ``limits`` holds (cuts, parameters, limits by node)."""
+
+    def search(t: pa.Table) -> pa.Table:
+        cuts, p, nodes = limits.value
+        k, n, at = (t.column(c)[0].as_py() for c in ("k", "node", "at"))
+        sums, whole = _added(t)
+        whole = whole.reshape(-1, 2)
+        starts = _starts(cuts)
+        a, b = spans([len(v) for v in cuts.values])[at]
+        cells = sums.reshape(-1, *whole.shape)
+        hist = [cells[starts[f] - starts[a] : starts[f + 1] - starts[a]] for f in range(a, b)]
+        own = replace(p, monotone_constraints=p.monotone_constraints[a:b])
+        s = best_split(hist, whole, cuts.values[a:b], cuts.categorical[a:b], own, nodes[k, n].allowed[a:b], nodes[k, n].bounds)
+        row = {"k": k, "node": n, "at": at, "whole": whole.tobytes()}
+        if s is not None:
+            cats = None if s.categories is None else np.asarray(s.categories, np.int64).tolist()
+            row |= {"gain": s.gain, "feature": a + s.feature, "cond": s.cond, "default_left": s.default_left, "children": np.stack((s.left, s.right)).tobytes(), "categories": cats}
+        return pa.Table.from_pylist([row], schema=_CANDIDATES)
+
+    return search
+
+
+def splits(df: DataFrame, trees: list[BinnedTree], nodes: dict[tuple[int, int], NodeLimits], cuts: Cuts, p: TreeParams, outputs: list[list[int]], sample: Callable | None = None) -> dict[tuple[int, int], tuple[Split | None, np.ndarray]]:
+    """The best split and the sums (targets x 2) of each (tree, node): a group of the shuffle adds up one span of features of
+    one node and searches it, so that one candidate of each span reaches the driver.
+
+    A job takes as many nodes as fit in TASK_BYTES of sums.
+    """
+    found: dict[tuple[int, int], tuple[Split | None, np.ndarray]] = {x: (None, np.zeros((len(outputs[x[0]]), 2))) for x in nodes}
+    sc, bins = df.sparkSession.sparkContext, int(_starts(cuts)[-1])
+    per = max(1, TASK_BYTES // (16 * max(bins, 1) * max(map(len, outputs))))
+    names = list(nodes)
+    for i in range(0, len(names), per):
+        part = names[i : i + per]
+        wanted = [[n for t, n in part if t == k] for k in range(len(trees))]
+        shared = sc.broadcast((trees, wanted, cuts, outputs, sample))
+        limits = sc.broadcast((cuts, p, {x: nodes[x] for x in part}))
+
+        told = _sums(df, shared).groupBy("k", "node", "at").applyInArrow(_searcher(limits), "k int, node int, at int, whole binary, gain double, feature int, cond double, default_left boolean, children binary, categories array<long>")
+        for r in sorted(told.collect(), key=lambda r: r["at"]):
+            key = (r["k"], r["node"])
+            best, whole = found[key][0], np.frombuffer(r["whole"]).reshape(-1, 2).copy()
+            if r["gain"] is not None and r["gain"] > (best.gain if best else 0.0):
+                left, right = np.frombuffer(r["children"]).reshape(2, *whole.shape).copy()
+                best = Split(r["gain"], r["feature"], r["cond"], r["default_left"], left, right, None if r["categories"] is None else np.array(r["categories"], np.int64))
+            found[key] = (best, whole)
+        shared.unpersist()
+        limits.unpersist()
+    return found
+
+
+_CANDIDATES = pa.schema([("k", pa.int32()), ("node", pa.int32()), ("at", pa.int32()), ("whole", pa.binary()), ("gain", pa.float64()), ("feature", pa.int32()), ("cond", pa.float64()), ("default_left", pa.bool_()), ("children", pa.binary()), ("categories", pa.list_(pa.int64()))])
 
 
 def exact_splits(df: DataFrame, trees: list[BinnedTree], columns: dict[tuple[int, int], dict[int, NodeColumn]], before: dict[tuple[int, int], np.ndarray], cuts: Cuts, p: TreeParams, outputs: list[list[int]], sample: Callable | None = None) -> dict[tuple[int, int], Split | None]:
@@ -228,12 +326,19 @@ def exact_splits(df: DataFrame, trees: list[BinnedTree], columns: dict[tuple[int
 _STRETCHES = pa.schema([("k", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("first", pa.float32()), ("last", pa.float32()), ("gains", pa.list_(pa.float64())), ("conds", pa.list_(pa.float64())), ("sums", pa.binary())])
 
 
+@dataclass
+class NodeLimits:
+    """Features that a node may use and the bounds of its weights."""
+
+    allowed: np.ndarray
+    bounds: tuple[float, float]
+
+
 @dataclass
 class _Open:
     node: int
     depth: int
     sums: np.ndarray
-    hist: np.ndarray | None
     bounds: list[tuple[float, float]]
     path: frozenset[int]
     split: Split | None = None
@@ -280,54 +385,49 @@ def interaction_mask(path: frozenset[int], sets: list[list[int]], n: int) -> np.
 
 def grow(df: DataFrame, cuts: Cuts, p: TreeParams, outputs: list[list[int]], rng: np.random.Generator, sample: Callable | None = None, scale: float = 1.0) -> list[BinnedTree]:
     """Grow one tree per entry of ``outputs`` (the outputs of g and h that it fits; several make vector leaves)."""
-    sizes = [len(v) for v in cuts.values]
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    m, eta = len(sizes), p.learning_rate * scale
+    starts, m, eta = _starts(cuts), len(cuts.values), p.learning_rate * scale
     exact = cuts.exact
     trees = [(ValueTree if exact else BinnedTree)(Tree.root(len(o)), {}) for o in outputs]
     samplers = [ColumnSampler(m, p, rng) for _ in outputs]
-    found = histograms(df, trees, [[0]] * len(trees), cuts, outputs, sample)
-    queues: list[list[_Open]] = []
     free = (-np.inf, np.inf)
 
     def evaluate(opened: list[tuple[int, _Open]]) -> None:
-        masks = [samplers[k].allowed(x.depth) & interaction_mask(x.path, p.interaction_constraints, m) for k, x in opened]
-        if exact:
-            columns, before = {}, {}
-            for (k, x), allowed in zip(opened, masks, strict=True):
-                low, high = x.bounds[0] if len(x.bounds) == 1 else free
-                parent, upto = float(node_gain(x.sums, p, low, high)), np.zeros_like(x.hist)
-                columns[k, x.node] = {}
-                for f in np.flatnonzero(allowed).tolist():
-                    own = np.cumsum(x.hist[starts[f] : starts[f + 1]], axis=0)
-                    upto[starts[f] + 1 : starts[f + 1]] = own[:-1]
-                    missing = not np.allclose(own[-1][:, 1], x.sums[:, 1], rtol=1e-7, atol=1e-9)
-                    sides = {"left": (True,), "right": (False,)}.get(p.default_direction, (True, False) if missing else (True,))
-                    columns[k, x.node][f] = NodeColumn(x.sums, own[-1], sides, parent, p.monotone_constraints[f] if f < len(p.monotone_constraints) else 0, low, high)
-                before[k, x.node] = upto
-            splits = exact_splits(df, trees, columns, before, cuts, p, outputs, sample)
+        """Set sums and best split of open nodes."""
+        limits = {(k, x.node): NodeLimits(samplers[k].allowed(x.depth) & interaction_mask(x.path, p.interaction_constraints, m), x.bounds[0] if len(x.bounds) == 1 else free) for k, x in opened}
+        if not exact:
+            found = splits(df, trees, limits, cuts, p, outputs, sample)
             for k, x in opened:
-                x.split, x.hist = splits[k, x.node], None
+                x.split, x.sums = found[k, x.node]
             return
-        for (k, x), allowed in zip(opened, masks, strict=True):
-            parts = [x.hist[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            low, high = x.bounds[0] if len(x.bounds) == 1 else free
-            x.split = best_split(parts, x.sums, cuts.values, cuts.categorical, p, allowed, (low, high))
+        hists = histograms(df, trees, [[x.node for t, x in opened if t == k] for k in range(len(trees))], cuts, outputs, sample)
+        columns, before = {}, {}
+        for k, x in opened:
+            allowed, (low, high) = limits[k, x.node].allowed, limits[k, x.node].bounds
+            hist, x.sums = hists[k, x.node]
+            parent, upto = float(node_gain(x.sums, p, low, high)), np.zeros_like(hist)
+            columns[k, x.node] = {}
+            for f in np.flatnonzero(allowed).tolist():
+                own = np.cumsum(hist[starts[f] : starts[f + 1]], axis=0)
+                upto[starts[f] + 1 : starts[f + 1]] = own[:-1]
+                missing = not np.allclose(own[-1][:, 1], x.sums[:, 1], rtol=1e-7, atol=1e-9)
+                sides = {"left": (True,), "right": (False,)}.get(p.default_direction, (True, False) if missing else (True,))
+                columns[k, x.node][f] = NodeColumn(x.sums, own[-1], sides, parent, p.monotone_constraints[f] if f < len(p.monotone_constraints) else 0, low, high)
+            before[k, x.node] = upto
+        cut = exact_splits(df, trees, columns, before, cuts, p, outputs, sample)
+        for k, x in opened:
+            x.split = cut[k, x.node]
 
     def leaf(x: _Open) -> np.ndarray:
         return np.array([weight(x.sums[j, 0], x.sums[j, 1], p, *x.bounds[j]) for j in range(len(x.sums))])
 
-    for k, _ in enumerate(trees):
-        hist, sums = found[k, 0]
-        root = _Open(0, 0, sums, hist, [free] * len(sums), frozenset())
+    queues = [[_Open(0, 0, np.zeros((len(o), 2)), [free] * len(o), frozenset())] for o in outputs]
+    evaluate([(k, queue[0]) for k, queue in enumerate(queues)])
+    for k, (root,) in enumerate(queues):
         w = leaf(root)
         t = trees[k].tree
-        t.leaf[0], t.base_weight[0], t.sum_hess[0] = w * eta, w[0], sums[:, 1].mean()
-        queues.append([root])
-    evaluate([(k, queue[0]) for k, queue in enumerate(queues)])
+        t.leaf[0], t.base_weight[0], t.sum_hess[0] = w * eta, w[0], root.sums[:, 1].mean()
     leaves = [1] * len(trees)
     while True:
-        wanted: list[list[int]] = [[] for _ in trees]
         made: list[tuple[int, _Open, _Open, _Open, bool]] = []
         for k, queue in enumerate(queues):
             ready = [x for x in queue if x.split is not None and x.split.gain > RT_EPS and x.split.gain >= p.min_split_loss and (not p.max_depth or x.depth < p.max_depth)]
@@ -343,25 +443,11 @@ def grow(df: DataFrame, cuts: Cuts, p: TreeParams, outputs: list[list[int]], rng
                 leaves[k] += 1
                 made.append(_split(trees[k], x, cuts, p, eta, exact, leaf))
                 made[-1] = (k, *made[-1])
-                _, _, a, b, deeper = made[-1]
-                if deeper and exact:
-                    wanted[k] += [a.node, b.node]
-                elif deeper:
-                    wanted[k].append((a if a.sums[:, 1].sum() <= b.sums[:, 1].sum() else b).node)
         if not made:
             break
-        found = histograms(df, trees, wanted, cuts, outputs, sample) if any(wanted) else {}
-        opened: list[tuple[int, _Open]] = []
-        for k, x, a, b, deeper in made:
-            if not deeper:
-                continue
-            small, big = (a, b) if (k, a.node) in found else (b, a)
-            small.hist, small.sums = found[k, small.node]
-            big.hist, big.sums = found[k, big.node] if exact else (x.hist - small.hist, x.sums - small.sums)
-            x.hist = None
-            for c in (a, b):
-                opened.append((k, c))
-                queues[k].append(c)
+        opened = [(k, c) for k, _, a, b, deeper in made if deeper for c in (a, b)]
+        for k, c in opened:
+            queues[k].append(c)
         if opened:
             evaluate(opened)
     return trees
@@ -371,7 +457,7 @@ def _split(bt: BinnedTree, x: _Open, cuts: Cuts, p: TreeParams, eta: float, exac
     s, t = x.split, bt.tree
     bounds = [list(x.bounds), list(x.bounds)]
     sign = p.monotone_constraints[s.feature] if s.feature < len(p.monotone_constraints) else 0
-    kids = [_Open(-1, x.depth + 1, v, None, b, x.path | {s.feature}) for v, b in ((s.left, bounds[0]), (s.right, bounds[1]))]
+    kids = [_Open(-1, x.depth + 1, v, b, x.path | {s.feature}) for v, b in ((s.left, bounds[0]), (s.right, bounds[1]))]
     w = [leaf(c) for c in kids]
     if sign:
         for j in range(len(x.bounds)):

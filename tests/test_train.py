@@ -12,7 +12,7 @@ from boostlake.functions.objectives import Frame, objective
 from boostlake.model import Model
 from boostlake.operators.cuts import choose, merge
 from boostlake.operators.cuts import prune as prune_summary
-from boostlake.operators.grow import interaction_mask, uniform
+from boostlake.operators.grow import interaction_mask, spans, uniform
 from boostlake.operators.predict import predict
 from boostlake.operators.refresh import prune, refresh
 from boostlake.operators.splits import TreeParams, best_split
@@ -112,6 +112,26 @@ def test_categorical_figures(spark):
     assert b.model.trees[0].categories[0].tolist() == [0, 2, 4]
 
 
+def test_spans_of_features():
+    assert spans([5, 9]) == [(0, 2)]
+    assert spans([16_000, 300, 84, 1, 40_000, 2]) == [(0, 3), (3, 4), (4, 5), (5, 6)]
+
+
+@pytest.mark.parametrize("held", [1 << 28, 1])
+def test_split_search_over_spans(spark, monkeypatch, held):
+    monkeypatch.setattr("boostlake.operators.grow.TASK_BYTES", held)  # 1: a job for every node
+    rng = np.random.default_rng(21)
+    x = rng.random((600, 72), dtype=np.float32)  # 72 features of 256 bins: more than one span
+    y = 5.0 * (x[:, 70] > 0.4) + 2.0 * (x[:, 3] > 0.7)
+    names = [f"f{i}" for i in range(72)]
+    d = Data(spark.createDataFrame(pd.DataFrame(x, columns=names).assign(row_id=np.arange(600), label=y)).repartition(3), names, "label")
+    t = train({"max_depth": 2, "base_score": 0.0, "reg_lambda": 0}, d, 1).model.trees[0]
+    assert t.feature[0] == 70 and t.feature[t.left[0]] == t.feature[t.right[0]] == 3
+    left = x[:, 70] < t.cond[0]
+    assert abs(t.sum_hess[t.left[0]] - left.sum()) < 1e-9
+    assert abs(t.base_weight[t.left[0]] - y[left].mean()) < 1e-6
+
+
 def test_many_categories(spark):
     codes = np.array([0, 7, 32_769, 40_000] * 30, np.float32)
     d = Data(frame(spark, codes[:, None], label=(codes == 40_000).astype(float)), NAMES[:1], categorical=NAMES[:1])
