@@ -172,6 +172,18 @@ def refresh_tree(spark, sf_dir):
     return spark.createDataFrame([tuple(r.values()) for r in refresh(_one(), df).nodes()], NODE_SCHEMA)
 
 
+@query("refresh_leaves", f"""WITH {ORDERS}, l AS (SELECT yb, {T0.format(3, 4, 2)} AS leaf FROM b), p AS (SELECT yb, unnest(CASE leaf WHEN 3 THEN [0, 1, 3] WHEN 4 THEN [0, 1, 4] ELSE [0, 2] END) AS node FROM l),
+    n AS (SELECT node, sum(0.5 - yb) AS g, CAST(count(*) * 0.25 AS DOUBLE) AS h FROM p GROUP BY node), s AS (SELECT node, h, -g / (h + 1) AS w, g * g / (h + 1) AS own FROM n),
+    c AS (SELECT CASE WHEN node IN (1, 2) THEN 0 ELSE 1 END AS node, sum(own) AS below FROM s WHERE node > 0 GROUP BY ALL)
+    SELECT node, round(h, 2) AS cover, round(w, 4) + 0.0 AS weight, round(CASE WHEN node IN (0, 1) THEN 0 ELSE w * 0.3 END, 4) + 0.0 AS leaf, round(CASE WHEN node IN (0, 1) THEN below - own ELSE 0 END, 3) + 0.0 AS gain FROM s LEFT JOIN c USING (node)""")
+def refresh_leaves(spark, sf_dir):
+    """Refreshed hessians, weights, leaves and gains of every node."""
+    df = rows(spark, sf_dir).select("row_id", "x", F.array(0.5 - F.col("yb")).alias("g"), F.array(F.lit(0.25)).alias("h"))
+    (t,) = refresh(_one(), df).trees
+    told = [(n, round(float(t.sum_hess[n]), 2), round(float(t.base_weight[n]), 4) + 0.0, (round(float(t.leaf[n, 0]), 4) if t.left[n] < 0 else 0.0) + 0.0, round(float(t.loss_chg[n]), 3) + 0.0) for n in range(t.n)]
+    return spark.createDataFrame(told, "node int, cover double, weight double, leaf double, gain double")
+
+
 @query("prune_tree", "SELECT CAST(tree AS INTEGER) AS tree, 1::BIGINT AS splits FROM (VALUES (0), (1), (2)) t(tree)")
 def prune_tree(spark, sf_dir):
     m = prune(forest(), splits.TreeParams(min_split_loss=5.0))
