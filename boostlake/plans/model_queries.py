@@ -226,6 +226,29 @@ def train_stump(spark, sf_dir):
     return b.select("row_id", F.round(1.0 / (1.0 + F.exp(-margin)), 5).alias("prediction"))
 
 
+def _level(rows_: str, out: str) -> str:
+    """SQL that splits every node of ``rows_`` (row_id, y, prio, q, node) at its best cut: sums, candidates with missing values
+    right and left, the best one, and rows with their new nodes."""
+    return f"""{out}u AS (SELECT node, 0 AS f, prio AS v, y FROM {rows_} UNION ALL SELECT node, 1, q, y FROM {rows_} WHERE q IS NOT NULL),
+    {out}t AS (SELECT node, sum(y) AS tg, count(*) AS th FROM {rows_} GROUP BY node), {out}h AS (SELECT node, f, v, sum(y) AS g, count(*) AS h FROM {out}u GROUP BY ALL),
+    {out}c AS (SELECT node, f, v, sum(g) OVER w AS cg, sum(h) OVER w AS ch, sum(g) OVER (PARTITION BY node, f) AS sg, sum(h) OVER (PARTITION BY node, f) AS sh FROM {out}h WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+    {out}d AS (SELECT node, f, v, false AS dl, cg AS gl, ch AS hl, tg, th FROM {out}c JOIN {out}t USING (node) UNION ALL SELECT node, f, v, true, cg + tg - sg, ch + th - sh, tg, th FROM {out}c JOIN {out}t USING (node) WHERE sh < th),
+    {out}s AS (SELECT *, CAST(gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1) AS FLOAT) AS gain FROM {out}d WHERE hl >= 1 AND th - hl >= 1 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, dl, v) = 1),
+    {out} AS (SELECT row_id, y, prio, q, CASE WHEN gain > 1e-6 THEN 2 * x.node + 2 - CAST(coalesce(CASE f WHEN 0 THEN prio ELSE q END <= v, dl) AS INTEGER) ELSE x.node END AS node FROM {rows_} x LEFT JOIN {out}s USING (node))"""
+
+
+@query("train_two_levels", f"""WITH {ORDERS}, r0 AS (SELECT row_id, floor(CAST(price AS DOUBLE) / 10000) - 3 * prio + 2 * rel AS y, CAST(prio AS DOUBLE) AS prio, CASE WHEN row_id % 10 = 0 THEN NULL ELSE rel END AS q, 0 AS node FROM b),
+    {_level("r0", "r1")}, {_level("r1", "r2")}, w AS (SELECT node, sum(y) / (count(*) + 1) * 0.3 AS leaf FROM r2 GROUP BY node) SELECT row_id, round(leaf, 3) + 0.0 AS v FROM r2 JOIN w USING (node)""")
+def train_two_levels(spark, sf_dir):
+    """One tree of the training loop, two levels deep, over values that may be missing; sums are whole numbers and exact."""
+    o = orders(spark, sf_dir)
+    y = F.floor(F.col("price").cast("double") / 10000) - 3 * F.col("prio") + 2 * F.col("rel")
+    o = o.withColumn("y", y.cast("double")).withColumn("q", F.when(F.col("row_id") % 10 != 0, F.col("rel"))).select("row_id", "prio", "q", "y")
+    d = Data(o, ["prio", "q"], "y")
+    m = train({"objective": "reg:squarederror", "max_depth": 2, "base_score": 0.0}, d, 1).model
+    return shown(predict(m, d.plain(), output="margin"), 3)
+
+
 def trained(name: str, params: dict, label: str = "signal", rounds: int = 3, **roles) -> None:
     @query(name)
     def run(spark, sf_dir):
