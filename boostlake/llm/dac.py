@@ -17,6 +17,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from boostlake.llm.blocks import blocks, bounded, durable
+from boostlake.llm.bpe import NONE, PairTable
 
 FORMAT = "part int, block long, start_in_part long, n_tokens long, known binary, doc_ids binary, doc_ends binary, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -79,10 +81,22 @@ def unpack(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
     return np.zeros(0, np.uint32) if rest is None else rest
 
 
-#: Entries of a generation of a word cache.
+#: Entries of a generation of the piece cache.
 CACHED = 250_000
-#: A word that the normalizer only lower-cases and that splits into letters and ASCII punctuation.
-_PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Bytes of the longest piece that is merged in a matrix and cached.
+WIDEST = 64
+#: Bytes of text cut into pieces at once.
+SPAN_BYTES = 4 << 20
+_BLANK, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KIND[33:127] = _MARK
+_KIND[ord("'")] = _OTHER  # may begin a contraction
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_NEXT_BLANK = re.compile(rb"[\x09-\x0d ]").search
 # The normalizer and pre-tokenizer under which words between blanks can be encoded one by one.
 WORD_STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -97,14 +111,108 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Merges:
+    """A byte-level model's merges, on matrices with one piece a row: each round joins every row's leftmost pair of least rank."""
+
+    def __init__(self, model: dict, letters: dict[int, str]):
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
+        split = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ranks = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(split)}
+        self.merged = np.array([vocab[a + b] for a, b in split], np.int32)
+        left, right = np.array(list(ranks), np.int64).reshape(-1, 2).T
+        self.pairs = PairTable(left, right, np.array(list(ranks.values()), np.int32))
+
+    @classmethod
+    def of(cls, model: dict, letters: dict[int, str]) -> Merges | None:
+        """None for a model with other rules, or without tokens for all bytes."""
+        other = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+        suffix = model.get("end_of_word_suffix") or ""
+        if model.get("type") != "BPE" or any(model.get(k) for k in other) or not all(x in model["vocab"] and x + suffix in model["vocab"] for x in letters.values()):
+            return None
+        return cls(model, letters)
+
+    def encode(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For pieces of 1 to WIDEST bytes at ``starts`` of ``chars``, no byte 0: in groups, their numbers, how many ids each has, and the ids."""
+        widths = np.array([8, 16, 32, WIDEST])
+        group = np.searchsorted(widths, sizes)
+        for k, width in enumerate(widths.tolist()):
+            rows, step = np.flatnonzero(group == k), (1 << 20) // width
+            for at in range(0, len(rows), step):
+                part, place = rows[at : at + step], np.arange(width)
+                raw = np.where(place < sizes[part, None], chars[np.minimum(starts[part, None] + place, len(chars) - 1)], 0)
+                held = (ids := self._matrix(raw)) >= 0
+                yield part, held.sum(axis=1), ids[held]
+
+    def _matrix(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of each row's piece, then -1."""
+        sizes, width = (raw != 0).sum(axis=1), raw.shape[1]
+        ids = np.where(raw != 0, self.inner[raw], np.int32(-1))
+        rows = np.arange(len(raw))
+        ids[rows, sizes - 1] = self.last[raw[rows, sizes - 1]]
+        rank = self.pairs.lookup(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(raw), width - 1)
+        out = np.full(raw.shape, -1, np.int32)
+        while len(rows):
+            n = np.arange(len(rows))
+            at = rank.argmin(axis=1)
+            least = rank[n, at]
+            live = least != NONE
+            if not live.all():
+                out[rows[~live]] = ids[~live]
+                rows, ids, rank, at, least = rows[live], ids[live], rank[live], at[live], least[live]
+                n = n[: len(rows)]
+            # what follows the merged pair moves one place to the left
+            ids[n, at] = self.merged[least]
+            after = np.arange(width - 1) > at[:, None]
+            ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            rank[:, :-1] = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = NONE
+            inner = np.flatnonzero(at < width - 1)
+            rank[inner, at[inner]] = self.pairs.lookup(ids[inner, at[inner]], ids[inner, at[inner] + 1])
+            inner = np.flatnonzero(at > 0)
+            rank[inner, at[inner] - 1] = self.pairs.lookup(ids[inner, at[inner] - 1], ids[inner, at[inner]])
+        return out
+
+
+class Pool:
+    """Runs of ids by number, one after the other."""
+
+    def __init__(self):
+        self.n, self.ends, self.flat = 0, np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+
+    def add(self, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers of new runs of ``counts`` ids."""
+        held, to = int(self.ends[self.n]), self.n + len(counts)
+        if to >= len(self.ends):
+            self.ends = np.concatenate((self.ends[: self.n + 1], np.zeros(2 * to - self.n, np.int64)))
+        if held + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat[:held], np.zeros(2 * (held + len(ids)) - held, np.uint32)))
+        self.ends[self.n + 1 : to + 1] = held + np.cumsum(counts)
+        self.flat[held : held + len(ids)] = ids
+        at, self.n = np.arange(self.n, to), to
+        return at
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the runs numbered ``at`` ends when they are joined, from 0, and the ids."""
+        held = 4 * self.ends[: self.n + 1]
+        runs = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(held), pa.py_buffer(self.flat)])
+        _, ends, ids = runs.take(pa.array(at)).buffers()
+        ends = np.frombuffer(ends, np.int64, len(at) + 1) // 4
+        return ends, np.frombuffer(ids, np.uint32, ends[-1]) if ends[-1] else np.zeros(0, np.uint32)
+
+
 class WordTokenizer:
     """The library's ids of texts, as unsigned 32-bit integers (of a little-endian machine).
 
-    Under WORD_STEPS the pre-tokenizer never joins across a space or a line feed, so words are encoded once and their ids
-    reused: letters and punctuation of plain words go straight to the library's model, other words through all its
-    steps. Of each cache two generations of CACHED entries are held. Texts with an added token's string, and all
-    texts of files with other steps, go through the library as a whole. ``special_as_text`` reads the strings of
-    special tokens as ordinary text, which the library as loaded doesn't.
+    Under WORD_STEPS the pre-tokenizer never joins across ASCII white space, and a word of ASCII and Latin-1 letters,
+    digits and ASCII punctuation other than apostrophes falls into runs of letters, single digits and runs of
+    punctuation, only lower-cased. Blocks are cut in numpy into these pieces and the remaining words, of which Arrow finds
+    the distinct ones; new pieces are merged by the model's ranks, new words go through all steps of the library. Two
+    generations of CACHED short ones are held. Texts with an added token's string, and all texts of files with other
+    steps, go through the library as a whole. ``special_as_text`` reads the strings of special tokens as ordinary text,
+    which the library as loaded doesn't.
     """
 
     def __init__(self, content: bytes, special_as_text: bool = False):
@@ -115,9 +223,11 @@ class WordTokenizer:
         self.by_word = all(steps.get(k) == v for k, v in WORD_STEPS.items()) and not any(t["normalized"] for t in added)
         self.added = [t["content"] for t in added]
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.old_words, self.old_pieces = self.words, self.pieces
+        self.merges = Merges.of(steps["model"], self.letters) if self.by_word else None
+        # numbers of pieces in the pool of their generation
+        self.known: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
+        self.pool, self.old_pool = Pool(), Pool()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if not self.by_word or any(x in t for x in self.added)]
@@ -134,30 +244,81 @@ class WordTokenizer:
         return out
 
     def _encode_words(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHED:
-            self.old_words, self.words = self.words, {}
-        if len(self.pieces) > CACHED:
-            self.old_pieces, self.pieces = self.pieces, {"": b""}
-        words, pieces, older, old_pieces, other = self.words, self.pieces, self.old_words.get, self.old_pieces.get, []
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        for w in set().union(*split).difference(words):
-            if (known := older(w)) is not None:
-                words[w] = known
-            elif m := _PLAIN(w):
-                word, tail = m.groups()
-                word = word.lower()
-                for p in (word, tail):
-                    if p not in pieces:
-                        if (known := old_pieces(p)) is None:
-                            known = array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(letters))]).tobytes()
-                        pieces[p] = known
-                words[w] = pieces[word] + pieces[tail]
-            else:
-                other.append(w)
-        words.update(zip(other, self._encode_whole(other), strict=True))
-        get = words.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        held = [t.encode() for t in texts]
+        raw = b"\n".join(held)
+        text_ends = np.cumsum([len(x) + 1 for x in held], dtype=np.int64) - 1
+        flat, ends, size, at = [], [], 0, 0
+        while at < len(raw):  # spans end at white space, so that a long text is not worked on at once
+            cut = _NEXT_BLANK(raw, at + SPAN_BYTES)
+            to = cut.end() if cut else len(raw)
+            starts, id_ends, ids = self._encode_span(np.frombuffer(raw, np.uint8, to - at, at))
+            inside = text_ends[len(ends) : np.searchsorted(text_ends, to, side="right")]
+            ends += (size + 4 * id_ends[np.searchsorted(starts, inside - at)]).tolist()
+            flat.append(ids.tobytes())
+            size, at = size + len(flat[-1]), to
+        ends += [size] * (len(held) - len(ends))
+        joined = b"".join(flat)
+        return [joined[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _encode_span(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces start, how many ids are before each piece and after the last, and the ids."""
+        kind, low = _KIND[data], _LOWER[data]
+        lead = np.flatnonzero(data == 0xC3)  # U+00C0 to U+00FF: letters but for two signs
+        after = data[lead + 1]
+        letter = (after != 0x97) & (after != 0xB7)
+        lead, after = lead[letter], after[letter]
+        kind[lead] = kind[lead + 1] = _LETTER
+        low[lead + 1] += np.where(after < 0x9F, 32, 0).astype(np.uint8)
+        if (other := kind == _OTHER).any():
+            word = np.cumsum(kind == _BLANK, dtype=np.int32)
+            odd = np.zeros(word[-1] + 1, bool)
+            odd[word[other]] = True
+            whole = odd[word] & (kind != _BLANK)
+            kind[whole], low[whole] = _OTHER, data[whole]
+        shown = kind != _BLANK
+        begins = shown & (np.concatenate(([True], kind[1:] != kind[:-1])) | (kind == _DIGIT))
+        starts, chars = np.flatnonzero(begins), low[shown]
+        bounds = np.append(np.flatnonzero(begins[shown]), len(chars)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(chars)]).dictionary_encode()
+        at = pieces.indices.to_numpy()
+        plain = np.zeros(len(pieces.dictionary), bool)
+        plain[at] = kind[starts] != _OTHER
+        return starts, *self._ids(pieces.dictionary, plain, at)
+
+    def _ids(self, pieces: pa.Array, plain: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``Pool.take`` of the distinct ``pieces`` numbered ``at``; ``plain`` are those that need no step before the model."""
+        if len(self.known) > CACHED:
+            self.old, self.old_pool, self.known, self.pool = self.known, self.pool, {}, Pool()
+        keys = pieces.to_pylist()
+        place = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        before = np.fromiter((self.old.get(keys[i], -1) for i in new.tolist()), np.int64, len(new))
+        ends, ids = self.old_pool.take(before[before >= 0])
+        place[new[before >= 0]] = self.pool.add(np.diff(ends), ids)
+        lost = new[before < 0]
+        bounds = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1)
+        sizes = np.diff(bounds)
+        short = sizes <= WIDEST
+        if self.merges:
+            fit = lost[plain[lost] & short[lost]]
+            chars = np.frombuffer(pieces.buffers()[2], np.uint8) if len(fit) else None
+            for part, counts, ids in self.merges.encode(chars, bounds[fit], sizes[fit]):
+                place[fit[part]] = self.pool.add(counts, ids)
+            lost = lost[place[lost] < 0]
+        for some in (lost[short[lost]], lost[~short[lost]]):
+            self._add_by_library(keys, some, plain, place)
+        kept = new[short[new]]
+        self.known.update(zip([keys[i] for i in kept.tolist()], place[kept].tolist(), strict=True))
+        out = self.pool.take(place[at])
+        self.pool.n -= int((~short).sum())  # long pieces were added last and are not held
+        return out
+
+    def _add_by_library(self, keys: list[bytes], some: np.ndarray, plain: np.ndarray, place: np.ndarray) -> None:
+        """Encode ``some`` of the pieces ``keys`` one by one and note their numbers in ``place``."""
+        model, other = some[plain[some]], some[~plain[some]]
+        made = [array("I", [t.id for t in self.tokenizer.model.tokenize(keys[i].decode("latin-1").translate(self.letters))]).tobytes() for i in model.tolist()]
+        made += self._encode_whole([keys[i].decode() for i in other.tolist()])
+        place[np.concatenate((model, other))] = self.pool.add(np.array([len(x) // 4 for x in made], np.int64), np.frombuffer(b"".join(made), np.uint32))
 
 
 _TOKENIZERS: dict[tuple[int, bool], WordTokenizer] = {}
@@ -207,7 +368,7 @@ def write(docs: DataFrame, tokenizer_file: bytes, *, end_id: int = 2, block_toke
                 x.clear()
             return pa.RecordBatch.from_pydict(row, schema=_SCHEMA)
 
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=SPAN_BYTES):
             encoded = own.encode(batch.column("text").to_pylist())
             for p, d, x in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
                 if p != state["part"]:

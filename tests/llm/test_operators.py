@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -343,6 +344,34 @@ def test_token_store_without_ids(spark):
     assert [x[1] for x in got] == [None, None, -(2**63), 3, 3, 3] and [x[2] for x in got] == [2, 3, 2, 1, 2, 2]
 
 
+def test_plain_words_need_no_call_each():
+    """New words of letters, digits and punctuation are merged in bulk: a call of the library for each made op6 exceed its CPU budget."""
+    content = queries.vocabulary("word_bpe_49k.json")
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuyzABSÀÖØßÿéñ") for _ in range(rng.randint(1, 64 if rng.random() < 0.02 else 12))).encode()[:64].decode(errors="ignore")
+    texts = [rng.choice([" ", "\n", "\r\n\t", "-", "3.14", "_/"]).join(word() for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    want = [e.ids for e in Tokenizer.from_str(content.decode()).encode_batch(texts, add_special_tokens=False)]
+    own = dac.WordTokenizer(content)
+    own.tokenizer = SimpleNamespace(model=None, encode_batch=lambda x, **_: [] if not x else pytest.fail("a word went through the library"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+
+
+def test_words_equal_the_library(monkeypatch):
+    """Words of all kinds, over spans shorter than texts and caches smaller than the words; long words aren't held."""
+    monkeypatch.setattr(dac, "SPAN_BYTES", 60)
+    monkeypatch.setattr(dac, "CACHED", 150)
+    content = queries.vocabulary("word_bpe_49k.json")
+    t, own, rng = Tokenizer.from_str(content.decode()), dac.WordTokenizer(content), random.Random(4)
+    chars = [*"abcdestTZÀØßÿÞ×÷ªµ0789!#',.-_~[ \n\t\r\x0b\x0c\x85\x1c\x00\x7f\xa0\u3000\u0301İΣς日\U0001f600ﬁÅ½²٣й", "'s", "'LL", " ", " ", "\n"]
+    words = ["x" * 65, "é" * 40, "!" * 80, "7" * 70, "日" * 50, "BY-NC", "(4.0)", "it's", "café,", "international"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(10)] + ["", " ".join(rng.choices(words, k=rng.randint(0, 30))), "\n \t"]
+        want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    assert own.old and max(map(len, [*own.known, *own.old])) <= dac.WIDEST
+    assert own.encode([]) == [] and own.encode([""]) == [b""] and own.encode([" \n"]) == [b""]
+
+
 def test_other_tokenizer_file():
     """A file with other steps goes through the library as a whole."""
     content = queries.vocabulary("byte_bpe_50k.json")
