@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +39,38 @@ def node_stats(model: Model, df: DataFrame) -> DataFrame:
     return df.select("x", "g", "h").mapInArrow(run, "tree int, node int, g double, h double").groupBy("tree", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
+@dataclass
+class NodeStats:
+    """Hessians, weights and gains of the nodes of a tree in double, which the float32 of a model would round off."""
+
+    hess: np.ndarray
+    weight: np.ndarray
+    gain: np.ndarray
+
+
+def refreshed(model: Model, df: DataFrame, p: TreeParams | None = None) -> list[NodeStats]:
+    """Statistics of every tree's nodes from ``df``; the gain of a leaf is 0."""
+    p = p or TreeParams()
+    sums = [np.zeros((t.n, 2)) for t in model.trees]
+    for r in node_stats(model, df).collect():  # one row per node
+        sums[r["tree"]][r["node"]] = r["g"], r["h"]
+    out = []
+    for t, x in zip(model.trees, sums, strict=True):
+        w = weight(x[:, 0], x[:, 1], p)
+        own, gain, inner = gain_at(x[:, 0], x[:, 1], w, p), np.zeros(t.n), np.flatnonzero(t.left >= 0)
+        gain[inner] = own[t.left[inner]] + own[t.right[inner]] - own[inner]
+        out.append(NodeStats(x[:, 1], w, gain))
+    return out
+
+
 def refresh(model: Model, df: DataFrame, p: TreeParams | None = None) -> Model:
     """The model with weights, hessians and gains from ``df``; leaves too if refresh_leaf."""
     p = p or TreeParams()
     out = copy.deepcopy(model)
-    for r in node_stats(model, df).collect():  # one row per node
-        t = out.trees[r["tree"]]
-        w = float(weight(np.array(r["g"]), np.array(r["h"]), p))
-        t.sum_hess[r["node"]], t.base_weight[r["node"]] = r["h"], w
-        t.loss_chg[r["node"]] = float(gain_at(np.array(r["g"]), np.array(r["h"]), np.array(w), p))
-        if p.refresh_leaf and t.left[r["node"]] < 0:
-            t.leaf[r["node"], 0] = w * p.learning_rate
-    for t in out.trees:
-        own = t.loss_chg.copy()
-        t.loss_chg[:] = 0
-        inner = np.flatnonzero(t.left >= 0)
-        t.loss_chg[inner] = own[t.left[inner]] + own[t.right[inner]] - own[inner]
+    for t, s in zip(out.trees, refreshed(model, df, p), strict=True):
+        t.sum_hess[:], t.base_weight[:], t.loss_chg[:] = s.hess, s.weight, s.gain
+        if p.refresh_leaf:
+            t.leaf[t.left < 0, 0] = s.weight[t.left < 0] * p.learning_rate
     return out
 
 
