@@ -8,16 +8,20 @@ objective needs first are fixed-size and are computed before the row expression.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boostlake.functions import scalar as S
 from boostlake.functions.ranking import EPS, lambda_gradients
 
+#: Rows of a batch of ranking gradients.
+CHUNK = 10_000
 FLT_EPS, FLT_MIN, FLT_MAX = 1.1920929e-07, 1.17549435e-38, 3.4028235e38
 
 
@@ -422,16 +426,15 @@ class Cox(_LogLink):
         return [1.0]
 
 
-def _nullable(t: pa.Table) -> pa.Table:
-    """The table with lists whose elements may be null, as the schema in text says."""
-    for i, x in enumerate(t.schema):
-        if pa.types.is_list(x.type):
-            t = t.set_column(i, x.name, t.column(i).cast(pa.list_(pa.field("element", x.type.value_type, True))))
-    return t
+def _changes(q: pa.Array) -> np.ndarray:
+    """Places of a sorted column whose value isn't that of the row before; missing values are equal, and so are NaN."""
+    if pa.types.is_floating(q.type):
+        q = pc.add(q, pa.scalar(0.0, q.type))  # -0.0 is 0.0
+    return np.flatnonzero(np.diff(np.asarray(q.dictionary_encode(null_encoding="encode").indices))) + 1
 
 
 class Rank(Objective):
-    """Pairwise ranking; a query's rows are compared in one task.
+    """Pairwise ranking; a query's rows are compared in one task, which takes many queries at once.
 
     With ``lambdarank_unbiased`` the debiasing terms in ``bias`` go into the gradients, which come with the losses by place
     (columns place, li and lj); ``settle`` sums those up and updates the terms.
@@ -471,21 +474,43 @@ class Rank(Objective):
         bias = self.bias
         names = Frame(**{k: getattr(f, k) for k in ("label", "margin", "weight", "qid", "row_id")})
 
-        def run(t: pa.Table) -> pa.Table:
-            t = _nullable(t).sort_by(names.row_id)
-            s = np.array([m[0] for m in t.column(names.margin).to_pylist()], np.float32)
-            y = np.asarray(t.column(names.label), np.float64)
-            w = float(t.column(names.weight)[0].as_py()) * scale if names.weight else 1.0
-            costs = np.zeros((2, len(s)))
-            g, h = lambda_gradients(s, y, kind, params, w, bias, costs=costs)
-            pack = lambda x: pa.array([[v] for v in x.tolist()], pa.list_(pa.float64()))
+        def told(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(batches).combine_chunks()
+            n, starts = t.num_rows, np.concatenate(([0], _changes(t.column(names.qid).combine_chunks())))
+            s = np.asarray(t.column(names.margin).combine_chunks().flatten(), np.float64).reshape(n, -1)[:, 0].astype(np.float32)
+            y, w = np.asarray(t.column(names.label), np.float64), 1.0
+            if names.weight:
+                own = t.column(names.weight).take(pa.array(starts))
+                if own.null_count:
+                    raise ValueError("weights of queries must not be missing")
+                w = np.asarray(own, np.float64) * scale
+            costs = np.zeros((2, n))
+            g, h = lambda_gradients(s, y, kind, params, w, bias, costs=costs, starts=starts)
+            pack = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(x))
             t = t.append_column("g", pack(g)).append_column("h", pack(h))
-            if bias is None:
-                return t
-            return t.append_column("place", pa.array(np.arange(len(s)))).append_column("li", pa.array(costs[0])).append_column("lj", pa.array(costs[1]))
+            if bias is not None:
+                place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+                t = t.append_column("place", pa.array(place)).append_column("li", pa.array(costs[0])).append_column("lj", pa.array(costs[1]))
+            yield from t.to_batches(max_chunksize=CHUNK)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []  # rows of a query that may go on in the next batch
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                q = b.column(names.qid)
+                at = _changes(pa.concat_arrays([held[-1].column(names.qid)[-1:], q])) - 1 if held else _changes(q)
+                if len(at):
+                    cut = int(at[-1])
+                    yield from told([*held, b.slice(0, cut)])
+                    held, b = [], b.slice(cut)
+                held.append(b)
+            if held:
+                yield from told(held)
 
         more = ", place long, li double, lj double" if bias is not None else ""
-        return df.groupBy(f.qid).applyInArrow(run, f"{fields}, g array<double>, h array<double>{more}")
+        rows = df.repartition(F.col(f"`{f.qid}`")).sortWithinPartitions(F.col(f"`{f.qid}`"), F.col(f"`{f.row_id}`"))
+        return rows.mapInArrow(run, f"{fields}, g array<double>, h array<double>{more}")
 
     def intercept(self, df, f=Frame(), targets=1):
         return [0.0]

@@ -1,8 +1,13 @@
 """Queries whose faults show only on larger tables than the smallest, against their twins."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from boostlake.functions import ranking
+from boostlake.functions.objectives import Frame, objective
+from boostlake.functions.ranking import lambda_gradients
 from boostlake.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,3 +36,44 @@ def differing(spark, folder, name):
 
 def test_refreshed_gains_are_exact(spark, larger):
     assert differing(spark, larger, "refresh_leaves") == ([], [])
+
+
+def by_query(spark, sizes, kind, params, weight, kinds="long"):
+    """Gradients of queries told by the objective in one frame, and those of each query alone."""
+    rng = np.random.default_rng(41)
+    queries = rng.permutation(np.repeat(np.arange(len(sizes)), sizes)).tolist()
+    rows = [(i, q or None, round(float(rng.normal()), 1), float(rng.integers(0, 2)), 0.5 + q % 3) for i, q in enumerate(queries)]
+    df = spark.createDataFrame(rows, "row_id long, qid long, s double, label double, w double").withColumn("margin", F.array("s")).withColumn("qid", F.col("qid").cast(kinds))
+    f = Frame(qid="qid", weight="w" if weight else None)
+    got = {r["row_id"]: (r["g"][0], r["h"][0]) for r in objective(f"rank:{kind}", params).gradient(df, f).collect()}
+    scale = len(sizes) / sum(0.5 + q % 3 for q in range(len(sizes))) if weight else 1.0
+    want = {}
+    for q in range(len(sizes)):
+        own = [r for r in rows if r[1] == (q or None)]
+        g, h = lambda_gradients(np.array([r[2] for r in own], np.float32), np.array([r[3] for r in own]), kind, params, own[0][4] * scale if weight else 1.0)
+        want |= {r[0]: x for r, x in zip(own, zip(g, h, strict=True), strict=True)}
+    return got, want
+
+
+@pytest.mark.parametrize(("kind", "params", "weight", "kinds"), [("ndcg", {}, True, "long"), ("map", {}, False, "string"), ("pairwise", {"lambdarank_pair_method": "mean"}, True, "double"), ("ndcg", {"lambdarank_num_pair_per_sample": 2}, False, "int")])
+def test_queries_across_batches(spark, monkeypatch, kind, params, weight, kinds):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    monkeypatch.setattr(ranking, "PAIRS", 40)
+    try:
+        got, want = by_query(spark, [3, 1, 40, 2, 9, 14, 1, 5, 21, 7], kind, params, weight, kinds)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i], want[i], rtol=1e-12, atol=1e-12) for i in want)
+
+
+def test_queries_share_calls(spark, larger):
+    """Tasks take many queries at once: the plan has no call of Python per query."""
+    df = spark.range(10).selectExpr("id as row_id", "id div 2 as qid", "array(double(id)) as margin", "double(id % 2) as label")
+    plan = objective("rank:ndcg").gradient(df, Frame(qid="qid"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["grad_rank_map"])
+def test_ranking_twins(spark, larger, name):
+    assert differing(spark, larger, name) == ([], [])
