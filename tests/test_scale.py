@@ -74,6 +74,6 @@ def test_queries_share_calls(spark, larger):
     assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
 
 
-@pytest.mark.parametrize("name", ["grad_rank_map", "grad_rank_pairwise"])
+@pytest.mark.parametrize("name", ["grad_rank_map", "grad_rank_pairwise", "grad_rank_ndcg"])
 def test_ranking_twins(spark, larger, name):
     assert differing(spark, larger, name) == ([], [])
