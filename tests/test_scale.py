@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boostlake.functions import ranking
 from boostlake.functions.objectives import Frame, objective
 from boostlake.functions.ranking import lambda_gradients
+from boostlake.operators import prep
 from boostlake.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -77,3 +78,15 @@ def test_queries_share_calls(spark, larger):
 @pytest.mark.parametrize("name", ["grad_rank_map", "grad_rank_pairwise", "grad_rank_ndcg"])
 def test_ranking_twins(spark, larger, name):
     assert differing(spark, larger, name) == ([], [])
+
+
+def test_pointers_by_stretches(spark, larger, monkeypatch):
+    monkeypatch.setattr(prep, "STRETCH", 1 << 12)
+    assert differing(spark, larger, "export_csr") == ([], [])
+    df = spark.range(100_000).selectExpr("if(id = 7, null, id * 3) as k", "int(id % 5) as n")
+    got = prep.group_pointers(df, "k", "n")
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning" in plan and "SinglePartition" not in plan
+    rows = sorted(got.collect(), key=lambda r: (r["k"] is not None, r["k"]))
+    ends = np.cumsum([7 % 5, *(i % 5 for i in range(100_000) if i != 7)])
+    assert [r["end"] for r in rows] == ends.tolist() and [r["start"] for r in rows] == [0, *ends[:-1].tolist()]
