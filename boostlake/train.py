@@ -157,9 +157,9 @@ def validate(data: Data, obj: Objective) -> None:
 
 
 def _encode(data: Data, cuts: Cuts, extra: list[str]) -> DataFrame:
-    """row_id, bins (values for the exact method) and the extra columns of ``data.plain()``."""
+    """row_id, bins (values for the exact method) and the extra columns of ``data.plain()``, x among them if asked for."""
     plain = data.plain()
-    keep = [c for c in plain.columns if c not in ("x", "row_id") and (c in extra)]
+    keep = [c for c in plain.columns if c != "row_id" and c in extra]
     shared = plain.sparkSession.sparkContext.broadcast(cuts)
     fields_ = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema)
     m = len(cuts.values)
@@ -173,7 +173,21 @@ def _encode(data: Data, cuts: Cuts, extra: list[str]) -> DataFrame:
             bins = (x if cuts.exact else bins_matrix(x, cuts)).astype(cuts.kind)
             yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([r.tobytes() for r in bins], pa.binary()), *(b.column(c) for c in keep)], names=["row_id", "bins", *keep])
 
-    return plain.select("row_id", "x", *keep).mapInArrow(run, f"row_id long, bins binary{fields_}")
+    return plain.select("row_id", "x", *[c for c in keep if c != "x"]).mapInArrow(run, f"row_id long, bins binary{fields_}")
+
+
+def _rebinned(df: DataFrame, cuts: Cuts) -> DataFrame:
+    """A binned frame that holds x, with the bins of other cuts."""
+    shared, names = df.sparkSession.sparkContext.broadcast(cuts), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = shared.value
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, len(cuts.values))
+            bins = pa.array([r.tobytes() for r in bins_matrix(x, cuts).astype(cuts.kind)], pa.binary())
+            yield pa.RecordBatch.from_arrays([bins if c == "bins" else b.column(c) for c in names], names=names)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def _add_trees(df: DataFrame, trees: list[BinnedTree], outputs: list[list[int]], cuts: Cuts, factors: list[float] | None = None, only: bool = False) -> DataFrame:
@@ -414,7 +428,7 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
     fitted = {"plain": data.plain().select("row_id", *[F.col("x")[i].alias(f) for i, f in enumerate(data.features)], *(["weight"] if data.weight else []))}
     w = F.col("weight") if data.weight and not data.qid else None
     cuts = stretches(fitted["plain"], data.features) if exact else build(fitted["plain"], data.features, p.max_bin, cats, w)
-    keep = ["label", "weight", "qid", "label_lower_bound", "label_upper_bound", "base_margin"]
+    keep = ["label", "weight", "qid", "label_lower_bound", "label_upper_bound", "base_margin", *(["x"] if approx else [])]
     frame = data.frame()
     begin = _start(_encode(data, cuts, keep), base)
     if model.trees:
@@ -436,12 +450,10 @@ def _tree_rounds(params, data, obj, model, rounds, evals, custom, k, targets) ->
         if custom is None:
             gh = obj.settle(gh)
         if approx:
-            weighted = gh.select("row_id", F.aggregate("h", F.lit(0.0), lambda a, x: a + x).alias("__h")).join(fitted["plain"], "row_id")
+            weighted = gh.select(*[F.col("x")[j].alias(f) for j, f in enumerate(data.features)], F.aggregate("h", F.lit(0.0), lambda a, x: a + x).alias("__h"))
             cuts = build(weighted, data.features, p.max_bin, cats, F.col("__h"))
-            again = _encode(data, cuts, [])
             first = gh
-            gh = gh.drop("bins").join(again.select("row_id", "bins"), "row_id").persist()
-            state = state.drop("bins").join(again.select("row_id", "bins"), "row_id").select(*state.columns)
+            gh, state = _rebinned(gh, cuts).persist(), _rebinned(state, cuts)
         grown: list[BinnedTree] = []
         for _ in range(model.parallel):
             sample = _sampler(p, gh, seed * 1_000_003 + i * 1009 + len(grown))

@@ -9,7 +9,9 @@ from boostlake.functions import ranking
 from boostlake.functions.objectives import Frame, objective
 from boostlake.functions.ranking import lambda_gradients
 from boostlake.operators import prep
+from boostlake.operators.grow import grow
 from boostlake.plans import catalog
+from boostlake.train import Data, train
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -90,3 +92,15 @@ def test_pointers_by_stretches(spark, larger, monkeypatch):
     rows = sorted(got.collect(), key=lambda r: (r["k"] is not None, r["k"]))
     ends = np.cumsum([7 % 5, *(i % 5 for i in range(100_000) if i != 7)])
     assert [r["end"] for r in rows] == ends.tolist() and [r["start"] for r in rows] == [0, *ends[:-1].tolist()]
+
+
+def test_approx_moves_no_rows(spark, monkeypatch):
+    """Rounds of the approx method bin the rows anew where they lie, and fit as the histogram method does where every value is a bin."""
+    rng = np.random.default_rng(17)
+    x = rng.integers(0, 20, (400, 2)).astype(float)
+    rows = [(i, a, None if i % 9 == 0 else b, a - b * (i % 9 > 0) + rng.normal()) for i, (a, b) in enumerate(x.tolist())]
+    d = Data(spark.createDataFrame(rows, "row_id long, a double, b double, label double"), ["a", "b"])
+    seen = []
+    monkeypatch.setattr("boostlake.train.grow", lambda df, *a, **k: seen.append(df._jdf.queryExecution().analyzed().toString()) or grow(df, *a, **k))
+    told = {m: train({"tree_method": m, "max_depth": 3}, d, 3, {"train": d}).history["train"]["rmse"] for m in ("approx", "hist")}
+    assert np.allclose(told["approx"], told["hist"], rtol=1e-6) and not any("Join" in plan for plan in seen)
